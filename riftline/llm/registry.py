@@ -12,6 +12,7 @@ from riftline.llm.common import read_table
 #: Query name: module, and the tables that its ``query`` function takes in this order.
 QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "op1_shard": ("sharding", ("documents",)),
+    "op2_warc": ("warc", ("pages",)),
     "op7_language": ("langid", ("documents",)),
     "op9_pack": ("packing", ("documents",)),
 }
