@@ -15,8 +15,10 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -57,13 +59,17 @@ class WordTokenizer:
     def _learn(self, words: set[str]) -> None:
         """Remember the ids of white-space separated words: those of the parts that the pattern finds."""
         new = list(words - self.memo.keys())
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = list(words)
-        split = [(w, self.WORDS.findall(w)) for w in new]
-        parts = list({p for _, found in split for p in found} - self.memo.keys())
-        for p, e in zip(parts, self.word.encode_batch(parts, add_special_tokens=False), strict=True):
-            self.memo[p] = np.array(e.ids, dtype="<u4").tobytes()
+        if len(self.memo) + len(new) > MEMO_WORDS:  # the words of this round have the frequent ones among them
+            self.memo = {w: self.memo[w] for w in words & self.memo.keys()}
+        single, split = [], []
+        for w in new:  # most words are letters, or letters and one other character at the end
+            if w.isalpha():
+                single.append(w)
+            else:
+                split.append((w, (w[:-1], w[-1]) if w[:-1].isalpha() else self.WORDS.findall(w)))
+        parts = [*single, *({p for _, found in split for p in found} - self.memo.keys() - set(single))]
+        for p, e in zip(parts, self.word.encode_batch_fast(parts, add_special_tokens=False), strict=True):
+            self.memo[p] = array("I", e.ids).tobytes()
         for w, found in split:
             self.memo[w] = b"".join(map(self.memo.__getitem__, found))
 
@@ -79,7 +85,7 @@ class WordTokenizer:
         split = []
         for k, part in parts:
             if self.UNUSUAL.search(part):
-                out[k].append(np.array(self.whole.encode(part, add_special_tokens=False).ids, dtype="<u4").tobytes())
+                out[k].append(array("I", self.whole.encode(part, add_special_tokens=False).ids).tobytes())
             else:
                 split.append((k, part.lower().split()))
         self._learn(set().union(*(words for _, words in split)))
@@ -104,12 +110,18 @@ class WordTokenizer:
         yield from map(b"".join, out)
 
 
+@lru_cache(1)
+def worker_tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a Python worker, so that its memo lives on."""
+    return WordTokenizer(path)
+
+
 def tokenise(docs: DataFrame, key: str, text: str, *, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """key, piece, start, length, ids_crc32 (and the ids as bytes, if asked): one row a piece."""
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(tokenizer_path)
+        tokenizer = worker_tokenizer(tokenizer_path)
         for batch in batches:
             names = batch.column(0)
             source, rows = [], {"piece": [], "start": [], "length": [], "ids_crc32": []} | ({"ids": []} if keep_ids else {})
