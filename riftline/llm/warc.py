@@ -209,7 +209,7 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
                             rows = []
                 yield pd.DataFrame(rows, columns=names)
 
-    return files.repartitionByRange("file").mapInPandas(read, RECORDS)
+    return files.repartition(max(1, files.count())).mapInPandas(read, RECORDS)  # a task a file
 
 
 def query(pages: DataFrame) -> DataFrame:
