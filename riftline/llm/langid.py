@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SAMPLE_CHARS, BLOCK, LANES = 60_000, 1024, 8192
+SAMPLE_CHARS, BLOCK, LANES, PART = 60_000, 1024, 2048, 2_000_000
 UNKNOWN = "und"
 #: Symbols: 0 is any run of other characters than letters, 1 a letter that no sample has.
 GAP, UNSEEN, MOST_SYMBOLS = 0, 1, 160
@@ -118,7 +118,37 @@ class Model:
         return found + (state != 0)
 
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits a symbol for each text and language, and the letters of each text."""
+        """Bits a symbol for each text and language, and the letters of each text.
+
+        Texts go through in parts of at most ``PART`` characters, about as many at a time: memory is bounded
+        whatever the batch and the longest text are.
+        """
+        total, n, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        parts: list[str] = []
+        owners: list[int] = []
+
+        def flush() -> None:
+            phrases, symbols, found = self._parse(parts)
+            np.add.at(total, owners, phrases)
+            np.add.at(n, owners, symbols)
+            np.add.at(letters, owners, found)
+            parts.clear()
+            owners.clear()
+
+        chars = 0
+        for k, text in enumerate(texts):
+            for at in range(0, len(text), PART):
+                parts.append(text[at : at + PART])
+                owners.append(k)
+                chars += len(parts[-1])
+                if chars >= PART:
+                    flush()
+                    chars = 0
+        flush()
+        return total * np.log2(np.maximum(self.lengths, 2)) / np.maximum(n, 1)[:, None], letters
+
+    def _parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases for each text and language, symbols and letters of each text."""
         s, begin, letters = self.symbols(texts)
         n = np.diff(begin)
         count = -(-n // BLOCK)
@@ -133,7 +163,7 @@ class Model:
             blocks = s[grid]
             for lang, table in enumerate(self.tables):
                 total[:, lang] += np.bincount(owner[these], self.phrases(blocks, sizes[these], table), minlength=len(texts))
-        return total * np.log2(np.maximum(self.lengths, 2)) / np.maximum(n, 1)[:, None], letters
+        return total, n, letters
 
     def predict(self, texts: list[str]) -> pd.DataFrame:
         """Language, the share by which the runner-up costs more, and the bits a symbol of the winner."""
