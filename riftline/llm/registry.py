@@ -13,6 +13,7 @@ from riftline.llm.common import read_table
 QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "op1_shard": ("sharding", ("documents",)),
     "op2_warc": ("warc", ("pages",)),
+    "op3_simhash": ("simhash", ("documents",)),
     "op5_decontaminate": ("decontaminate", ("documents", "benchmark")),
     "op7_language": ("langid", ("documents",)),
     "op9_pack": ("packing", ("documents",)),
