@@ -14,6 +14,7 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "op1_shard": ("sharding", ("documents",)),
     "op2_warc": ("warc", ("pages",)),
     "op3_simhash": ("simhash", ("documents",)),
+    "op4_personal": ("pii", ("documents",)),
     "op5_decontaminate": ("decontaminate", ("documents", "benchmark")),
     "op7_language": ("langid", ("documents",)),
     "op9_pack": ("packing", ("documents",)),
