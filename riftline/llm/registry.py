@@ -17,6 +17,7 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "op4_personal": ("pii", ("documents",)),
     "op5_decontaminate": ("decontaminate", ("documents", "benchmark")),
     "op7_language": ("langid", ("documents",)),
+    "op8_vectors": ("embeddings", ("embeddings",)),
     "op9_pack": ("packing", ("documents",)),
 }
 
