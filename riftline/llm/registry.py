@@ -19,6 +19,7 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "op7_language": ("langid", ("documents",)),
     "op8_vectors": ("embeddings", ("embeddings",)),
     "op9_pack": ("packing", ("documents",)),
+    "op10_passages": ("substrings", ("documents",)),
 }
 
 
