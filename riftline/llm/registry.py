@@ -16,6 +16,7 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "op3_simhash": ("simhash", ("documents",)),
     "op4_personal": ("pii", ("documents",)),
     "op5_decontaminate": ("decontaminate", ("documents", "benchmark")),
+    "op6_licence": ("licenses", ("documents",)),
     "op7_language": ("langid", ("documents",)),
     "op8_vectors": ("embeddings", ("embeddings",)),
     "op9_pack": ("packing", ("documents",)),
