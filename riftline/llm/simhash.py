@@ -3,13 +3,14 @@
 A fingerprint has 64 bits, each the majority vote of the word shingles' hashes. Fingerprints that differ in at
 most four bits are linked, and linked documents form a group. The search is exact:
 
-* The 64 bits are three segments A, B, C of 22, 21 and 21 bits. If two fingerprints differ in at most four bits,
-  either a segment is equal, which is a key by itself, or each segment has an error. Then A or B has exactly one,
-  and the other two segments have at most three, so that one of their four halves is equal.
+* The 64 bits are three segments A, B, C of 22, 21 and 21 bits, each of three parts. If two fingerprints differ
+  in at most four bits, either a segment is equal, and so is one of any five parts of the others: a key is the
+  segment and such a part. Or each segment has an error. Then A or B has exactly one, and one of the other two
+  segments has exactly one as well, so that two of its parts are equal.
 * The perfect Golay code (23, 12, 7) has a codeword within three bits of every word. A word takes the codewords
   nearest to itself and to each word one bit away as keys (one to six of them): of two words one bit apart, the
   one that the second decodes to is among the keys of both. So a key is such a codeword's twelve bits for A or
-  for B, along with an equal half of another segment: about 45 keys a fingerprint, of 21 to 23 bits each.
+  for B, along with two parts of another segment. A fingerprint has about 77 keys, of 26 to 30 bits each.
 
 Equal fingerprints are one row from the start. In each bucket of a key every row is compared with the bucket's
 least row first; components of these links are found; then only rows outside a bucket's commonest component are
@@ -37,9 +38,9 @@ from riftline.llm.common import materialise
 from riftline.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
-#: Segments as (lowest bit, bits), and the halves of each.
+#: Segments as (lowest bit, bits), and the parts of each.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-HALVES = (((0, 11), (11, 11)), ((22, 11), (33, 10)), ((43, 11), (54, 10)))
+PARTS = (((0, 8), (8, 7), (15, 7)), ((22, 7), (29, 7), (36, 7)), ((43, 7), (50, 7), (57, 7)))
 #: Fixed value: the generator polynomial of the binary Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
 GENERATOR, LENGTH, CHECK = 0b101011100011, 23, 11
 
@@ -111,19 +112,26 @@ def golay_keys(words: np.ndarray, bits: int) -> np.ndarray:
 def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys and the row that each belongs to; two prints at most four bits apart share a key."""
     p = prints.view(np.uint64)
-    part = lambda low, bits: (p >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    bits_of = lambda low, bits: (p >> np.uint64(low) & np.uint64((1 << bits) - 1)).astype(np.int64)
     rows = np.arange(len(p))
+    parts = [[bits_of(*x) for x in three] for three in PARTS]
     keys, owners = [], []
-    for s, (low, bits) in enumerate(SEGMENTS):
-        keys.append(np.int64(s) << 40 | part(low, bits))
-        owners.append(rows)
+
+    def add(value: np.ndarray, row: np.ndarray) -> None:
+        keys.append(np.int64(len(keys)) << 48 | value)
+        owners.append(row)
+
+    for s in range(3):
+        whole = bits_of(*SEGMENTS[s]) << 16
+        for part in [x for o in range(3) if o != s for x in parts[o]][:5]:
+            add(whole | part, rows)
     for s in (0, 1):
-        near = golay_keys(part(*SEGMENTS[s]), SEGMENTS[s][1])
+        near = golay_keys(bits_of(*SEGMENTS[s]), SEGMENTS[s][1])
         row, column = np.nonzero(near >= 0)
-        halves = [h for o, pair in enumerate(HALVES) if o != s for h in pair]
-        for h, (low, bits) in enumerate(halves):
-            keys.append(np.int64(3 + 4 * s + h) << 40 | near[row, column] << 16 | part(low, bits)[row])
-            owners.append(row)
+        code = near[row, column] << 16
+        for o in range(3):
+            for a, b in combinations(parts[o], 2) if o != s else ():
+                add(code | (a << 7 | b)[row], row)
     return np.concatenate(keys), np.concatenate(owners)
 
 
