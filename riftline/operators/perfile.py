@@ -5,9 +5,6 @@ A file is one row, so its state never leaves the row and nothing is shuffled.
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import defaultdict
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,22 +131,3 @@ def line_diff(versions: DataFrame, old: str, new: str) -> DataFrame:
 
     return versions.withColumn("changed", of(F.col(old), F.col(new)))
 
-
-def increasing(values: list[int]) -> int:
-    """Length of the longest strictly increasing run of picks: the patience bound on a diff of unique lines."""
-    tails: list[int] = []
-    for v in values:
-        k = bisect_left(tails, v)
-        tails[k : k + 1] = [v]
-    return len(tails)
-
-
-def unique_line_bound(old: str, new: str) -> int:
-    """A lower bound on the common lines from those that each side has once; checks the diff in tests."""
-    count: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])
-    for k, x in enumerate(old.split("\n")):
-        count[x][0] += 1
-        count[x][2] = k
-    for x in new.split("\n"):
-        count[x][1] += 1
-    return increasing([count[x][2] for x in new.split("\n") if count[x][:2] == [1, 1]])
