@@ -23,7 +23,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +31,8 @@ from riftline.llm.common import materialise
 from riftline.llm.components import components
 
 TABLES, HASHES, BLOCK, SEED, COSINE = 8, 3, 2000, 11, 0.95
+#: Buckets with more pairs than MATRIX are multiplied as matrices; the pairs of others go together, PAIRS at a time.
+MATRIX, PAIRS = 20_000, 50_000
 
 
 @lru_cache(8)
@@ -121,36 +122,92 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def compare(block: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """node, links (rows of classes linked for the first time here), root (a linked node, or the node itself)."""
-    looks = block["looks"].to_numpy()
-    node, count = block["node"].to_numpy(), block["n"].to_numpy()
-    table = int(block["bucket"].iloc[0]) >> 58
-    vectors = np.array(block["embedding"].tolist(), dtype=np.float64)
-    q, s = np.flatnonzero(looks), np.flatnonzero(~looks)
+def _close(vectors: np.ndarray, looks: np.ndarray, bounds: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """(looking row, stored row) of the pairs in the same bucket that are close; bounds: where buckets begin, and the end."""
     norm = np.sqrt((vectors * vectors).sum(axis=1))
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((looks, group))  # in each bucket the stored rows come first
+    stored = np.bincount(group[~looks], minlength=len(bounds) - 1)
+    lookers = np.diff(bounds) - stored
+    large = stored * lookers > MATRIX
     left, right = [], []
-    for k in range(0, len(q), 500):
-        at = q[k : k + 500]
-        i, j = np.nonzero((vectors[at] @ vectors[s].T) / np.outer(norm[at], norm[s]) >= cosine)
-        left.append(at[i])
-        right.append(s[j])
-    a, b = np.concatenate(left), np.concatenate(right)
+    for g in np.flatnonzero(large):
+        rows = order[bounds[g] : bounds[g + 1]]
+        s, q = rows[: stored[g]], rows[stored[g] :]
+        for k in range(0, len(q), 500):
+            at = q[k : k + 500]
+            i, j = np.nonzero((vectors[at] @ vectors[s].T) / np.outer(norm[at], norm[s]) >= cosine)
+            left.append(at[i])
+            right.append(s[j])
+    q = order[looks[order] & ~large[group[order]]]
+    times = stored[group[q]]
+    cut = np.searchsorted(np.cumsum(times), np.arange(0, int(times.sum()) + PAIRS, PAIRS))
+    for lo, hi in zip(cut[:-1], [*cut[1:-1], len(q)], strict=True):
+        of, n = q[lo:hi], times[lo:hi]
+        a = np.repeat(of, n)
+        b = order[np.repeat(bounds[group[of]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+        near = np.einsum("ij,ij->i", vectors[a], vectors[b]) / (norm[a] * norm[b]) >= cosine
+        left.append(a[near])
+        right.append(b[near])
+    return np.concatenate([np.zeros(0, dtype=np.int64), *left]), np.concatenate([np.zeros(0, dtype=np.int64), *right])
+
+
+def compare(bucket: np.ndarray, place: np.ndarray, node: np.ndarray, looks: np.ndarray, count: np.ndarray, vectors: np.ndarray, cosine: float) -> pa.RecordBatch:
+    """node, links (rows of classes linked for the first time here), root (a linked node): of whole buckets, in order.
+
+    place: the block of a large bucket.
+    """
+    starts = np.flatnonzero((np.diff(bucket, prepend=bucket[0] - 1) != 0) | (np.diff(place, prepend=place[0] - 1) != 0))
+    a, b = _close(vectors, looks, np.append(starts, len(bucket)), cosine)
     other = node[a] != node[b]
     a, b = a[other], b[other]
-    links = np.zeros(len(block), dtype=np.int64)
-    code = codes(vectors) if len(a) else None
-    for k in range(0, len(a), 100_000):
-        x, y = a[k : k + 100_000], b[k : k + 100_000]
-        sees = (code[x] == code[y][:, :, :1]).any(axis=2)  # x looks where y is stored
-        seen = (code[y] == code[x][:, :, :1]).any(axis=2)
-        first = (sees | seen).argmax(axis=1) == table
-        mine = first & ((node[x] < node[y]) | ~seen[:, table])  # of both directions the smaller node looks
-        np.add.at(links, x[mine], count[y[mine]])
-        np.add.at(links, y[mine], count[x[mine]])
-    root = _forest(len(block), a, b)
-    found = pd.DataFrame({"node": node, "links": links, "root": node[root]})
-    return found[(found["links"] > 0) | (found["root"] != found["node"])]
+    links, root = np.zeros(len(bucket), dtype=np.int64), np.arange(len(bucket))
+    if len(a):
+        used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        code, x_of, y_of = codes(vectors[used]), at[: len(a)], at[len(a) :]
+        table = bucket[a] >> 58
+        for k in range(0, len(a), 100_000):
+            x, y, t = x_of[k : k + 100_000], y_of[k : k + 100_000], table[k : k + 100_000]
+            sees = (code[x] == code[y][:, :, :1]).any(axis=2)  # x looks where y is stored
+            seen = (code[y] == code[x][:, :, :1]).any(axis=2)
+            first = (sees | seen).argmax(axis=1) == t
+            left, right = a[k : k + 100_000], b[k : k + 100_000]
+            mine = first & ((node[left] < node[right]) | ~seen[np.arange(len(t)), t])  # of both directions the smaller node looks
+            np.add.at(links, left[mine], count[right[mine]])
+            np.add.at(links, right[mine], count[left[mine]])
+        root = _forest(len(bucket), a, b)
+    keep = (links > 0) | (node[root] != node)
+    return pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(links[keep]), pa.array(node[root][keep])], names=["node", "links", "root"])
+
+
+def _compare_sorted(cosine: float):
+    """Over rows sorted by bucket and block: as many whole buckets at a time as a batch holds."""
+
+    def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        vectors = table.column("embedding").combine_chunks()
+        sizes = vectors.value_lengths().to_numpy()
+        column = lambda name, rows: table.column(name).to_numpy()[rows]
+        for d in np.unique(sizes):
+            rows = np.flatnonzero(sizes == d)
+            place = column("i", rows).astype(np.int64) << 32 | column("j", rows)
+            yield compare(column("bucket", rows), place, column("node", rows), column("looks", rows), column("n", rows), _matrix(vectors.take(pa.array(rows))), cosine)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([carry, table]).combine_chunks() if carry is not None else table
+            if not table.num_rows:
+                continue
+            keys = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            open_ = int(np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))[-1]) + 1 if any((k != k[-1]).any() for k in keys) else 0
+            if open_:
+                yield from whole(table.slice(0, open_))
+            carry = table.slice(open_)
+        if carry is not None and carry.num_rows:
+            yield from whole(carry)
+
+    return run
 
 
 def link(vectors: DataFrame, key: str, vector: str, *, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -171,7 +228,8 @@ def link(vectors: DataFrame, key: str, vector: str, *, cosine: float = COSINE, b
         .select("bucket", "node", "looks", F.explode("i").alias("i"), "j").select("bucket", "node", "looks", "i", F.explode("j").alias("j"))
     )
     with_vectors = dealt.join(classes.select("node", "n", "embedding"), "node")
-    found = materialise(with_vectors.groupBy("bucket", "i", "j").applyInPandas(lambda b: compare(b, cosine), "node long, links long, root long"))
+    dealt_out = with_vectors.select("bucket", "i", "j", "node", "looks", "n", "embedding").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = materialise(dealt_out.mapInArrow(_compare_sorted(cosine), "node long, links long, root long"))
     linked = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = materialise(components(found.where("root != node"), "node", "root").withColumnsRenamed({"component": "root"}))
     rooted = materialise(classes.select("node", "h1", "h2", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
