@@ -1,0 +1,85 @@
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from riftline.operators import enrich, findings, learnings
+from riftline.sources import diffs, trees
+from riftline.streaming import sessions, watch
+
+
+def detect(spark, lines, language="python"):
+    rows = [(1, k + 1, x, x, language) for k, x in enumerate(lines)]
+    return {(r["line"], r["rule_id"]) for r in findings.detect(spark.createDataFrame(rows, "file_id long, line int, raw string, scan string, language string")).collect()}
+
+
+def test_rules_hit_and_miss(spark):
+    found = detect(spark, ["DELETE FROM t", "DELETE FROM t WHERE a = 1", "cors({ origin: '*' })", "mapReduce(fn)", "x.mapReduce('function')", "debugger;", "évaluate(x)"])
+    assert (1, "db-schema-destructive") in found
+    assert (3, "permissive-cors") in found
+    assert not {r for line, r in found if line in (2, 4, 5, 6, 7)}
+    assert (1, "leftover-debugger") in detect(spark, ["debugger;"], "javascript")
+    assert detect(spark, ["db.query('a' + b)"]) == {(1, "raw-query"), (1, "sql-injection")}
+    assert detect(spark, ["db.query('a' + b)"], "typescript") == {(1, "raw-query")}
+
+
+def test_three_states_of_scope(spark):
+    files = spark.createDataFrame([(1, "a", False), (2, "package.json", True), (3, "b", True), (4, "package.json", False)], "file_id long, path string, diff_known boolean")
+    lines = spark.createDataFrame([(f, n, "x") for f in (1, 2, 3) for n in (1, 2)], "file_id long, line int, raw string")
+    changed = spark.createDataFrame([(3, 2)], "file_id long, line int")
+    assert sorted((r.file_id, r.line) for r in findings.in_change(lines, files, changed).collect()) == [(1, 1), (1, 2), (3, 2)]
+    assert [(r.file_id, r.line) for r in findings.file_findings(files, changed).collect()] == [(4, 1)]
+
+
+def test_hunks(spark):
+    d = spark.createDataFrame([(1, "@@ -1,2 +3,2 @@ f\n+a\n@@ -9 +12 @@\n@@ -20,3 +0,0 @@")], "id long, diff string")
+    assert sorted(r.line for r in diffs.hunk_lines(d, "id", "diff").collect()) == [1, 3, 4, 12]
+
+
+def test_merge_keeps_ours_on_ties_and_missing_times(spark):
+    schema = "id string, at timestamp, note string"
+    t = datetime(2024, 1, 1)
+    ours = spark.createDataFrame([("a", t, "o"), ("b", t, "o"), ("c", None, "o"), ("e", t, "o")], schema)
+    theirs = spark.createDataFrame([("a", t, "t"), ("b", t + timedelta(1), "t"), ("c", t, "t"), ("d", None, "t")], schema)
+    assert {r.id: r.note for r in learnings.merge(ours, theirs).collect()} == {"a": "o", "b": "t", "c": "o", "d": "t", "e": "o"}
+
+
+def test_confirming_never_suppresses(spark):
+    found = spark.createDataFrame([("r", "x"), ("r", " y ")], "rule_id string, code string")
+    digest = found.select("rule_id", F.substring(F.sha1(F.trim("code")), 1, 16).alias("code_hash"))
+    for verdict, left in (("dismiss", 0), ("confirm", 2)):
+        assert learnings.suppress(found, digest.withColumn("verdict", F.lit(verdict))).count() == left
+
+
+def test_pinned_tiers_stay(spark):
+    f = spark.createDataFrame([("public-api-change", 0), ("public-api-change", 9), ("raw-query", 0)], "rule_id string, caller_count int").withColumn("tier", F.lit("orange"))
+    assert [r.tier for r in enrich.impact_tier(f, 5).collect()] == ["yellow", "orange", "orange"]
+    assert [r.tier for r in enrich.impact_tier(f, 5, ["public-api-change"]).collect()] == ["orange"] * 3
+
+
+def test_tree_scan(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.py").write_text("é = 1\n")
+    (tmp_path / "b.bin").write_bytes(b"ab\0c")
+    (tmp_path / "big.txt").write_bytes(b"x" * (trees.MOST_BYTES + 1))
+    (tmp_path / "skip.py").write_text("x")
+    found = trees.scan_tree(spark, str(tmp_path), ["skip.*"]).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.text) for r in found] == [("x.py", "é = 1\n")]
+
+
+def test_ledger_counts_turns_and_resets(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    rows = [(1, t, 1, "a"), (1, t, 1, "a"), (1, t + timedelta(minutes=5), 2, "a"), (1, t + timedelta(minutes=35), 3, "a"), (2, t, 9, "a")]
+    schema = "session_id long, ts timestamp, turn_id long, fingerprint string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = sessions.ledger(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    found = sorted((r.session_id, r.ts, r.turns, r.over) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert [(s, n, o) for s, _, n, o in found] == [(1, 1, False), (1, 2, True), (1, 1, False), (2, 1, False)]
+
+
+def test_watch_takes_the_newest(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    spark.createDataFrame([(1, "a.py", "old", t), (1, "a.py", "new", t + timedelta(1))], watch.VERSIONS).write.parquet(str(tmp_path / "in"))
+    watch.watch(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"), lambda b: b.select("file_id", "text")).awaitTermination(120)
+    assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["new"]
