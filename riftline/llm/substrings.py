@@ -11,8 +11,12 @@ Two sizes of paragraph are compared:
   and one of more than fifty words holds whole pieces. A piece is too short for anything but equality of all
   its words, so its one band is the hash of them.
 
-Jaccard similarity is verified on the texts of colliding lines, which Spark reads again for just these. Clusters
-are components; the occurrence with the smallest key and start stays, the others are to be removed.
+Lines that merely share a passage collide in great numbers without being similar. Each line content therefore has
+an odd sketch: the parity, in 256 bits, of its set of shingles. The sketches of two sets differ in at most as many
+bits as the sets in elements, and at a similarity of 0.8 these are at most a ninth of both sizes together: a join
+condition that loses no similar pair. Jaccard similarity is verified on the texts of what passes, which Spark reads
+again for just these lines. Clusters are components; the occurrence with the smallest key and start stays, the
+others are to be removed.
 
 Defined cases: a null or empty text has no passages; repeats inside one document only are no clusters; documents
 that share a key but not the text count as different, rows equal in both as one; an empty table gives an empty
@@ -33,7 +37,7 @@ from xxhash import xxh64_intdigest
 from riftline.llm.common import materialise, row_keyed
 from riftline.llm.components import components
 
-SHINGLE, SIMILARITY, LINE_WORDS, REACH, BANDS, ROWS, SEED = 5, 0.8, 20, 6, 6, 3, 42
+SHINGLE, SIMILARITY, LINE_WORDS, REACH, BANDS, ROWS, SKETCH, SEED = 5, 0.8, 20, 6, 6, 3, 4, 42
 #: Characters of text in memory at a time, apart from a longer single text.
 PART = 2_000_000
 
@@ -67,8 +71,21 @@ def cuts(pairs: np.ndarray, reach: int = REACH) -> np.ndarray:
     return np.flatnonzero((middle < left) & (middle < right)) + reach
 
 
+def odd_sketch(shingles: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run [first, last) the parities of its distinct shingles in 64 * SKETCH bits, and their number."""
+    n = last - first
+    owner = np.repeat(np.arange(len(first)), n)
+    values = shingles[np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+    order = np.lexsort((values, owner))
+    owner, values = owner[order], values[order]
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])])
+    owner, values = owner[new], values[new]
+    bits = np.bincount(owner * (64 * SKETCH) + (_mix(values) >> np.uint64(56)).astype(np.int64), minlength=len(first) * 64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(first), SKETCH), np.bincount(owner, minlength=len(first)).astype(np.int32)
+
+
 def paragraphs(text: str) -> dict[str, np.ndarray]:
-    """line (bool), content, start, end (code points), words, and bands (of lines) of one text."""
+    """line (bool), content, start, end (code points), words, and of lines their shingles' number (size), bands and sketch."""
     raw = text.encode()
     data = np.frombuffer(raw, dtype=np.uint8)
     low = raw.translate(_LOWER)
@@ -86,9 +103,10 @@ def paragraphs(text: str) -> dict[str, np.ndarray]:
     long = np.flatnonzero(w1 - w0 >= LINE_WORDS)
     w0, w1 = w0[long], w1[long]
     line_hash = np.array([xxh64_intdigest(raw[a:b], SEED) for a, b in zip(heads[long].tolist(), feet[long].tolist(), strict=True)], dtype=np.uint64)
-    bands = np.zeros((len(long), BANDS), dtype=np.uint64)
+    bands, sketch, size = np.zeros((len(long), BANDS), dtype=np.uint64), np.zeros((len(long), SKETCH), dtype=np.int64), np.zeros(len(long), dtype=np.int32)
     if len(long):
         shingles = _chain(words, SHINGLE)
+        sketch, size = odd_sketch(shingles, w0, w1 - SHINGLE + 1)
         spans = np.stack([w0, w1 - SHINGLE + 1], axis=1).ravel()
         for k, odd in enumerate(_ODD):
             least = np.minimum.reduceat(np.concatenate([_mix(shingles * odd), [np.uint64(0)]]), spans)[::2]
@@ -98,13 +116,13 @@ def paragraphs(text: str) -> dict[str, np.ndarray]:
     return {
         "line": np.repeat([False, True], [len(first), len(long)]), "content": np.concatenate([piece_hash, line_hash]),
         "start": np.concatenate([point(begin[first]), point(begin[w0])]).astype(np.int32), "end": np.concatenate([point(stop[last - 1]), point(stop[w1 - 1])]).astype(np.int32),
-        "words": np.concatenate([last - first, w1 - w0]).astype(np.int32), "bands": bands,
+        "words": np.concatenate([last - first, w1 - w0]).astype(np.int32), "size": np.concatenate([np.zeros(len(first), dtype=np.int32), size]), "bands": np.concatenate([bands.view(np.int64), sketch], axis=1),
     }
 
 
 def units(keyed: DataFrame, text: str) -> DataFrame:
-    """_rk, line, content, start, end, words, bands: every paragraph of every text."""
-    schema = f"_rk {keyed.schema['_rk'].dataType.simpleString()}, line boolean, content long, start int, end int, words int, bands array<bigint>"
+    """_rk, line, content, start, end, words, size, bands (with the sketch at the end): every paragraph of every text."""
+    schema = f"_rk {keyed.schema['_rk'].dataType.simpleString()}, line boolean, content long, start int, end int, words int, size int, bands array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,9 +131,9 @@ def units(keyed: DataFrame, text: str) -> DataFrame:
             size = 0
 
             def flush() -> pa.RecordBatch:
-                whole = {k: np.concatenate([x[k] for x in found]) for k in ("line", "content", "start", "end", "words")}
-                offsets = np.concatenate([[0], np.cumsum(np.where(whole["line"], BANDS, 0))]).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x["bands"].ravel() for x in found]).view(np.int64)))
+                whole = {k: np.concatenate([x[k] for x in found]) for k in ("line", "content", "start", "end", "words", "size")}
+                offsets = np.concatenate([[0], np.cumsum(np.where(whole["line"], BANDS + SKETCH, 0))]).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x["bands"].ravel() for x in found])))
                 columns = [batch.column(0).take(pa.array(np.concatenate(owner))), *(pa.array(v.view(np.int64) if k == "content" else v) for k, v in whole.items()), bands]
                 return pa.RecordBatch.from_arrays(columns, names=["_rk", *whole, "bands"])
 
@@ -158,18 +176,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) -
     return materialise(both.where(jaccard(F.col("left"), F.col("body")) >= similarity).select("a", "b"))
 
 
+def _may_be_similar(similarity: float) -> Column:
+    """Whether the sketches x and y of sizes m and n leave room for the similarity."""
+    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(1, SKETCH)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
+    return apart <= F.floor((F.col("m") + F.col("n")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+
 def line_clusters(lines: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
     """content, root: for each line content that is similar to another, the least content that it reaches."""
-    keyed = materialise(lines.groupBy("content").agg(F.min("bands").alias("bands")).select("content", F.explode("bands").alias("band")))
-    buckets = materialise(keyed.groupBy("band").agg(F.min("content").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    contents = materialise(lines.groupBy("content").agg(F.first("bands").alias("bands"), F.first("size").alias("size")))  # equal contents have equal bands
+    keyed = materialise(contents.select("content", F.explode(F.slice("bands", 1, BANDS)).alias("band")))
+    buckets = materialise(keyed.groupBy("band").agg(F.min("content").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1"))
     shared = materialise(keyed.join(buckets, "band"))
-    star = _verified(shared.where("content != pivot").select(F.col("content").alias("a"), F.col("pivot").alias("b")), docs, text, similarity)
-    first = materialise(components(star, "a", "b").withColumnsRenamed({"node": "content", "component": "root"}))
-    rooted = materialise(shared.where("n > 2").select("band", "content").join(first, "content", "left").select("band", "content", F.coalesce("root", "content").alias("root")))
+    sketch = contents.select("content", F.slice("bands", BANDS + 1, SKETCH).alias("x"), F.col("size").alias("m"))
+    named = lambda name: sketch.withColumnsRenamed({"content": name, "x": "y", "m": "n"})
+    stars = materialise(shared.where("content != pivot").select("content", "pivot").distinct().join(sketch, "content"))
+    star = stars.join(named("pivot"), "pivot").where(_may_be_similar(similarity)).select(F.col("content").alias("a"), F.col("pivot").alias("b"))
+    first = materialise(components(_verified(star, docs, text, similarity), "a", "b").withColumnsRenamed({"node": "content", "component": "root"}))
+    rooted = materialise(shared.where("c > 2").select("band", "content").join(first, "content", "left").select("band", "content", F.coalesce("root", "content").alias("root")))
     common = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("common"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band", "common")
-    open_ = materialise(rooted.join(materialise(common), "band"))
-    few = materialise(open_.where("root != common").select("band", F.col("content").alias("other"), F.col("root").alias("other_root")))
-    rest = few.join(open_.select("band", "content", "root"), "band").where("root != other_root").select(F.col("content").alias("a"), F.col("other").alias("b"))
+    open_ = materialise(rooted.join(materialise(common), "band").join(sketch, "content"))
+    few = materialise(open_.where("root != common").select("band", F.col("content").alias("other"), F.col("root").alias("other_root"), F.col("x").alias("y"), F.col("m").alias("n")))
+    # Both of the few meet twice; the smaller content looks.
+    once = (F.col("root") == F.col("common")) | (F.col("content") < F.col("other"))
+    rest = few.join(open_.select("band", "content", "root", "common", "x", "m"), "band").where((F.col("root") != F.col("other_root")) & once & _may_be_similar(similarity)).select(F.col("content").alias("a"), F.col("other").alias("b"))
     edges = first.select(F.col("content").alias("a"), F.col("root").alias("b")).unionByName(_verified(rest, docs, text, similarity))
     return materialise(components(edges, "a", "b").withColumnsRenamed({"node": "content", "component": "root"}))
 
@@ -177,19 +207,16 @@ def line_clusters(lines: DataFrame, docs: DataFrame, text: str, similarity: floa
 def repeats(docs: DataFrame, key: str, text: str, *, similarity: float = SIMILARITY) -> DataFrame:
     """_rk, line, start, end, words, cluster, keeper (_rk of the occurrence that stays), removed."""
     keyed = row_keyed(docs.select(key, text), key, text)
-    found = materialise(units(keyed, text))
+    found = materialise(units(keyed, text).withColumn("doc", F.xxhash64("_rk.k", "_rk.h")))
     lines = found.where("line")
-    roots = line_clusters(lines.select("content", "bands"), docs, text, similarity)
-    seen = ["line", "content"]
-    place = F.struct("_rk", "start")
-    contents = materialise(found.groupBy(*seen).agg(F.min(place).alias("least"), F.min("_rk").alias("low"), F.max("_rk").alias("high"), F.count(F.lit(1)).alias("n")))
+    roots = line_clusters(lines.select("content", "bands", "size"), docs, text, similarity)
     # Most paragraphs are alone; only those that repeat or have a root go on.
-    rooted = contents.where("n > 1").select(*seen, "least", "low", "high").join(roots.select(F.lit(True).alias("line"), "content"), seen, "left_anti").withColumn("cluster", F.col("content"))
-    similar = contents.where("line").join(roots, "content").select("line", "content", "least", "low", "high", F.col("root").alias("cluster"))
-    both = materialise(rooted.unionByName(similar))
-    clusters = both.groupBy("line", "cluster").agg(F.min("least").alias("keeper"), F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("line", "cluster", "keeper")
-    named = materialise(both.select(*seen, "cluster").join(clusters, ["line", "cluster"]))
-    return found.drop("bands").join(named, seen).select("_rk", "line", "start", "end", "words", "cluster", "keeper", (place != F.col("keeper")).alias("removed"))
+    again = materialise(found.groupBy("line", "content").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select("line", "content"))
+    alike = roots.select(F.lit(True).alias("line"), "content", "root")
+    wanted = materialise(again.join(alike, ["line", "content"], "full_outer").select("line", "content", F.coalesce("root", "content").alias("cluster")))
+    members = materialise(found.drop("bands", "size").join(wanted, ["line", "content"]))
+    clusters = members.groupBy("line", "cluster").agg(F.min(F.struct("_rk", "start")).alias("keeper"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select("line", "cluster", "keeper")
+    return members.join(materialise(clusters), ["line", "cluster"]).select("_rk", "line", "start", "end", "words", "cluster", "keeper", (F.struct("_rk", "start") != F.col("keeper")).alias("removed"))
 
 
 def passages(found: DataFrame) -> DataFrame:
