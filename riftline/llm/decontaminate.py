@@ -54,21 +54,21 @@ def windows(items: DataFrame, item: str, text: str, window: int) -> DataFrame:
 
 
 def anchored(keyed: DataFrame, text: str, wins: DataFrame, anchors: int) -> DataFrame:
-    """item, first, term, offset, need: the rarest places of each window by the corpus count of their term."""
+    """item, first, term, offset, mark (a bit each), need (all bits): the rarest places of each window by the corpus count of their term."""
     places = wins.select("item", "first", F.posexplode("words").alias("offset", "term"))
     vocabulary = places.select("term").distinct()
     counts = postings(keyed, text).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy("item", "first").orderBy(F.coalesce("n", F.lit(0)), "term", "offset")
     return (
         places.join(counts, "term", "left").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= anchors)
-        .select("item", "first", "term", "offset", F.count(F.lit(1)).over(Window.partitionBy("item", "first")).alias("need"))
+        .select("item", "first", "term", "offset", F.expr("1L << (rank - 1)").alias("mark"), F.expr("(1L << count(1) OVER (PARTITION BY item, first)) - 1").alias("need"))
     )
 
 
 def candidates(keyed: DataFrame, text: str, anchors: DataFrame) -> DataFrame:
     """_rk, item, first, start: the intersection of the shifted posting lists of each window."""
-    shifted = postings(keyed, text).join(anchors, "term").select("_rk", "item", "first", (F.col("place") - F.col("offset")).alias("start"), "need")
-    return shifted.groupBy("_rk", "item", "first", "start").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where("n = need").select("_rk", "item", "first", "start")
+    shifted = postings(keyed, text).join(anchors, "term").select("_rk", "item", "first", (F.col("place") - F.col("offset")).alias("start"), "mark", "need")
+    return shifted.groupBy("_rk", "item", "first", "start").agg(F.bit_or("mark").alias("seen"), F.max("need").alias("need")).where("seen = need").select("_rk", "item", "first", "start")
 
 
 def phrase_matches(docs: DataFrame, items: DataFrame, *, key: str, text: str, item: str, item_text: str, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
