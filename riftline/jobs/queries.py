@@ -11,7 +11,7 @@ from riftline.functions import text as T
 from riftline.functions.patterns import to_java
 from riftline.functions.rules import AST_LANGUAGES, CONTROLS, MANIFESTS, RULES, SECURITY, TEST_EXEMPT
 from riftline.jobs import tables
-from riftline.operators import enrich, findings, learnings, perfile, rollup, scoring
+from riftline.operators import enrich, findings, guidelines, learnings, perfile, rollup, scoring, signatures
 from riftline.sources import diffs, sinks
 from riftline.streaming import sessions
 
@@ -455,3 +455,43 @@ def new_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the new version that the old one does not have at all."""
     pairs = tables.versions(spark, sf_dir)
     return pairs.select("doc_id", F.size(F.array_except(F.split("new", "\n"), F.split("old", "\n"))).alias("new_lines"))
+
+
+_GUIDES = "guides(dir, name, name_ord) AS (VALUES ('', 'A.md', 0), ('', 'B.md', 1)" + "".join(f", ('src{k}', 'A.md', 0)" for k in range(0, 20, 2)) + "".join(f", ('src{k}/{g}', 'B.md', 1), ('src{k}/{g}/d1', 'A.md', 0)" for k in range(0, 20, 3) for g in ("en", "fr")) + ")"
+_RESOLVED = f"""WITH {_GUIDES}, f AS (SELECT doc_id AS file_id, [source || '/' || lang || '/d' || CAST(doc_id % 3 AS VARCHAR), source || '/' || lang, source, ''] AS dirs FROM documents),
+u AS (SELECT file_id, unnest(dirs) AS dir, generate_subscripts(dirs, 1) AS up FROM f),
+resolved AS (SELECT file_id, dir, name, CAST(row_number() OVER (PARTITION BY file_id ORDER BY up, name_ord) AS INT) AS pos, count(*) OVER (PARTITION BY file_id) AS n FROM u JOIN guides USING (dir))"""
+
+
+def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    files = docs.select(F.col("doc_id").alias("file_id"), F.concat_ws("/", "source", "lang", F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")), F.lit("f.py")).alias("path"))
+    rows = [("", "A.md", 0), ("", "B.md", 1), *((f"src{k}", "A.md", 0) for k in range(0, 20, 2)), *(r for k in range(0, 20, 3) for g in ("en", "fr") for r in ((f"src{k}/{g}", "B.md", 1), (f"src{k}/{g}/d1", "A.md", 0)))]
+    return guidelines.resolve(files, spark.createDataFrame(rows, "dir string, name string, name_ord int"), 3)
+
+
+@query(_RESOLVED + " SELECT file_id, dir, name, pos, n <= 3 OR pos <= 2 OR pos = n AS kept FROM resolved")
+def guideline_depth_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _resolved(spark, sf_dir)
+
+
+@query(_RESOLVED + """ SELECT sources, count(*) AS files FROM (SELECT file_id, string_agg(CASE WHEN dir <> '' THEN dir || '/' ELSE '' END || name, ' ' ORDER BY pos) AS sources FROM resolved WHERE n <= 3 OR pos <= 2 OR pos = n GROUP BY file_id) GROUP BY 1""")
+def guideline_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guidelines.groups(_resolved(spark, sf_dir))
+
+
+#: Old parameters, new parameters, and how both are written.
+SIGNATURES = (("a, b", "a, b", "a,b", "a,b"), ("a", "a, b = 1", "a", "a,b="), ("{ x, y }, z", "opts, z", "{…},z", "opts,z"), ("...rest", "first, ...rest", "...rest", "first,...rest"), ("a?: string", "a: string", "a?", "a"), ("", "cb = () => 1", "", "cb="))
+
+
+@query(f"""SELECT event_id AS file_id, 'run' || CAST(user_id AS VARCHAR) AS name, ([{", ".join(_q(s[2]) for s in SIGNATURES)}])[CAST(event_id % 6 AS INT) + 1] AS old_params, ([{", ".join(_q(s[3]) for s in SIGNATURES)}])[CAST(event_id % 6 AS INT) + 1] AS params
+FROM events WHERE event_id % 6 <> 0""")
+def signature_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+
+    def text(k: int):
+        params = F.get(F.array(*[F.lit(s[k]) for s in SIGNATURES]), (F.col("event_id") % 6).cast("int"))
+        return F.concat(F.lit("// v\nexport async function run"), F.col("user_id").cast("string"), F.lit("("), params, F.lit(") {\n}\n"))
+
+    files = events.select("event_id", text(0).alias("old"), text(1).alias("new"))
+    return signatures.drift(signatures.exported(files, "event_id", "old"), signatures.exported(files, "event_id", "new"))
