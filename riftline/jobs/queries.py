@@ -11,7 +11,7 @@ from riftline.functions import text as T
 from riftline.functions.patterns import to_java
 from riftline.functions.rules import AST_LANGUAGES, CONTROLS, MANIFESTS, RULES, SECURITY, TEST_EXEMPT
 from riftline.jobs import tables
-from riftline.operators import enrich, findings, guidelines, learnings, perfile, rollup, scoring, signatures
+from riftline.operators import enrich, findings, guidelines, learnings, payloads, perfile, rollup, scoring, signatures
 from riftline.sources import diffs, sinks
 from riftline.streaming import sessions
 
@@ -495,3 +495,19 @@ def signature_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     files = events.select("event_id", text(0).alias("old"), text(1).alias("new"))
     return signatures.drift(signatures.exported(files, "event_id", "old"), signatures.exported(files, "event_id", "new"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 2 THEN 7 ELSE 2 END AS caller_count, 'f' || o_custkey || ' g' AS callers,
+  CASE WHEN o_orderkey % 4 = 3 THEN 'a b' ELSE 'heavy light' END AS reviewers FROM orders""")
+def graph_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    f = F.concat(F.lit("f"), F.col("o_custkey").cast("string"))
+    people = F.lit('[{"name":"light","weight":1},{"author":"heavy","lines_owned":9},"light"]')
+    forms = F.array(
+        F.concat(F.lit('{"callers":[{"symbol":"'), f, F.lit('"},"g"],"reviewers":'), people, F.lit("}")),
+        F.concat(F.lit('{"impact":{"callsites":[{"file":"file://'), f, F.lit('","line":3},{"name":"g"}],"owners":'), people, F.lit("}}")),
+        F.concat(F.lit('{"callerCount":7,"direct_callers":"'), f, F.lit(', g","suggestedReviewers":'), people, F.lit("}")),
+        F.concat(F.lit('{"data":{"references":["'), f, F.lit('","g"]},"codeowners":"a, b, a"}')),
+    )
+    found = payloads.impact(orders.select(F.col("o_orderkey").alias("id"), F.get(forms, (F.col("o_orderkey") % 4).cast("int")).alias("payload")), "id", "payload")
+    return found.select("id", "caller_count", F.array_join("callers", " ").alias("callers"), F.array_join("reviewers", " ").alias("reviewers"))
