@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -141,8 +142,8 @@ def _close(vectors: np.ndarray, looks: np.ndarray, bounds: np.ndarray, cosine: f
             right.append(s[j])
     q = order[looks[order] & ~large[group[order]]]
     times = stored[group[q]]
-    cut = np.searchsorted(np.cumsum(times), np.arange(0, int(times.sum()) + PAIRS, PAIRS))
-    for lo, hi in zip(cut[:-1], [*cut[1:-1], len(q)], strict=True):
+    cut = [*np.searchsorted(np.cumsum(times), np.arange(0, int(times.sum()), PAIRS)), len(q)]  # the end alone if no small bucket has pairs
+    for lo, hi in pairwise(cut):
         of, n = q[lo:hi], times[lo:hi]
         a = np.repeat(of, n)
         b = order[np.repeat(bounds[group[of]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]

@@ -315,6 +315,22 @@ def test_vectors(spark):
     assert found[None].n_links == 0
 
 
+def test_vectors_in_hot_buckets_only(spark):
+    """Batches without a small comparable bucket: one large bucket, lookers only, stored rows only."""
+    r = np.random.default_rng(5)
+    v = r.normal(size=20) + r.normal(size=(300, 20)) * 0.01
+    m = v / np.linalg.norm(v, axis=1, keepdims=True)
+    looks = np.arange(300) % 2 == 1
+    a, b = embeddings._close(v, looks, np.array([0, 300]), 0.95)
+    assert len(a) == len(set(zip(a.tolist(), b.tolist(), strict=True))) == (m[looks] @ m[~looks].T >= 0.95).sum()
+    for one in (True, False):
+        assert not len(embeddings._close(v, np.full(300, one), np.array([0, 100, 300]), 0.95)[0])
+    found = embeddings.query(spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()
+    true = (m @ m.T >= 0.95).sum(axis=1) - 1
+    assert {x.vec_id: x.n_links for x in found} == dict(enumerate(true.tolist()))
+    assert {x.component_id for x in found} == {0}
+
+
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
