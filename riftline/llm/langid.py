@@ -1,9 +1,14 @@
 """Language identification by cross-parsing.
 
 For each language a suffix automaton of labelled text recognises every substring of it. A document is parsed
-greedily into the longest phrases that the automaton of a language knows; the number of phrases times the
-logarithm of the automaton's text length, per symbol, estimates the cross entropy, and the language that needs
-least wins. Automata are flat transition tables, and a worker parses thousands of blocks of text in step.
+greedily into the longest phrases that the automaton of a language knows, and the language whose code needs the
+fewest bits a symbol wins. Automata are flat transition tables, and a worker parses thousands of blocks of text
+in step.
+
+The code is the same for all languages and could be decoded, so that a sample is never cheap for being small: one
+bit tells a phrase from a single symbol; a phrase is its place in the sample (the logarithm of the sample's
+length) and its length (1 + 2 log2); a single symbol is one of the alphabet of all samples together, and a letter
+that no sample has is one of all code points besides. Phrases that are cheaper as single symbols are coded so.
 
 Learning uses a bounded sample: at most ``sample_chars`` characters a language, drawn by a hash of the key,
 each row giving a quarter of that at most. Prediction reads every whole text; a phrase ends at the borders of
@@ -102,20 +107,25 @@ class Model:
         keep[1:] |= (s[:-1] != GAP) & (owner[1:] == owner[:-1])  # the first character of a gap stays
         return s[keep], np.concatenate([[0], np.cumsum(np.bincount(owner[keep], minlength=len(texts)))]), letters
 
-    def phrases(self, blocks: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Phrases of each block (a column of ``blocks``); sizes fall."""
+    def bits(self, blocks: np.ndarray, sizes: np.ndarray, table: np.ndarray, length: int) -> np.ndarray:
+        """Bits of each block (a column of ``blocks``) by the automaton of a sample of ``length`` symbols; sizes fall."""
         flat, root, width = table.ravel(), table[0], table.shape[1]
-        state, found = np.zeros(len(sizes), dtype=np.int32), np.zeros(len(sizes), dtype=np.int64)
+        single = np.full(width, 1 + np.log2(width))
+        single[UNSEEN] += np.log2(0x110000)
+        long = np.arange(1, BLOCK + 1)
+        price = np.concatenate([[0.0], np.minimum(2 + np.log2(max(length, 1)) + 2 * np.log2(long), long * single[GAP])])
+        state, begun, found = np.zeros(len(sizes), dtype=np.int32), np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes))
         for t in range(int(sizes[0]) if len(sizes) else 0):
             k = int(np.searchsorted(-sizes, -t, side="left"))
             c, s = blocks[t, :k], state[:k]
             after = flat[s * width + c]
             ended = np.flatnonzero(after == 0)
             first = root[c[ended]]
-            found[ended] += 1 + ((first == 0) & (s[ended] != 0))
+            found[ended] += price[t - begun[ended]] + np.where(first == 0, single[c[ended]], 0.0)
+            begun[ended] = t + (first == 0)
             after[ended] = first
             state[:k] = after
-        return found + (state != 0)
+        return found + price[sizes - begun]
 
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a symbol for each text and language, and the letters of each text.
@@ -128,8 +138,8 @@ class Model:
         owners: list[int] = []
 
         def flush() -> None:
-            phrases, symbols, found = self._parse(parts)
-            np.add.at(total, owners, phrases)
+            bits, symbols, found = self._parse(parts)
+            np.add.at(total, owners, bits)
             np.add.at(n, owners, symbols)
             np.add.at(letters, owners, found)
             parts.clear()
@@ -145,10 +155,10 @@ class Model:
                     flush()
                     chars = 0
         flush()
-        return total * np.log2(np.maximum(self.lengths, 2)) / np.maximum(n, 1)[:, None], letters
+        return total / np.maximum(n, 1)[:, None], letters
 
     def _parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases for each text and language, symbols and letters of each text."""
+        """Bits for each text and language, symbols and letters of each text."""
         s, begin, letters = self.symbols(texts)
         n = np.diff(begin)
         count = -(-n // BLOCK)
@@ -162,7 +172,7 @@ class Model:
             grid = np.minimum(at[these][None, :] + np.arange(int(sizes[these[0]]))[:, None], len(s) - 1)
             blocks = s[grid]
             for lang, table in enumerate(self.tables):
-                total[:, lang] += np.bincount(owner[these], self.phrases(blocks, sizes[these], table), minlength=len(texts))
+                total[:, lang] += np.bincount(owner[these], self.bits(blocks, sizes[these], table, self.lengths[lang]), minlength=len(texts))
         return total, n, letters
 
     def predict(self, texts: list[str]) -> pd.DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -273,6 +274,25 @@ def test_languages(spark, docs):
             assert (r.lang_pred == "und") == (not any(c.isalpha() for c in texts[r.doc_id] or ""))
 
 
+def test_labels_with_next_to_no_text_win_nothing(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    stray = spark.createDataFrame([(10**9, "", "aa"), (10**9 + 1, "ok", "bb"), (10**9 + 2, "123", "cc")], d.schema)
+    texts = [r.text for r in d.where("length(text) > 50").collect()]
+    without, with_ = (langid.fit(x, "doc_id", "text", "lang").predict(texts) for x in (d, d.unionByName(stray)))
+    assert with_.lang_pred.tolist() == without.lang_pred.tolist()
+    assert np.allclose(with_.bits, without.bits)
+
+
+def test_cost_is_a_code_length():
+    """However short a sample is, the texts of n symbols share a probability of one at most."""
+    for sample in ([], [2], [2, 3], [2, 3, 4, 2]):
+        model = langid.Model(["a"], [langid.automaton(np.array(sample, dtype=np.int64), 5)], [len(sample)], np.zeros(1, dtype=np.uint8))
+        texts = np.array(list(itertools.product((0, 2, 3, 4), repeat=5))).T
+        bits = model.bits(texts, np.full(texts.shape[1], 5), model.tables[0], len(sample))
+        assert (2.0**-bits).sum() <= 1
+        assert bits.min() > 0
+
+
 def test_automaton_parses_like_substring_search():
     text = words(300, 5).lower()
     seen = sorted(set(text))
