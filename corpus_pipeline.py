@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftline.llm import decontaminate, langid, packing, pii, simhash
+from riftline.llm import decontaminate, langid, packing, pii, similar
 from riftline.llm.common import materialise, read_table, row_keyed
 
 #: A text in none of the learned languages costs about as much as unknown symbols do: 14 bits each and more.
@@ -24,15 +24,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each SimHash group: that with the smallest id (documents without an id stay).
+    """Keep one document of each group whose shingles of five words have a similarity of 0.8 or more: that with the smallest id (documents without an id stay).
 
-    Rows that repeat an id and a fingerprint are found from these alone; only such rows are compared as wholes.
+    Rows that repeat an id and a content are found from these alone; only such rows are compared as wholes.
     """
-    found = materialise(simhash.group(docs, "doc_id", "text"))
-    drop = materialise(found.where(F.col("key") != F.col("component")).select(F.col("key").alias("doc_id")).distinct())
-    again = materialise(found.where("key IS NOT NULL").groupBy("key", "print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("doc_id")).distinct())
+    found = materialise(similar.group(docs, "doc_id", "text"))
+    names = materialise(found.groupBy("root").agg(F.min("_rk.k").alias("least")))
+    drop = materialise(found.join(names, "root").where(F.col("_rk.k") != F.col("least")).select(F.col("_rk.k").alias("doc_id")).distinct())
+    again = materialise(found.where("_rk.k IS NOT NULL").groupBy("_rk.k", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("doc_id")).distinct())
     kept = docs.join(drop, "doc_id", "left_anti")
-    repeated = kept.join(again, "doc_id", "left_semi").withColumn("_print", simhash.fingerprints(F.col("text"))).dropDuplicates(["doc_id", "_print"])
+    repeated = kept.join(again, "doc_id", "left_semi").withColumn("_content", F.xxhash64(similar.line(F.col("text")))).dropDuplicates(["doc_id", "_content"])
     return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
 
 

@@ -182,13 +182,13 @@ def _may_be_similar(similarity: float) -> Column:
     return apart <= F.floor((F.col("m") + F.col("n")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
 
 
-def line_clusters(lines: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
+def line_clusters(lines: DataFrame, docs: DataFrame, text: str, similarity: float, *, bands: int = BANDS) -> DataFrame:
     """content, root: for each line content that is similar to another, the least content that it reaches."""
     contents = materialise(lines.groupBy("content").agg(F.first("bands").alias("bands"), F.first("size").alias("size")))  # equal contents have equal bands
-    keyed = materialise(contents.select("content", F.explode(F.slice("bands", 1, BANDS)).alias("band")))
+    keyed = materialise(contents.select("content", F.explode(F.slice("bands", 1, bands)).alias("band")))
     buckets = materialise(keyed.groupBy("band").agg(F.min("content").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1"))
     shared = materialise(keyed.join(buckets, "band"))
-    sketch = contents.select("content", F.slice("bands", BANDS + 1, SKETCH).alias("x"), F.col("size").alias("m"))
+    sketch = contents.select("content", F.slice("bands", bands + 1, SKETCH).alias("x"), F.col("size").alias("m"))
     named = lambda name: sketch.withColumnsRenamed({"content": name, "x": "y", "m": "n"})
     stars = materialise(shared.where("content != pivot").select("content", "pivot").distinct().join(sketch, "content"))
     star = stars.join(named("pivot"), "pivot").where(_may_be_similar(similarity)).select(F.col("content").alias("a"), F.col("pivot").alias("b"))

@@ -1,5 +1,8 @@
 """The stages on a small corpus with planted cases; clean documents stay."""
 
+import random
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -29,3 +32,24 @@ def test_stages_take_effect(spark, tmp_path):
     assert changed.n_chars == len(changed.text)
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert packed.agg(F.sum("length")).first()[0] == packing.query(docs).agg(F.sum("length")).first()[0]
+
+
+def shingles(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+
+def test_near_duplicates_have_a_similarity_of_four_fifths(spark):
+    """Pairs with one to six changed words: those at 0.8 or more lose one of them, the others none."""
+    r, rows = random.Random(3), []
+    for k in range(60):
+        w = words(120, 900 + k).split()
+        other = list(w)
+        for at in r.sample(range(len(w)), 1 + k % 6):
+            other[at] = f"changed{at}"
+        rows += [(2 * k, " ".join(w), "en", "s", 1), (2 * k + 1, "\n".join(other).replace("ka", "KA"), "en", "s", 1)]
+    alike = lambda a, b: len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) >= 0.8
+    close = {y[0] for x, y in combinations(rows, 2) if alike(x[1], y[1])}
+    assert 10 < len(close) < 50
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted({x[0] for x in rows} - close)
