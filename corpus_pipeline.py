@@ -24,17 +24,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group whose shingles of five words have a similarity of 0.8 or more: that with the smallest id (documents without an id stay).
+    """Keep one document of each group whose shingles of five words have a similarity of 0.8 or more.
 
-    Rows that repeat an id and a content are found from these alone; only such rows are compared as wholes.
+    The row with the smallest id, then hash of the text, stays; rows without an id come last. A row is told by both,
+    so an id with two texts stands for two documents. Only rows that repeat both are compared as wholes.
     """
     found = materialise(similar.group(docs, "doc_id", "text"))
-    names = materialise(found.groupBy("root").agg(F.min("_rk.k").alias("least")))
-    drop = materialise(found.join(names, "root").where(F.col("_rk.k") != F.col("least")).select(F.col("_rk.k").alias("doc_id")).distinct())
-    again = materialise(found.where("_rk.k IS NOT NULL").groupBy("_rk.k", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("k").alias("doc_id")).distinct())
-    kept = docs.join(drop, "doc_id", "left_anti")
-    repeated = kept.join(again, "doc_id", "left_semi").withColumn("_content", F.xxhash64(similar.line(F.col("text")))).dropDuplicates(["doc_id", "_content"])
-    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated.select(*docs.columns))
+    place = F.struct(F.col("_rk.k").isNull().alias("last"), "_rk")
+    names = materialise(found.groupBy("root").agg(F.min(place)["_rk"].alias("keeper")))
+    rows = materialise(found.join(names, "root").groupBy("_rk").agg(F.first(F.col("_rk") != F.col("keeper")).alias("leaves"), F.count(F.lit(1)).alias("n")).where("leaves OR n > 1"))
+    keyed = row_keyed(docs, "doc_id", "text")
+    once = keyed.join(rows, "_rk", "left_anti").select(*docs.columns)
+    repeated = keyed.join(materialise(rows.where("NOT leaves").select("_rk")), "_rk", "left_semi").dropDuplicates(["_rk"])
+    return once.unionByName(repeated.select(*docs.columns))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

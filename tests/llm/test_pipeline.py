@@ -53,3 +53,13 @@ def test_near_duplicates_have_a_similarity_of_four_fifths(spark):
     assert 10 < len(close) < 50
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), "").collect()
     assert sorted(r.doc_id for r in kept) == sorted({x[0] for x in rows} - close)
+
+
+def test_near_duplicates_tell_rows_by_id_and_text(spark):
+    one, two, three, four = (words(80, 700 + k) for k in range(4))
+    texts = [(1, one), (2, one), (2, two), (3, two + " x"), (3, three), (None, four), (None, four), (None, four + " x"), (None, "unique " + words(50, 710)), (4, three + " x")]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], DOCS), "").collect()
+    found = [(r.doc_id, r.text) for r in kept]
+    assert sorted(f for f in found if f[0] is not None) == sorted([(1, one), (2, two), (3, three)])
+    assert len([f for f in found if f[0] is None]) == 2
+    assert texts[8] in found
