@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,10 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which every executor and the driver see.
 
-    Only a session without that setting (a test) gets a local temporary folder.
+    A local session without that setting gets a temporary folder; on a cluster that would be a disk of the driver alone,
+    so that the setting is asked for.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="riftline-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/riftline/{uuid.uuid4().hex}"
@@ -36,7 +40,22 @@ def materialise(df: DataFrame, *, partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/t"
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables; only what nothing reads any more, since a later write holds its result."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
+
+
+def if_few(names: DataFrame, *, most: int = 1_000_000) -> DataFrame:
+    """``names`` (a materialised table of a column or two) to be broadcast, if its rows are counted and few; else as it is."""
+    return F.broadcast(names) if names.count() <= most else names
 
 
 def row_keyed(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riftline.llm.common import materialise
+from riftline.llm.common import forget, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -22,24 +22,32 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the least of its neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    moved = materialise(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+    forget(least, edges)
+    return moved
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours move to the least of these; edges run from larger to smaller."""
     least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    settled = materialise(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+    forget(least, edges)
+    return settled
 
 
 def components(edges: DataFrame, a: str, b: str, *, rounds: int = 60) -> DataFrame:
-    """node, component (the least node that it reaches): one row for each node that has an edge to another."""
+    """node, component (the least node that it reaches): one row for each node that has an edge to another.
+
+    Defined cases: an edge with a null end or from a node to itself is none; repeated edges count once; no edges give no
+    rows; other columns are ignored.
+    """
     now = materialise(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     state = _state(now)
     if not state[0]:
         return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     for _ in range(rounds):
-        now = materialise(_small_star(materialise(_large_star(now))))
+        now = _small_star(_large_star(now))
         before, state = state, _state(now)
         if state == before:
             members = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -12,9 +12,10 @@ most four bits are linked, and linked documents form a group. The search is exac
   one that the second decodes to is among the keys of both. So a key is such a codeword's twelve bits for A or
   for B, along with two parts of another segment. A fingerprint has about 77 keys, of 26 to 30 bits each.
 
-Equal fingerprints are one row from the start. In each bucket of a key every row is compared with the bucket's
-least row first; components of these links are found; then only rows outside a bucket's commonest component are
-compared with the rest of it. A bucket of many near copies thus costs a comparison a row, not one a pair.
+Equal fingerprints are one row from the start. In each bucket of a key every row is compared with a few pivots first,
+the least rows in several orders; components of these links are found; then only rows outside a bucket's commonest
+component are compared with the rest of it. A bucket of many near copies thus costs a few comparisons a row, not one a
+pair, and the pivots in different orders leave few rows to the second step.
 
 Defined cases: a null text, or one without words, has fingerprint zero, which links like any other; fewer words
 than a shingle make one shingle; documents with a null key join groups, but a group's name is the smallest key
@@ -34,10 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from riftline.llm.common import materialise
+from riftline.llm.common import forget, materialise
 from riftline.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
+#: A pivot of a bucket is its least row after such a word is added bit by bit.
+ORDERS = (0, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)
 #: Segments as (lowest bit, bits), and the parts of each.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PARTS = (((0, 8), (8, 7), (15, 7)), ((22, 7), (29, 7), (36, 7)), ((43, 7), (50, 7), (57, 7)))
@@ -65,10 +68,10 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits((2 * votes > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(text: Column) -> Column:
+def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t) for t in texts], dtype="int64")
+        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
     return of(text)
 
@@ -139,8 +142,8 @@ def _differ(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def link(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
-    """print, root: for each distinct print that links with another, the least print that it reaches."""
+def edges(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
+    """a, b: links that connect the distinct prints as all pairs within ``distance`` bits would."""
     if distance > DISTANCE:
         raise ValueError("the keys find differences of at most four bits")
 
@@ -152,24 +155,45 @@ def link(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
                 key, row = fuzzy_keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row])], names=["key", "print"])
 
-    keyed = materialise(prints.select("print").mapInArrow(explode, "key long, print long"))
-    buckets = materialise(keyed.groupBy("key").agg(F.min("print").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = materialise(keyed.join(buckets, "key"))
-    star = materialise(shared.where((F.col("print") != F.col("pivot")) & (_differ("print", "pivot") <= distance)).select("print", "pivot").distinct())
+    # The aggregation and the join read one shuffle.
+    keyed = prints.select("print").mapInArrow(explode, "key long, print long").repartition("key")
+    least = [F.min(F.col("print").bitwiseXOR(F.lit(order))).bitwiseXOR(F.lit(order)) for order in ORDERS]
+    buckets = keyed.groupBy("key").agg(F.array(*least).alias("pivots"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    close = lambda p: (p != F.col("print")) & (F.bit_count(p.bitwiseXOR(F.col("print"))) <= distance)
+    shared = materialise(keyed.join(buckets, "key").select("key", "print", "n", F.array_distinct(F.filter("pivots", close)).alias("near")))
+    star = materialise(shared.select("print", F.explode("near").alias("pivot")).distinct())
     first = materialise(components(star, "print", "pivot").withColumnsRenamed({"node": "print", "component": "root"}))
-    # In a bucket of two the pivot has met the other row; in larger ones, rows beside the commonest root meet all.
+    # In a bucket of two the pivots have met the other row; in larger ones, rows beside the commonest root meet all.
     rooted = materialise(shared.where("n > 2").select("key", "print").join(first, "print", "left").select("key", "print", F.coalesce("root", "print").alias("root")))
     common = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("common"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "common")
     open_ = materialise(rooted.join(materialise(common), "key"))
+    forget(shared, rooted)
     few = materialise(open_.where("root != common").select("key", F.col("print").alias("other"), F.col("root").alias("other_root")))
     rest = few.join(open_.select("key", "print", "root"), "key").where((F.col("root") != F.col("other_root")) & (_differ("print", "other") <= distance))
-    edges = first.select(F.col("print").alias("a"), F.col("root").alias("b")).unionByName(rest.select(F.col("print").alias("a"), F.col("other").alias("b")).distinct())
-    return components(edges, "a", "b").withColumnsRenamed({"node": "print", "component": "root"})
+    return materialise(star.select(F.col("print").alias("a"), F.col("pivot").alias("b")).unionByName(rest.select(F.col("print").alias("a"), F.col("other").alias("b")).distinct()))
+
+
+def link(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
+    """print, root: for each distinct print that links with another, the least print that it reaches."""
+    return components(edges(prints, distance=distance), "a", "b").withColumnsRenamed({"node": "print", "component": "root"})
+
+
+def candidates(contents: DataFrame, name: str, text: str, *, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """a, b: pairs of names that connect all contents whose fingerprints are linked; equal rows count once.
+
+    Names of one fingerprint are paired with the least of them, linked fingerprints by their least names.
+    """
+    printed = materialise(contents.select(F.col(name).alias("name"), fingerprints(F.col(text), shingle).alias("print")).distinct())
+    classes = materialise(printed.groupBy("print").agg(F.min("name").alias("least")))
+    same = printed.join(classes, "print").where("name != least").select(F.col("name").alias("a"), F.col("least").alias("b"))
+    of = lambda end: classes.select(F.col("print").alias(end), F.col("least").alias(f"{end}_name"))
+    linked = edges(classes, distance=distance).join(of("a"), "a").join(of("b"), "b").select(F.col("a_name").alias("a"), F.col("b_name").alias("b"))
+    return same.unionByName(linked)
 
 
-def group(docs: DataFrame, key: str, text: str, *, distance: int = DISTANCE) -> DataFrame:
+def group(docs: DataFrame, key: str, text: str, *, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """key, print, component (the smallest key of the group): one row for each row of ``docs``."""
-    printed = materialise(docs.select(F.col(key).alias("key"), fingerprints(F.col(text)).alias("print")))
+    printed = materialise(docs.select(F.col(key).alias("key"), fingerprints(F.col(text), shingle).alias("print")))
     classes = materialise(printed.groupBy("print").agg(F.min("key").alias("least")))
     roots = materialise(link(classes, distance=distance))
     rooted = classes.join(roots, "print", "left").select("print", "least", F.coalesce("root", "print").alias("root"))
