@@ -1,8 +1,10 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+"""Near-duplicate documents: SimHash groups of the fuzzy keys, widened by MinHash bands, all verified.
 
-Documents are compared as single lines: lower case (A-Z), one blank between words. Each gets a MinHash signature in
-``BANDS`` bands of ``ROWS`` rows; at a similarity of 0.8 all but 8 pairs in 10,000 meet in some band. What meets is
-filtered by odd sketches and verified on the texts, as the lines of ``substrings`` are, and groups are components.
+Documents are compared as single lines: lower case (A-Z), one blank between words. At a Jaccard similarity of 0.8 two
+SimHash fingerprints differ in about ten of 64 bits, which no number of keys finds at a bearable cost (README), so that
+SimHash alone links copies with few changes only. Each document gets a MinHash signature in ``BANDS`` bands of ``ROWS``
+rows besides; at a similarity of 0.8 all but 8 pairs in 10,000 meet in some band. All candidates are verified on the
+texts, and groups are components of what is verified.
 
 Defined cases: equal lines are one from the start; a null text is an empty one; texts of fewer words than a shingle
 equal others or are alone; an empty table gives an empty result; other columns are ignored.
@@ -10,62 +12,31 @@ equal others or are alone; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
+from riftline.llm.banding import SIMILARITY, clusters
 from riftline.llm.common import lower_ascii, materialise, row_keyed
-from riftline.llm.substrings import PART, SHINGLE, SIMILARITY, SKETCH, _chain, _mix, line_clusters, odd_sketch
 
-BANDS, ROWS, SEED = 10, 3, 43
-_ODD = np.random.default_rng(SEED).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BANDS, ROWS = 10, 3
 
 
 def line(text: Column) -> Column:
     return F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), r"[ \t\n\x0B\f\r]+", " "))
 
 
-def signatures(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bands with the sketch at the end, and the number of distinct shingles, of lines of ``SHINGLE`` words and more."""
-    words = [x.split(b" ") for x in lines]
-    last = np.cumsum([len(w) for w in words])
-    first = np.concatenate([[0], last[:-1]])
-    shingles = _chain(np.fromiter((xxh64_intdigest(w) for of in words for w in of), dtype=np.uint64, count=int(last[-1])), SHINGLE)
-    sketch, size = odd_sketch(shingles, first, last - SHINGLE + 1)
-    spans = np.stack([first, last - SHINGLE + 1], axis=1).ravel()
-    bands = np.zeros((len(lines), BANDS), dtype=np.uint64)
-    for k, odd in enumerate(_ODD):
-        least = np.minimum.reduceat(np.concatenate([_mix(shingles * odd), [np.uint64(0)]]), spans)[::2]
-        bands[:, k // ROWS] = _mix(bands[:, k // ROWS] + least) + np.uint64(k // ROWS)
-    return np.concatenate([bands.view(np.int64), sketch], axis=1), size
-
+def contents(docs: DataFrame, text: str) -> DataFrame:
+    """content, body: each document as one line, named by its hash; equal ones repeat."""
+    bodies = docs.select(line(F.col(text)).alias("body"))
+    return bodies.select(F.xxhash64("body").alias("content"), "body")
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        contents: list[int] = []
-        lines: list[bytes] = []
-        chars = 0
-        names, bodies = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for k, (content, body) in enumerate(zip(names, bodies, strict=True)):
-            if body.count(" ") >= SHINGLE - 1:
-                contents.append(content)
-                lines.append(body.encode())
-                chars += len(body)
-            if lines and (chars >= PART or k + 1 == len(names)):
-                bands, size = signatures(lines)
-                offsets = np.arange(len(lines) + 1, dtype=np.int32) * (BANDS + SKETCH)
-                yield pa.RecordBatch.from_arrays([pa.array(contents, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.ravel())), pa.array(size.astype(np.int32))], names=["content", "bands", "size"])
-                contents, lines, chars = [], [], 0
 
+def group(docs: DataFrame, key: str, text: str, *, similarity: float = SIMILARITY, candidates: DataFrame | None = None) -> DataFrame:
+    """_rk, content, root (equal in a group): one row for each row of ``docs``.
 
-def group(docs: DataFrame, key: str, text: str, *, similarity: float = SIMILARITY) -> DataFrame:
-    """_rk, content, root (equal in a group): one row for each row of ``docs``."""
-    bodies = docs.select(line(F.col(text)).alias("body"))
-    signed = bodies.select(F.xxhash64("body").alias("content"), "body").mapInArrow(_signed, "content long, bands array<bigint>, size int")
-    roots = line_clusters(signed, bodies, "body", similarity, bands=BANDS)
+    candidates: pairs (a, b) of contents to verify besides those of the bands.
+    """
+    bodies = contents(docs, text)
+    roots = clusters(bodies, BANDS, ROWS, similarity=similarity, more=candidates)
     rows = materialise(row_keyed(docs.select(key, text), key, text).select("_rk", F.xxhash64(line(F.col(text))).alias("content")))
     return rows.join(roots, "content", "left").select("_rk", "content", F.coalesce("root", "content").alias("root"))

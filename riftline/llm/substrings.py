@@ -1,26 +1,22 @@
 """Passages that repeat across documents, by paragraph MinHash banding.
 
-Two sizes of paragraph are compared:
-
-* Lines of at least ``LINE_WORDS`` words get a MinHash signature of their word shingles in ``BANDS`` bands of
-  ``ROWS`` rows. At a similarity of 0.8 a band collides with probability 0.8^3, and 98.7 % of such pairs collide
-  in some band. Each colliding line is compared with the least line of its bucket; components of the verified
-  links are found; only lines outside a bucket's commonest component are then compared with the rest.
-* Pieces find passages that stand in the middle of other text. A text is cut where the hash of a word pair is
-  the least of its ``REACH`` neighbours on both sides, so that a repeated passage is cut alike wherever it stands,
-  and one of more than fifty words holds whole pieces. A piece is too short for anything but equality of all
-  its words, so its one band is the hash of them.
-
-Lines that merely share a passage collide in great numbers without being similar. Each line content therefore has
-an odd sketch: the parity, in 256 bits, of its set of shingles. The sketches of two sets differ in at most as many
-bits as the sets in elements, and at a similarity of 0.8 these are at most a ninth of both sizes together: a join
-condition that loses no similar pair. Jaccard similarity is verified on the texts of what passes, which Spark reads
-again for just these lines. Clusters are components; the occurrence with the smallest key and start stays, the
-others are to be removed.
-
-Defined cases: a null or empty text has no passages; repeats inside one document only are no clusters; documents
-that share a key but not the text count as different, rows equal in both as one; an empty table gives an empty
-result; other columns are ignored.
+Two kinds of paragraph are compared:
+
+* Lines of any length get a MinHash signature of their word shingles in ``BANDS`` bands of ``ROWS`` rows. At a
+  similarity of 0.8 all but 8 pairs in 10,000 meet in some band; what meets is verified by exact Jaccard similarity, and
+  clusters are components (``banding``).
+* Pieces find passages that stand in the middle of other lines. A text is cut where the hash of a word pair is the
+  least of its ``REACH`` neighbours on both sides (the first of equal ones), ``LONGEST`` words after a cut at the latest,
+  and at its ends, so that a repeated passage is cut alike wherever it stands. A piece of some eleven words is too short
+  for anything but equality of all its words: its one band is their hash, of 96 bits.
+
+A paragraph repeats if another document has one of its cluster. The occurrence with the smallest key and start stays,
+the others are to be removed. Repeats that overlap or touch form a passage. One of fewer than ``LEAST`` words is left
+alone, since short stock phrases are in any text, unless it is its whole document.
+
+Defined cases: a null or empty text has no passages; repeats inside one document only are no clusters; documents that
+share a key but not the text count as different, rows equal in both as one; an empty table gives an empty result; other
+columns are ignored. At the ends of a passage inside other text up to ``LONGEST`` words, five on average, can stay out.
 """
 
 from __future__ import annotations
@@ -28,212 +24,145 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from riftline.llm.common import materialise, row_keyed
-from riftline.llm.components import components
+from riftline.llm.banding import SIMILARITY, clusters
+from riftline.llm.common import forget, materialise, row_keyed
+from riftline.llm.shingles import PART, chain, mix, words
 
-SHINGLE, SIMILARITY, LINE_WORDS, REACH, BANDS, ROWS, SKETCH, SEED = 5, 0.8, 20, 6, 6, 3, 4, 42
-#: Characters of text in memory at a time, apart from a longer single text.
-PART = 2_000_000
+REACH, LONGEST, LEAST, BANDS, ROWS = 5, 24, 25, 7, 2
+#: Odd factors of the hash of a piece and of its check, and their inverses modulo 2^64.
+_FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_INVERSES = tuple(pow(f, -1, 1 << 64) for f in _FACTORS)
+FIELDS = ("content", "check", "w0", "w1", "start", "end")
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_ODD = np.random.default_rng(SEED).integers(1, 1 << 62, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
 
+def cuts(pairs: np.ndarray, reach: int = REACH, longest: int = LONGEST) -> np.ndarray:
+    """First words of pieces, and the end: local minima of the hashes of word pairs, of n + 1 words."""
+    n = len(pairs) + 1
+    if len(pairs):
+        end = np.full(reach, np.iinfo(np.uint64).max, dtype=np.uint64)
+        around = np.lib.stride_tricks.sliding_window_view(np.concatenate([end, pairs, end]), reach).min(axis=1)
+        found = np.flatnonzero((pairs < around[: len(pairs)]) & (pairs <= around[reach + 1 :]))
+    else:
+        found = np.zeros(0, dtype=np.int64)
+    edges = np.unique(np.concatenate([[0], found, [n]]))
+    size = np.diff(edges)
+    more = (size - 1) // longest
+    forced = np.repeat(edges[:-1], more) + longest * (np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1)
+    return np.sort(np.concatenate([edges, forced]))
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(31)) * _PRIME
-    return x ^ x >> np.uint64(29)
 
+def _powers(n: int, factor: int) -> np.ndarray:
+    out = np.full(n + 1, factor, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
-def _chain(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n words, in order."""
-    out = h[: len(h) - n + 1].copy()
-    for k in range(1, n):
-        out = _mix(out) + h[k : len(h) - n + 1 + k]
-    return _mix(out)
 
+def run_hashes(h: np.ndarray, edges: np.ndarray, factor: int, inverse: int) -> np.ndarray:
+    """Hash of the words between each two edges, whatever stands before them."""
+    sums = np.append(np.uint64(0), np.cumsum(h * _powers(len(h) - 1, factor)))
+    return mix((sums[edges[1:]] - sums[edges[:-1]]) * _powers(len(h), inverse)[edges[:-1]] + np.diff(edges).astype(np.uint64))
 
-def cuts(pairs: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Places whose hash is strictly the least among ``reach`` neighbours on both sides."""
-    if len(pairs) < 2 * reach + 1:
-        return np.zeros(0, dtype=np.int64)
-    around = np.lib.stride_tricks.sliding_window_view(pairs, reach)
-    left, right = around[: len(pairs) - 2 * reach].min(axis=1), around[reach + 1 :].min(axis=1)
-    middle = pairs[reach : len(pairs) - reach]
-    return np.flatnonzero((middle < left) & (middle < right)) + reach
 
-
-def odd_sketch(shingles: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each run [first, last) the parities of its distinct shingles in 64 * SKETCH bits, and their number."""
-    n = last - first
-    owner = np.repeat(np.arange(len(first)), n)
-    values = shingles[np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-    order = np.lexsort((values, owner))
-    owner, values = owner[order], values[order]
-    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (values[1:] != values[:-1])])
-    owner, values = owner[new], values[new]
-    bits = np.bincount(owner * (64 * SKETCH) + (_mix(values) >> np.uint64(56)).astype(np.int64), minlength=len(first) * 64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).reshape(len(first), SKETCH), np.bincount(owner, minlength=len(first)).astype(np.int32)
-
-
-def paragraphs(text: str) -> dict[str, np.ndarray]:
-    """line (bool), content, start, end (code points), words, and of lines their shingles' number (size), bands and sketch."""
+def paragraphs(text: str) -> tuple[int, dict[str, np.ndarray], dict[str, np.ndarray]] | None:
+    """Number of words, pieces and lines (``FIELDS``; start and end in code points); nothing without a word."""
     raw = text.encode()
+    begin, stop, h = words(raw)
+    if not len(begin):
+        return None
+    edges = cuts(chain(h, 2))
+    pieces = {"content": run_hashes(h, edges, _FACTORS[0], _INVERSES[0]).view(np.int64), "check": (run_hashes(h, edges, _FACTORS[1], _INVERSES[1]) >> np.uint64(33)).astype(np.int32), "w0": edges[:-1], "w1": edges[1:]}
     data = np.frombuffer(raw, dtype=np.uint8)
-    low = raw.translate(_LOWER)
-    gap = np.concatenate([[True], _SPACE[data], [True]])
-    begin, stop = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(~gap[:-1] & gap[1:])
-    words = np.fromiter((xxh64_intdigest(low[a:b], SEED) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)), dtype=np.uint64, count=len(begin))
-    # Pieces: between two cuts. The sum of place-dependent word hashes over a piece is its content.
-    edge = cuts(_chain(words, 2)) if len(words) > 1 else np.zeros(0, dtype=np.int64)
-    first, last = edge[:-1], edge[1:]
-    piece_hash = np.array([xxh64_intdigest(words[a:b].tobytes(), SEED) for a, b in zip(first.tolist(), last.tolist(), strict=True)], dtype=np.uint64)
-    # Lines: of enough words.
     feet = np.concatenate([np.flatnonzero(data == 10), [len(data)]])
     heads = np.concatenate([[0], feet[:-1] + 1])
     w0, w1 = np.searchsorted(begin, heads), np.searchsorted(begin, feet)
-    long = np.flatnonzero(w1 - w0 >= LINE_WORDS)
-    w0, w1 = w0[long], w1[long]
-    line_hash = np.array([xxh64_intdigest(raw[a:b], SEED) for a, b in zip(heads[long].tolist(), feet[long].tolist(), strict=True)], dtype=np.uint64)
-    bands, sketch, size = np.zeros((len(long), BANDS), dtype=np.uint64), np.zeros((len(long), SKETCH), dtype=np.int64), np.zeros(len(long), dtype=np.int32)
-    if len(long):
-        shingles = _chain(words, SHINGLE)
-        sketch, size = odd_sketch(shingles, w0, w1 - SHINGLE + 1)
-        spans = np.stack([w0, w1 - SHINGLE + 1], axis=1).ravel()
-        for k, odd in enumerate(_ODD):
-            least = np.minimum.reduceat(np.concatenate([_mix(shingles * odd), [np.uint64(0)]]), spans)[::2]
-            bands[:, k // ROWS] = _mix(bands[:, k // ROWS] + least) + np.uint64(k // ROWS)
-    at = np.cumsum(data & 0xC0 != 0x80) - 1 if len(data) else np.zeros(0, dtype=np.int64)  # the code point of each byte
-    point = lambda byte: np.where(byte < len(data), at[np.minimum(byte, len(data) - 1)], len(text)) if len(data) else byte
-    return {
-        "line": np.repeat([False, True], [len(first), len(long)]), "content": np.concatenate([piece_hash, line_hash]),
-        "start": np.concatenate([point(begin[first]), point(begin[w0])]).astype(np.int32), "end": np.concatenate([point(stop[last - 1]), point(stop[w1 - 1])]).astype(np.int32),
-        "words": np.concatenate([last - first, w1 - w0]).astype(np.int32), "size": np.concatenate([np.zeros(len(first), dtype=np.int32), size]), "bands": np.concatenate([bands.view(np.int64), sketch], axis=1),
-    }
+    filled = np.flatnonzero(w1 > w0)
+    hashed = np.array([xxh64_intdigest(raw[a:b], 42) for a, b in zip(heads[filled].tolist(), feet[filled].tolist(), strict=True)], dtype=np.uint64)
+    lines = {"content": hashed.view(np.int64), "check": np.full(len(filled), -1, dtype=np.int32), "w0": w0[filled], "w1": w1[filled]}
+    point = np.cumsum(data & 0xC0 != 0x80) - 1  # the code point of each byte
+    for of in (pieces, lines):
+        of["start"], of["end"] = point[begin[of["w0"]]], point[stop[of["w1"] - 1] - 1] + 1
+    return len(begin), pieces, lines
 
 
 def units(keyed: DataFrame, text: str) -> DataFrame:
-    """_rk, line, content, start, end, words, size, bands (with the sketch at the end): every paragraph of every text."""
-    schema = f"_rk {keyed.schema['_rk'].dataType.simpleString()}, line boolean, content long, start int, end int, words int, size int, bands array<bigint>"
+    """_rk, doc (a hash of it), words, u (array of FIELDS; check is -1 for lines): a row for each text with a word."""
+    fields = "content long, check int, w0 int, w1 int, start int, end int"
+    schema = f"_rk {keyed.schema['_rk'].dataType.simpleString()}, words int, u array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owner: list[np.ndarray] = []
-            found: list[dict[str, np.ndarray]] = []
-            size = 0
+            owner: list[int] = []
+            found: list[tuple[int, dict[str, np.ndarray]]] = []
+            chars = 0
 
             def flush() -> pa.RecordBatch:
-                whole = {k: np.concatenate([x[k] for x in found]) for k in ("line", "content", "start", "end", "words", "size")}
-                offsets = np.concatenate([[0], np.cumsum(np.where(whole["line"], BANDS + SKETCH, 0))]).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([x["bands"].ravel() for x in found])))
-                columns = [batch.column(0).take(pa.array(np.concatenate(owner))), *(pa.array(v.view(np.int64) if k == "content" else v) for k, v in whole.items()), bands]
-                return pa.RecordBatch.from_arrays(columns, names=["_rk", *whole, "bands"])
+                columns = [pa.array(np.concatenate([x[c] for _, x in found]).astype(np.int64 if c == "content" else np.int32)) for c in FIELDS]
+                offsets = np.concatenate([[0], np.cumsum([len(x["w0"]) for _, x in found])]).astype(np.int32)
+                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, names=list(FIELDS)))
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array([n for n, _ in found], pa.int32()), listed], names=["_rk", "words", "u"])
 
             for k, t in enumerate(batch.column(1).to_pylist()):
-                if t:
-                    found.append(paragraphs(t))
-                    owner.append(np.full(len(found[-1]["line"]), k))
-                    size += len(t)
-                if size >= PART:
+                if t and (of := paragraphs(t)):
+                    owner.append(k)
+                    found.append((of[0], {c: np.concatenate([of[1][c], of[2][c]]) for c in FIELDS}))
+                    chars += len(t)
+                if chars >= PART:
                     yield flush()
-                    owner, found, size = [], [], 0
+                    owner, found, chars = [], [], 0
             if found:
                 yield flush()
 
-    return keyed.select("_rk", text).mapInArrow(run, schema)
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    """Of the word shingles of two lines."""
+    return keyed.select("_rk", text).mapInArrow(run, schema).withColumn("doc", F.xxhash64("_rk.k", "_rk.h"))
 
-    @F.pandas_udf("double")
-    def of(left: pd.Series, right: pd.Series) -> pd.Series:
-        def shingles(line: str) -> set[tuple]:
-            w = line.encode().translate(_LOWER).split()
-            return {tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))}
 
-        return pd.Series([len(x & y) / len(x | y) for x, y in zip(map(shingles, left), map(shingles, right), strict=True)], dtype="float64")
-
-    return of(a, b)
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, text: str, similarity: float) -> DataFrame:
-    """The pairs (a, b) of line contents that are similar enough, by their texts."""
-    pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct())
+def repeats(docs: DataFrame, key: str, text: str, *, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """_rk, words (of the document), line, w0, w1, keeper (of _rk and w0), removed: every repeat; and the units."""
+    found = materialise(units(row_keyed(docs.select(key, text), key, text), text))
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("body")).select(F.xxhash64("body").alias("content"), "body")
-    bodies = materialise(lines.join(wanted, "content", "left_semi").groupBy("content").agg(F.min("body").alias("body")))
-    left = materialise(pairs.join(bodies, pairs["a"] == bodies["content"]).select("a", "b", F.col("body").alias("left")))
-    both = left.join(bodies, left["b"] == bodies["content"]).select("a", "b", "left", "body")
-    return materialise(both.where(jaccard(F.col("left"), F.col("body")) >= similarity).select("a", "b"))
-
-
-def _may_be_similar(similarity: float) -> Column:
-    """Whether the sketches x and y of sizes m and n leave room for the similarity."""
-    apart = sum((F.bit_count(F.col("x")[k].bitwiseXOR(F.col("y")[k])) for k in range(1, SKETCH)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
-    return apart <= F.floor((F.col("m") + F.col("n")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
-
-
-def line_clusters(lines: DataFrame, docs: DataFrame, text: str, similarity: float, *, bands: int = BANDS) -> DataFrame:
-    """content, root: for each line content that is similar to another, the least content that it reaches."""
-    contents = materialise(lines.groupBy("content").agg(F.first("bands").alias("bands"), F.first("size").alias("size")))  # equal contents have equal bands
-    keyed = materialise(contents.select("content", F.explode(F.slice("bands", 1, bands)).alias("band")))
-    buckets = materialise(keyed.groupBy("band").agg(F.min("content").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1"))
-    shared = materialise(keyed.join(buckets, "band"))
-    sketch = contents.select("content", F.slice("bands", bands + 1, SKETCH).alias("x"), F.col("size").alias("m"))
-    named = lambda name: sketch.withColumnsRenamed({"content": name, "x": "y", "m": "n"})
-    stars = materialise(shared.where("content != pivot").select("content", "pivot").distinct().join(sketch, "content"))
-    star = stars.join(named("pivot"), "pivot").where(_may_be_similar(similarity)).select(F.col("content").alias("a"), F.col("pivot").alias("b"))
-    first = materialise(components(_verified(star, docs, text, similarity), "a", "b").withColumnsRenamed({"node": "content", "component": "root"}))
-    rooted = materialise(shared.where("c > 2").select("band", "content").join(first, "content", "left").select("band", "content", F.coalesce("root", "content").alias("root")))
-    common = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("common"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band", "common")
-    open_ = materialise(rooted.join(materialise(common), "band").join(sketch, "content"))
-    few = materialise(open_.where("root != common").select("band", F.col("content").alias("other"), F.col("root").alias("other_root"), F.col("x").alias("y"), F.col("m").alias("n")))
-    # Both of the few meet twice; the smaller content looks.
-    once = (F.col("root") == F.col("common")) | (F.col("content") < F.col("other"))
-    rest = few.join(open_.select("band", "content", "root", "common", "x", "m"), "band").where((F.col("root") != F.col("other_root")) & once & _may_be_similar(similarity)).select(F.col("content").alias("a"), F.col("other").alias("b"))
-    edges = first.select(F.col("content").alias("a"), F.col("root").alias("b")).unionByName(_verified(rest, docs, text, similarity))
-    return materialise(components(edges, "a", "b").withColumnsRenamed({"node": "content", "component": "root"}))
-
-
-def repeats(docs: DataFrame, key: str, text: str, *, similarity: float = SIMILARITY) -> DataFrame:
-    """_rk, line, start, end, words, cluster, keeper (_rk of the occurrence that stays), removed."""
-    keyed = row_keyed(docs.select(key, text), key, text)
-    found = materialise(units(keyed, text).withColumn("doc", F.xxhash64("_rk.k", "_rk.h")))
-    lines = found.where("line")
-    roots = line_clusters(lines.select("content", "bands", "size"), docs, text, similarity)
-    # Most paragraphs are alone; only those that repeat or have a root go on.
-    again = materialise(found.groupBy("line", "content").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select("line", "content"))
-    alike = roots.select(F.lit(True).alias("line"), "content", "root")
-    wanted = materialise(again.join(alike, ["line", "content"], "full_outer").select("line", "content", F.coalesce("root", "content").alias("cluster")))
-    members = materialise(found.drop("bands", "size").join(wanted, ["line", "content"]))
-    clusters = members.groupBy("line", "cluster").agg(F.min(F.struct("_rk", "start")).alias("keeper"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select("line", "cluster", "keeper")
-    return members.join(materialise(clusters), ["line", "cluster"]).select("_rk", "line", "start", "end", "words", "cluster", "keeper", (F.struct("_rk", "start") != F.col("keeper")).alias("removed"))
-
-
-def passages(found: DataFrame) -> DataFrame:
-    """_rk, start, end, keeper, removed: overlapping and adjacent repeats of a document as one span each.
-
-    A document's repeats are as many as its paragraphs at most. Spans that touch within one character join.
+    roots = clusters(lines, BANDS, ROWS, similarity=similarity)
+    # Most paragraphs are alone; only those that repeat or have a root go on. Both readers of the units share one shuffle.
+    alone = F.transform("u", lambda u: F.struct(*[u[c].alias(c) for c in ("content", "check", "w0", "w1")]))
+    every = found.select("doc", F.explode(alone).alias("u")).select("doc", "u.*").repartition("content", "check")
+    again = every.groupBy("content", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select("content", "check")
+    alike = roots.select("content", F.lit(-1).alias("check"), "root")
+    wanted = again.join(alike, ["content", "check"], "full_outer").select("content", "check", F.coalesce("root", "content").alias("cluster"))
+    named = materialise(every.join(wanted, ["content", "check"]))
+    by = ["check", "cluster"]
+    members = materialise(named.join(found.select("doc", "_rk", "words").distinct(), "doc").select("_rk", "doc", "words", "check", "cluster", "w0", "w1"))
+    keepers = materialise(members.groupBy(*by).agg(F.min(F.struct("_rk", "w0")).alias("keeper"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select(*by, "keeper"))
+    out = materialise(members.join(keepers, by).select("_rk", "words", (F.col("check") == -1).alias("line"), "w0", "w1", "keeper", (F.struct("_rk", "w0") != F.col("keeper")).alias("removed")).distinct())
+    forget(named, members, keepers)
+    return out, found
+
+
+def passages(found: DataFrame, of: DataFrame, *, least: int = LEAST) -> DataFrame:
+    """_rk, start, end, words, keeper (of the first repeat in it), removed: repeats that overlap or touch as one span each.
+
+    Spans of repeats to keep and to remove are told apart after those of fewer than ``least`` words, but for whole
+    documents, have gone. A document's repeats, as many as its paragraphs at most, are in one window. of: the units, for
+    the places of words.
     """
-    spans = found.groupBy("_rk", "removed").agg(F.array_sort(F.collect_set(F.struct("start", "end", F.col("keeper._rk").alias("keeper")))).alias("s"))
-    step = lambda done, x: F.when(
-        (F.size(done) > 0) & (x["start"] <= F.element_at(done, -1)["end"] + 1),
-        F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"), F.element_at(done, -1)["keeper"].alias("keeper")))),
-    ).otherwise(F.concat(done, F.array(x)))
-    kind = found.select(F.array(F.struct("start", "end", F.col("keeper._rk").alias("keeper"))).alias("a")).schema["a"].dataType
-    merged = spans.select("_rk", "removed", F.explode(F.aggregate("s", F.array().cast(kind), step)).alias("m"))
-    return merged.select("_rk", "m.start", "m.end", "m.keeper", "removed")
+
+    def numbered(rows: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("w0", "w1")
+        before = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("_new", F.when(F.col("w0") <= before, 0).otherwise(1)).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+    whole = Window.partitionBy("_rk", "run")
+    size = F.max("w1").over(whole) - F.min("w0").over(whole)
+    long = numbered(found, "_rk").withColumn("size", size).where((F.col("size") >= least) | (F.col("size") == F.col("words"))).drop("run", "size")
+    spans = numbered(long, "_rk", "removed").groupBy("_rk", "removed", "run").agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min_by("keeper", F.struct("w0", "w1"))["_rk"].alias("keeper"))
+    placed = spans.join(of.dropDuplicates(["_rk"]).select("_rk", "u"), "_rk")
+    at = lambda c, w: F.element_at(F.filter("u", lambda x: x[w] == F.col(w)), 1)[c].alias(c)
+    return placed.select("_rk", at("start", "w0"), at("end", "w1"), (F.col("w1") - F.col("w0")).alias("words"), "keeper", "removed")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    found = passages(repeats(docs, "doc_id", "text"))
-    return found.select(F.col("_rk.k").alias("doc_id"), "start", "end", F.col("keeper.k").alias("kept_doc_id"), "removed")
+    found = passages(*repeats(docs, "doc_id", "text"))
+    return found.select(F.col("_rk.k").alias("doc_id"), "start", "end", "words", F.col("keeper.k").alias("kept_doc_id"), "removed")

@@ -1,6 +1,7 @@
 """The operators' queries on small tables with every awkward row, against plain models of the contracts."""
 
 import base64
+import gzip
 import hashlib
 import itertools
 import random
@@ -322,17 +323,22 @@ def test_vectors(spark):
     r = np.random.default_rng(2)
     v = r.normal(size=(300, 20))
     near = v[:120] + r.normal(size=(120, 20)) * r.uniform(0, 0.4, (120, 1))
-    rows = [(k, x.tolist()) for k, x in enumerate(np.concatenate([v, near, v[:5], 3 * v[5:10]]))]
-    odd = [(900, None), (901, [0.0] * 20), (902, [float("nan")] * 20), (903, [None] * 20), (904, []), (905, [1.0]), (906, [float("inf")] * 20), (None, v[0].tolist())]
+    rows = [(k, x.tolist()) for k, x in enumerate(np.concatenate([v, near, v[:5], 3 * v[5:10], v[:1]]))]
+    rows[-1] = (None, rows[-1][1])
+    odd = [(900, None), (901, [0.0] * 20), (902, [float("nan")] * 20), (903, [None] * 20), (904, []), (905, [1.0]), (906, [float("inf")] * 20)]
     found = {x.vec_id: x for x in embeddings.query(frame(spark, rows + odd, T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))]))).collect()}
     m = np.array([x for _, x in rows])
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     close = m @ m.T >= 0.95
     true, got = close.sum(axis=1) - 1, np.array([found[k].n_links for k, _ in rows])
+    names = groups([k for k, _ in rows], list(range(len(rows))), lambda a, b: close[a, b])
+    assert np.mean([found[k].component_id == c for (k, _), c in zip(rows, names, strict=True)]) >= 0.95
+    assert all(x.kept == (x.vec_id == x.component_id) for x in found.values() if x.vec_id is not None)
     assert (got <= true).all()
     assert got.sum() >= 0.95 * true.sum()
     assert all(found[k].n_links == 0 and found[k].kept for k in range(900, 907))
-    assert found[None].n_links == 0
+    assert (found[None].n_links, found[None].component_id, found[None].kept) == (found[0].n_links, found[0].component_id, False)
+    assert embeddings.query(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
 def test_vectors_in_hot_buckets_only(spark):
@@ -411,6 +417,49 @@ def test_passages(spark):
     assert {x.doc_id for x in found if x.removed} == set(range(1, 60, 2))
 
 
+def test_whole_documents_and_periodic_text(spark):
+    """Copies of any length whole, from the first character to the last; runs without a local minimum; no stock phrases."""
+    twelve, lines, spam = words(12, 40), "\n".join(words(10, 50 + k) for k in range(30)), "buy now at shop " * 30
+    texts = [twelve, twelve, words(19, 41), words(19, 41), lines, lines, f"{words(40, 42)} {spam}{words(40, 43)}", f"{words(40, 44)} {spam}{words(40, 45)}"]
+    texts += [f"{words(60, 46 + k)}\nAll rights reserved by us.\n{words(60, 146 + k)}" for k in range(4)]
+    found = substrings.query(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(x.doc_id, x.kept_doc_id, x.removed, x.start, x.end) for x in found if x.doc_id < 6} == {(k, k - k % 2, k % 2 == 1, 0, len(texts[k])) for k in range(6)}
+    assert all(sum(x.words for x in found if x.doc_id == k) > 90 for k in (6, 7))
+    assert not {x.doc_id for x in found if x.doc_id > 7}
+
+
+def test_spans_of_planted_passages(spark):
+    """Against the longest common runs of words: nothing beyond them, and all but the ends of them."""
+    rows, wanted = [], {}
+    for k in range(20):
+        passage = words(70, 9000 + k)
+        for j in (0, 1):
+            before = words(30 + 7 * k % 40, 9100 + 2 * k + j) + " "
+            rows.append((2 * k + j, before + passage + " " + words(50, 9200 + 2 * k + j)))
+            wanted[2 * k + j] = (len(before), len(before) + len(passage))
+    covered = dict.fromkeys(wanted, 0)
+    for x in substrings.query(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        a, b = wanted[x.doc_id]
+        assert a <= x.start < x.end <= b
+        covered[x.doc_id] += x.end - x.start
+    assert sum(covered.values()) >= 0.75 * sum(b - a for a, b in wanted.values())
+
+
+def test_record_ids_are_unique(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "y"), (1, "u", "x"), (2, "u", "y")], "page_id long, url string, html string")
+    warc.write_archives(pages, "page_id", "url", "html", str(tmp_path / "w"))
+    heads = b"".join(gzip.decompress(p.read_bytes()) for p in sorted((tmp_path / "w").glob("*.warc.gz")))
+    ids, refers = (re.findall(name + rb": (<[^>]*>)", heads) for name in (rb"WARC-Record-ID", rb"WARC-Refers-To"))
+    assert len(ids) == len(set(ids)) == 4
+    assert len(refers) == 2
+    assert set(refers) < set(ids)
+
+
+@pytest.mark.parametrize("at", ["[at]", "[AT]", "(at)", "(AT)"])
+def test_spelt_at(at):
+    assert list(pii._unseen(f"write to joe {at} x.example.org now", []))
+
+
 def test_similar_lines_are_found_exactly(spark):
     r = random.Random(9)
     rows = []
@@ -425,5 +474,5 @@ def test_similar_lines_are_found_exactly(spark):
     names = groups(list(range(len(rows))), shingles, lambda a, b: len(a & b) / len(a | b) >= 0.8)
     sizes = Counter(names)
     wanted = {k: c for k, c in enumerate(names) if sizes[c] > 1}
-    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").where("line").collect()
+    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")[0].where("line").collect()
     assert {(x["_rk"]["k"], x["keeper"]["_rk"]["k"]) for x in found} == set(wanted.items())

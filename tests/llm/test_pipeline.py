@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riftline.llm import packing
-from tests.llm.test_contracts import DOCS, words
+from tests.llm.test_contracts import DOCS, SF, words
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -63,3 +63,25 @@ def test_near_duplicates_tell_rows_by_id_and_text(spark):
     assert sorted(f for f in found if f[0] is not None) == sorted([(1, one), (2, two), (3, three)])
     assert len([f for f in found if f[0] is None]) == 2
     assert texts[8] in found
+
+
+def test_language_stage(spark):
+    """Gibberish and unseen scripts go, short texts stay, columns that clash with results stay, no label keeps all."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text IS NOT NULL").withColumns({"score": F.lit(77.0), "lang_pred": F.lit("x"), "bits": F.lit("b")})
+    r = random.Random(1)
+    odd = [(9001, "".join(r.choice("abcdefghijklmnopqrstuvwxyz  ") for _ in range(600))), (9002, "\u041f\u0440\u0438\u0432\u0435\u0442 " * 9), (9003, "Re.")]
+    more = spark.createDataFrame([(k, t, None, "s", len(t), 77.0, "x", "b") for k, t in odd], docs.schema)
+    kept = corpus_pipeline.language(spark, docs.unionByName(more), SF)
+    assert kept.columns == docs.columns
+    assert kept.select("score", "lang_pred", "bits").distinct().collect() == [(77.0, "x", "b")]
+    ids = {x.doc_id for x in kept.collect()}
+    assert ids & {9001, 9002, 9003} == {9003}
+    assert kept.count() >= docs.count()
+    unlabelled = more.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unlabelled, SF).count() == 3
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
