@@ -13,7 +13,7 @@ counts and a spanning forest, a row a vector at most, never its pairs: a pair th
 counted in the first table where it does, which the block tells from the hashes of both.
 
 Defined cases: vectors that are null, empty or zero, or that hold null or non-finite components, link with
-nothing, nor do rows with a null id; vectors of different sizes are never compared; equal rows count as other
+nothing; a row with a null id links and counts like any other, but names no component; vectors of different sizes are never compared; equal rows count as other
 vectors; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -213,7 +213,7 @@ def _compare_sorted(cosine: float):
 
 def link(vectors: DataFrame, key: str, vector: str, *, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """key, n_links, component (the smallest key reachable): one row for each row of ``vectors``."""
-    usable = F.col(key).isNotNull() & _valid(F.col(vector))
+    usable = _valid(F.col(vector))
     rows = vectors.select(F.col(key).alias("key"), F.when(usable, F.xxhash64(vector)).alias("h1"), F.when(usable, F.hash(F.lit(7), F.col(vector))).alias("h2"), F.when(usable, F.col(vector)).alias("embedding"))
     narrow = materialise(rows.select("key", "h1", "h2"))
     classes = materialise(rows.where("h1 IS NOT NULL").groupBy("h1", "h2").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("n"), F.first("embedding").alias("embedding")).withColumn("node", F.monotonically_increasing_id()))

@@ -97,6 +97,10 @@ class Model:
     lengths: list[int]
     symbol: np.ndarray
 
+    def literal(self) -> float:
+        """Bits of a known symbol by itself: what text costs that holds no phrase of the language."""
+        return 1 + float(np.log2(self.tables[0].shape[1]))
+
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of all texts in one array, where each text begins in it, and the letters of each text."""
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -226,18 +230,19 @@ def fit(labelled: DataFrame, key: str, text: str, lang: str, *, sample_chars: in
     return model
 
 
-def identify(docs: DataFrame, text: str, model: Model) -> DataFrame:
-    """Add lang_pred, score (0 to 1) and bits (a symbol, of the winner) to every row."""
+def identify(docs: DataFrame, text: str, model: Model, *, names: tuple[str, str, str] = ("lang_pred", "score", "bits")) -> DataFrame:
+    """Add lang_pred, score (0 to 1) and bits (a symbol, of the winner) to every row, by these names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double, bits double")
+    @F.pandas_udf("a string, b double, c double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known = shared.value
         for batch in batches:
-            yield known.predict([t or "" for t in batch])
+            yield known.predict([t or "" for t in batch]).set_axis(["a", "b", "c"], axis=1)
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "bits", "_of")])
-    return kept.withColumn("_of", of(F.col(text))).select(*kept.columns, "_of.*")
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
+    parts = [F.col("__of")[x].alias(name) for x, name in zip("abc", names, strict=True)]
+    return kept.withColumn("__of", of(F.col(text))).select(*[F.col(f"`{c}`") for c in kept.columns], *parts)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -86,12 +86,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _spelt_at(text: str) -> bool:
+    return "at)" in text or "at]" in text or "AT)" in text or "AT]" in text
+
+
 def _unseen(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """Identifier-like strings beside the base spans, with each kind that they could be."""
     taken = [(a, b) for a, _, b in base]
     letter = lambda k: 0 <= k < len(text) and text[k].isalnum()
     free = lambda a, b: not (letter(a - 1) or letter(b) or any(x < b and a < y for x, y in taken))
-    if "at)" in text or "at]" in text or "AT)" in text or "AT]" in text:
+    if _spelt_at(text):
         yield from ((a, EMAIL, b) for a, b in _addresses(text, _AT) if free(a, b))
     for m in _NUMBER.finditer(text):
         if m.end() - m.start() < 7 or m.end() - m.start() > 60 or not free(*m.span()):
@@ -135,7 +139,7 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 base = base_spans(text or "")
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
-                both = [(a, k, b, True) for a, k, b in base] + ([(a, k, b, False) for a, k, b in _unseen(text, base)] if text and (len(base) or _DIGIT.search(text) or "at)" in text or "at]" in text) else [])
+                both = [(a, k, b, True) for a, k, b in base] + ([(a, k, b, False) for a, k, b in _unseen(text, base)] if text and (len(base) or _DIGIT.search(text) or _spelt_at(text)) else [])
                 places.append([{"start": a, "kind": k, "end": b, "known": known, "name": xxh64_intdigest(text[a:b]) - (1 << 63), "contexts": contexts(text, a, b)} for a, k, b, known in both])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bases, pa.list_(_SPAN)), pa.array(places, pa.list_(_PLACE))], names=["_rk", "base", "places"])
 

@@ -55,10 +55,10 @@ def _base32(digest: bytes) -> str:
 def _record(kind: str, key: str | None, serial: int, url: str | None, payload: bytes, digest: bytes, refers_to: str | None, date: str) -> bytes:
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if kind == "response" else http
-    name = quote(key, safe="") if key is not None else "none-" + digest.hex()
+    name = quote(key, safe="") if key is not None else "none"
     head = [
         ("WARC-Type", kind),
-        ("WARC-Record-ID", f"<urn:record:{name}:{serial}>"),
+        ("WARC-Record-ID", f"<urn:record:{name}:{digest.hex()}:{serial}>"),
         ("WARC-Date", date),
         ("WARC-Target-URI", quote(url, safe=":/?#[]@!$&'()*+,;=%~-._") if url else "urn:unknown"),
         ("WARC-Payload-Digest", "sha1:" + _base32(digest)),
@@ -69,7 +69,7 @@ def _record(kind: str, key: str | None, serial: int, url: str | None, payload: b
     if key is not None:
         head.append(("X-Key", quote(key, safe="")))
     if kind == "revisit":
-        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:record:{quote(refers_to, safe='')}:0>"), ("X-Refers-To-Key", quote(refers_to, safe=""))]
+        head += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:record:{quote(refers_to, safe='')}:{digest.hex()}:0>"), ("X-Refers-To-Key", quote(refers_to, safe=""))]
     return VERSION + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
