@@ -75,7 +75,7 @@ RULES = (
     Rule("permissive-cors", "orange", "Permissive CORS", (
         *_ci(r"""\bcors\s*\(\s*\{[^}]*\borigin\s*:\s*['"`]\*['"`]""", r"\bcors\s*\(\s*(?:\{\s*\})?\s*\)"),
         *_cs(r"""\borigin\s*:\s*['"`]\*['"`]""", r"""['"]Access-Control-Allow-Origin['"]\s*[,)]\s*['"`]\*['"`]"""),
-        *_ci(r"""\.setHeader\s*\(\s*['"]Access-Control-Allow-Origin['"]\s*,\s*['"`]\*['"`]\)"""),
+        *_cs(r"""\.setHeader\s*\(\s*['"]Access-Control-Allow-Origin['"]\s*,\s*['"`]\*['"`]\)"""),
     )),
     Rule("path-traversal", "orange", "Path traversal", _ci(
         r"\bpath\.(?:join|resolve|normalize)\s*\([^)]*(?:req|request|ctx)\.(?:params|query|body)\b", r"\bfs\.(?:readFile|readFileSync|createReadStream|open|openSync)\s*\([^)]*(?:req|request|ctx)\.(?:params|query|body)\b",
@@ -92,6 +92,17 @@ RULES = (
     ), languages=AST_LANGUAGES),
 )
 
+#: Words of which each match of a rule holds one, in lower case: lines without any are never matched.
+WORDS = {
+    "hardcoded-secret": ("akia", "begin", "ghp_", "github_pat_", "xox", "aiza", "sk_live_", "key", "secret", "token", "password", "passwd", "pwd"),
+    "db-schema-destructive": ("drop", "truncate", "delete"), "db-schema-change": ("table", "column", "rename"), "raw-query": (".query", ".raw", ".exec", "insert", "update"),
+    "auth-crypto": ("passport", "jsonwebtoken", "bcrypt", "argon2", "scrypt", "oauth", "jwt.", "crypto.", "token", "password", "authenticate", "authorize", "checkpermission", "requireauth", "isadmin"),
+    "dangerous-exec": ("eval", "function", "child_process", ".exec", "spawn", "os.system", "subprocess", "pickle", "yaml", "__import__"), "leftover-debugger": ("debugger",),
+    "network-call": ("fetch", "axios", "got", "superagent", "xmlhttprequest", "requests", "http.", "urllib"), "debug-logging": ("console.", "system.out", "fmt."), "todo-marker": ("todo", "fixme", "hack", "xxx"),
+    "sql-injection": (".query", ".raw", ".exec", "req", "ctx", "context"), "permissive-cors": ("cors", "origin"), "path-traversal": ("path.", "fs.", "__dirname", "process.cwd"),
+    "nosql-injection": ("$where", "db.eval", "mapreduce", ".find"), "prototype-pollution": ("assign", "merge", "..."),
+}
+
 #: Rules on whole files, as (rule, tier, title).
 FILE_RULES = (("migration-file", "orange", "Database migration file"), ("dependency-manifest", "yellow", "Dependency manifest change"))
 MANIFESTS = ("package.json", "requirements.txt", "pyproject.toml", "go.mod", "gemfile", "pom.xml", "build.gradle", "cargo.toml", "composer.json")

@@ -116,6 +116,27 @@ def reply_code(c: Column) -> Column:
     return F.when(F.size(blocks) > 0, F.array_join(blocks, "\n")).otherwise(plain)
 
 
+def capped_tier(severity: Column, cap: str) -> Column:
+    """Tier of a severity word (error, info, any other), no higher than ``cap``."""
+    wanted = F.when(severity == "error", 2).when(severity == "info", 0).otherwise(1)
+    return tier_name(F.least(wanted, F.lit(TIERS.index(cap))))
+
+
+def json_list(text: Column, element: str = "map<string,string>") -> Column:
+    """The JSON array from the first [ to the last ] of a text; empty where there is none or it cannot be read."""
+    start, end = F.locate("[", text), F.length(text) - F.locate("]", F.reverse(text)) + 1
+    body = F.when((start > 0) & text.contains("]") & (end > start), F.substring(text, start, end - start + 1))
+    return F.coalesce(F.from_json(body, f"array<{element}>"), F.array().cast(f"array<{element}>"))
+
+
+def verdict_class(text: Column) -> Column:
+    """confirmed-risk, likely-safe or needs-human: of the verdict line, or the first of these words that is anywhere."""
+    named = F.lower(F.regexp_extract(text, r"(?i)(?:\*\*Verdict:\*\*|Verdict:)\s*\*?\*?\s*(confirmed-risk|likely-safe|needs-human)", 1))
+    low = F.lower(text)
+    anywhere = F.when(low.contains("confirmed-risk"), "confirmed-risk").when(low.contains("likely-safe"), "likely-safe").otherwise("needs-human")
+    return F.when(F.coalesce(named, F.lit("")) != "", named).otherwise(anywhere)
+
+
 def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Bounds of the Wilson interval, within 0 and 1; (0, 0) for n = 0."""
     m = F.greatest(n, F.lit(1)).cast("double")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from riftline.functions import text as T
 from riftline.functions.patterns import to_java
-from riftline.functions.rules import AST_LANGUAGES, CONTROLS, MANIFESTS, RULES, SECURITY, TEST_EXEMPT
+from riftline.functions.rules import ADVISORY, AST_LANGUAGES, CONTROLS, MANIFESTS, RULES, SECURITY, TEST_EXEMPT
+from riftline.jobs import review as job
 from riftline.jobs import tables
 from riftline.operators import enrich, findings, guidelines, learnings, payloads, perfile, rollup, scoring, signatures
 from riftline.sources import diffs, sinks
@@ -49,9 +50,8 @@ def _pattern_rows() -> str:
 
 _ENTROPY = "-list_sum([(len(list_filter(string_split({v}, ''), lambda y: y = x)) / len({v})) * log2(len(list_filter(string_split({v}, ''), lambda y: y = x)) / len({v})) for x in list_distinct(string_split({v}, ''))])"
 
-#: All findings, as SQL.
-FOUND = rf"""
-WITH {tables.SQL}, pats(rule_id, rule_ord, pattern_ord, pat, unless, langs, raw_text, skip_ast, secret, tier, blocking, title) AS ({_pattern_rows()}),
+#: All findings in the lines that stand before, as SQL.
+_DETECTED = rf""", pats(rule_id, rule_ord, pattern_ord, pat, unless, langs, raw_text, skip_ast, secret, tier, blocking, title) AS ({_pattern_rows()}),
 hits AS (
   SELECT l.file_id, l.line, l.raw, p.*, CASE WHEN raw_text THEN raw ELSE scan END AS t, regexp_extract(CASE WHEN raw_text THEN raw ELSE scan END, pat) AS m
   FROM lines l JOIN pats p ON regexp_matches(CASE WHEN raw_text THEN raw ELSE scan END, pat) AND (langs IS NULL OR list_contains(langs, language)) AND NOT (skip_ast AND language IN {_in(AST_LANGUAGES)})
@@ -67,6 +67,7 @@ hits AS (
   SELECT found.* FROM found JOIN files USING (file_id) LEFT JOIN (SELECT DISTINCT file_id, line, true AS hit FROM changed) c USING (file_id, line) WHERE NOT diff_known OR hit
 )
 """
+FOUND = f"WITH {tables.SQL}" + _DETECTED
 RANK = "CASE tier WHEN 'orange' THEN 2 WHEN 'yellow' THEN 1 ELSE 0 END"
 
 
@@ -288,34 +289,67 @@ def blast_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("symbol", enrich.blast_summary(F.col("caller_count"), F.col("truncated"), F.col("files"), F.col("reviewers")).alias("summary"))
 
 
-@query(_IMPACT + """, f AS (SELECT p_partkey AS file_id, CASE WHEN p_partkey % 5 = 0 THEN 'raw-query' ELSE 'public-api-change' END AS rule_id, CASE WHEN p_partkey % 2 = 0 THEN 'x' ELSE 'mod' || CAST(p_partkey % 7 AS VARCHAR) END || '.fn' || CAST(p_partkey AS VARCHAR) AS symbol FROM part),
-j AS (SELECT f.*, coalesce(e.caller_count, b.caller_count) AS caller_count FROM f LEFT JOIN impact e ON e.symbol = f.symbol LEFT JOIN (SELECT string_split(symbol, '.')[2] AS bare, arg_min(caller_count, symbol) AS caller_count FROM impact GROUP BY 1) b ON b.bare = string_split(f.symbol, '.')[2])
-SELECT file_id, rule_id, symbol, caller_count, CASE WHEN rule_id = 'public-api-change' AND caller_count >= 30 THEN 'orange' WHEN rule_id = 'public-api-change' AND caller_count = 0 THEN 'yellow' ELSE 'yellow' END AS tier,
-  CASE WHEN rule_id = 'public-api-change' AND caller_count = 0 THEN 'deescalated' WHEN rule_id = 'public-api-change' AND caller_count >= 30 THEN 'escalated' END AS tier_adjusted FROM j""")
+_GRAPH = """, graph AS (SELECT symbol, caller_count, files, CASE WHEN caller_count % 2 = 0 THEN 'codegraph' ELSE 'search' END AS source FROM impact
+  UNION ALL SELECT 'none.z' || p_partkey, 0, 0, CASE WHEN p_partkey % 2 = 0 THEN 'codegraph' ELSE 'search' END FROM part WHERE p_partkey % 11 = 0)"""
+_SYMBOLS = """, f AS (SELECT p_partkey AS file_id, CASE WHEN p_partkey % 5 = 0 THEN 'raw-query' WHEN p_partkey % 7 = 0 THEN 'signature-drift' ELSE 'public-api-change' END AS rule_id,
+  CASE WHEN p_partkey % 11 = 0 THEN 'none.z' || p_partkey WHEN p_partkey % 2 = 0 THEN 'x.fn' || p_partkey ELSE 'mod' || CAST(p_partkey % 7 AS VARCHAR) || '.fn' || p_partkey END AS symbol, 'orange' AS tier FROM part)"""
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    name = F.when(F.col("p_partkey") % 11 == 0, F.concat(F.lit("none.z"), key)).when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("x.fn"), key)).otherwise(F.concat(F.lit("mod"), (F.col("p_partkey") % 7).cast("string"), F.lit(".fn"), key))
+    rule = F.when(F.col("p_partkey") % 5 == 0, "raw-query").when(F.col("p_partkey") % 7 == 0, "signature-drift").otherwise("public-api-change")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("file_id"), rule.alias("rule_id"), name.alias("symbol"), F.lit("orange").alias("tier"))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impact of two sources; some symbols have no caller by one or the other."""
+    source = lambda n: F.when(n % 2 == 0, "codegraph").otherwise("search").alias("source")
+    counted = enrich.impact_of(_edges(spark, sf_dir)).select("symbol", "caller_count", "files", source(F.col("caller_count")))
+    unused = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 11 = 0")
+    return counted.unionByName(unused.select(F.concat(F.lit("none.z"), F.col("p_partkey").cast("string")).alias("symbol"), F.lit(0).alias("caller_count"), F.lit(0).alias("files"), source(F.col("p_partkey"))))
+
+
+@query(_IMPACT + _GRAPH + _SYMBOLS + """,
+j AS (SELECT f.*, coalesce(e.caller_count, b.caller_count) AS caller_count, CASE WHEN e.symbol IS NOT NULL THEN e.source ELSE b.source END AS source FROM f LEFT JOIN graph e ON e.symbol = f.symbol
+  LEFT JOIN (SELECT string_split(symbol, '.')[2] AS bare, arg_min(caller_count, symbol) AS caller_count, arg_min(source, symbol) AS source FROM graph GROUP BY 1) b ON b.bare = string_split(f.symbol, '.')[2]),
+k AS (SELECT *, rule_id <> 'raw-query' AND caller_count = 0 AND source = 'codegraph' AS low, rule_id <> 'raw-query' AND caller_count >= 30 AS high FROM j)
+SELECT file_id, rule_id, symbol, caller_count, source AS impact_source, CASE WHEN low THEN 'yellow' ELSE 'orange' END AS tier, CASE WHEN low THEN 'deescalated' WHEN high THEN 'escalated' END AS tier_adjusted FROM k""")
 def impact_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    head = F.when(F.col("p_partkey") % 2 == 0, "x").otherwise(F.concat(F.lit("mod"), (F.col("p_partkey") % 7).cast("string")))
-    found = part.select(F.col("p_partkey").alias("file_id"), F.when(F.col("p_partkey") % 5 == 0, "raw-query").otherwise("public-api-change").alias("rule_id"), F.concat(head, F.lit(".fn"), F.col("p_partkey").cast("string")).alias("symbol"), F.lit("yellow").alias("tier"))
-    return enrich.impact_tier(enrich.attach_impact(found, enrich.impact_of(_edges(spark, sf_dir))), 30).select("file_id", "rule_id", "symbol", "caller_count", "tier", "tier_adjusted")
+    found = enrich.attach_impact(_symbols(spark, sf_dir), _graph(spark, sf_dir))
+    return enrich.impact_tier(found, 30).select("file_id", "rule_id", "symbol", "caller_count", "impact_source", "tier", "tier_adjusted")
+
+
+@query("WITH p AS (SELECT 1)" + _SYMBOLS + """, stale AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'fn' || p_partkey ELSE 'other.fn' || p_partkey END AS symbol FROM part WHERE p_partkey % 3 = 0)
+SELECT file_id, symbol, symbol IN (SELECT symbol FROM stale) OR string_split(symbol, '.')[2] IN (SELECT symbol FROM stale UNION ALL SELECT string_split(symbol, '.')[2] FROM stale WHERE symbol LIKE '%.%') AS stale_doc FROM f""")
+def stale_doc_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey").cast("string")
+    stale = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 3 = 0").select(F.concat(F.when(F.col("p_partkey") % 2 == 0, "fn").otherwise("other.fn"), key).alias("symbol"))
+    return enrich.stale_docs(_symbols(spark, sf_dir), stale).select("file_id", "symbol", "stale_doc")
 
 
 _TAINT = _RETIERED + f""", tainted AS (
-  SELECT t.* EXCLUDE (tier, blocking), tainted, CASE WHEN rule_id IN {_in(SECURITY)} AND tainted = false THEN 'yellow' ELSE tier END AS tier, blocking AND NOT (rule_id IN {_in(SECURITY)} AND coalesce(tainted = false, false)) AS blocking
-  FROM (SELECT *, CASE WHEN rule_id IN {_in(SECURITY)} AND line % 3 < 2 THEN line % 3 = 0 END AS tainted FROM tested) t
+  SELECT t.* EXCLUDE (tier, blocking, tier_adjusted, source), CASE WHEN lowered THEN 'yellow' ELSE tier END AS tier, blocking AND NOT lowered AS blocking, CASE WHEN lowered THEN 'deescalated' ELSE tier_adjusted END AS tier_adjusted,
+    CASE WHEN tainted THEN CASE WHEN line % 2 = 0 THEN 'Taint path: a' || file_id || ' → b.' ELSE 'Taint path confirmed by the code graph.' END END AS trace
+  FROM (SELECT *, coalesce(tainted = false AND source = 'codegraph' AND rule_id <> 'dangerous-exec', false) AS lowered FROM (
+    SELECT *, CASE WHEN rule_id IN {_in(SECURITY)} AND line % 3 < 2 THEN line % 3 = 0 END AS tainted, CASE WHEN line % 5 < 3 THEN 'codegraph' ELSE 'search' END AS source FROM tested)) t
 ), trusted AS (SELECT *, CASE WHEN rule_id IN {_in(SECURITY)} THEN CASE WHEN tainted THEN 'confirmed' WHEN NOT tainted THEN 'cleared' ELSE 'unconfirmed' END ELSE 'confirmed' END AS trust FROM tainted),
 rungs AS (SELECT *, CASE WHEN blocking OR (rule_id IN {_in(SECURITY)} AND trust = 'confirmed') THEN 'block' WHEN tier_adjusted = 'escalated' THEN 'escalate' WHEN {RANK} >= 2 THEN 'autofix' ELSE 'advisory' END AS rung FROM trusted)
 """
 
 
 def _rungs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of two sources; the caller opts in to lowering, but for one pinned rule."""
     code, _, _ = _tables(spark, sf_dir)
-    verdicts = code.where("line % 3 < 2").select("file_id", "line", F.explode(F.array(*map(F.lit, SECURITY))).alias("rule_id"), (F.col("line") % 3 == 0).alias("tainted"))
-    return enrich.rung(enrich.trust(enrich.attach_taint(_tested(spark, sf_dir), verdicts)))
+    flow = F.when(F.col("line") % 2 == 0, F.array(F.concat(F.lit("a"), F.col("file_id").cast("string")), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    source = F.when(F.col("line") % 5 < 3, "codegraph").otherwise("search")
+    verdicts = code.where("line % 3 < 2").select("file_id", "line", F.explode(F.array(*map(F.lit, SECURITY))).alias("rule_id"), (F.col("line") % 3 == 0).alias("tainted"), flow.alias("data_flow"), source.alias("source"))
+    return enrich.rung(enrich.trust(enrich.attach_taint(_tested(spark, sf_dir), verdicts, lower=True, pinned=["dangerous-exec"])))
 
 
-@query(_TAINT + "SELECT file_id, line, rule_id, tier, blocking, coalesce(CAST(tainted AS VARCHAR), 'unknown') AS tainted, trust, rung FROM rungs")
+@query(_TAINT + "SELECT file_id, line, rule_id, tier, blocking, tier_adjusted, trace, coalesce(CAST(tainted AS VARCHAR), 'unknown') AS tainted, trust, rung FROM rungs")
 def security_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rungs(spark, sf_dir).select("file_id", "line", "rule_id", "tier", "blocking", F.coalesce(F.col("tainted").cast("string"), F.lit("unknown")).alias("tainted"), "trust", "rung")
+    return _rungs(spark, sf_dir).select("file_id", "line", "rule_id", "tier", "blocking", "tier_adjusted", "trace", F.coalesce(F.col("tainted").cast("string"), F.lit("unknown")).alias("tainted"), "trust", "rung")
 
 
 @query(_TAINT + """SELECT file_id, CASE WHEN bool_or(rung = 'block') THEN 'blocked' WHEN bool_or(rung IN ('escalate', 'autofix')) THEN 'review' ELSE 'pass' END AS advisory,
@@ -511,3 +545,85 @@ def graph_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     found = payloads.impact(orders.select(F.col("o_orderkey").alias("id"), F.get(forms, (F.col("o_orderkey") % 4).cast("int")).alias("payload")), "id", "payload")
     return found.select("id", "caller_count", F.array_join("callers", " ").alias("callers"), F.array_join("reviewers", " ").alias("reviewers"))
+
+
+#: Documents as whole files: text without comments, some in test folders, all three states of a diff.
+_DOC_FILES = """WITH files AS (SELECT doc_id AS file_id, CASE WHEN doc_id % 4 = 0 THEN 'tests/' ELSE 'src/' END || doc_id || '.txt' AS path, doc_id % 3 <> 0 AS diff_known, 'unknown' AS language FROM documents),
+lines AS (SELECT doc_id AS file_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) AS INT) AS line, unnest(string_split(text, chr(10))) AS raw, unnest(string_split(text, chr(10))) AS scan, 'unknown' AS language FROM documents),
+changed AS (SELECT file_id, line FROM lines WHERE line % 2 = 1 AND file_id % 9 <> 1)
+"""
+_REVIEWED = _DOC_FILES + _DETECTED + f""", reviewed AS (
+  SELECT s.* EXCLUDE (tier, blocking), CASE WHEN low THEN 'yellow' ELSE tier END AS tier, blocking AND NOT low AS blocking FROM (SELECT scoped.*, path LIKE 'tests/%' AND tier = 'orange' AND rule_id NOT IN {_in(TEST_EXEMPT)} AS low FROM scoped JOIN files USING (file_id)) s
+), placed AS (SELECT *, CASE WHEN rule_id IN {_in(SECURITY)} THEN 'unconfirmed' ELSE 'confirmed' END AS trust, CAST(row_number() OVER (PARTITION BY file_id ORDER BY line, {RANK} DESC, rule_id, col) AS INT) AS pos FROM reviewed
+  WHERE (rule_id, code) NOT IN (SELECT rule_id, code FROM reviewed WHERE file_id % 10 = 3))
+"""
+
+
+def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole review; what a tenth of the files holds has been dismissed."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = F.concat(F.when(F.col("doc_id") % 4 == 0, "tests/").otherwise("src/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text", (F.col("doc_id") % 3 != 0).alias("diff_known"))
+    changed = findings.explode_lines(docs, "doc_id", "text").where("line % 2 = 1 AND file_id % 9 <> 1").select("file_id", "line")
+    dismissed = job.review(files.where("file_id % 10 = 3"), changed).select("rule_id", T.code_hash(F.col("code")).alias("code_hash"), F.lit("dismiss").alias("verdict"))
+    return job.review(files, changed, dismissed)
+
+
+@query(_REVIEWED + "SELECT file_id, line, col, rule_id, tier, blocking, code, trust, pos FROM placed")
+def review_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reviewed(spark, sf_dir)
+
+
+@query(_REVIEWED + f"""SELECT file_id, '{{"tier":"' || CASE max({RANK}) WHEN 2 THEN 'orange' WHEN 1 THEN 'yellow' ELSE 'green' END || '","blocking":' || bool_or(blocking) || ',"findings":[' ||
+  string_agg('{{"line":' || line || ',"col":' || col || ',"rule_id":"' || rule_id || '","tier":"' || tier || '","blocking":' || blocking || '}}', ',' ORDER BY pos) || ']}}' AS review FROM placed GROUP BY 1""")
+def review_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return job.documents(_reviewed(spark, sf_dir))
+
+
+@query(FOUND + "SELECT file_id, line, sha1(string_agg(raw, chr(10) ORDER BY place)) AS sha FROM (SELECT DISTINCT s.file_id, s.line, c.line AS place, c.raw FROM scoped s JOIN code c ON c.file_id = s.file_id AND c.line BETWEEN s.line - 4 AND s.line + 4) GROUP BY ALL")
+def code_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code, _, _ = _tables(spark, sf_dir)
+    return findings.code_around(_scoped(spark, sf_dir), code).select("file_id", "line", F.sha1("around").alias("sha"))
+
+
+@query("""WITH o AS (SELECT user_id AS file_id, count(*) FILTER (value > 20) AS n FROM events WHERE user_id % 3 = 0 GROUP BY 1), s AS (SELECT user_id AS file_id, count(*) FILTER (value > 10) AS n FROM events WHERE user_id % 2 = 0 GROUP BY 1)
+SELECT * FROM (SELECT coalesce(o.file_id, s.file_id) AS file_id, coalesce(o.n, s.n) AS n, CASE WHEN o.n IS NOT NULL THEN 'opened' ELSE 'stored' END AS origin FROM o FULL JOIN s ON o.file_id = s.file_id) WHERE n > 0""")
+def open_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    part = lambda m, least: events.where(F.col("user_id") % m == 0).groupBy(F.col("user_id").alias("file_id")).agg(F.count_if(F.col("value") > least).alias("n"))
+    return findings.open_first(part(3, 20), part(2, 10))
+
+
+@query("SELECT DISTINCT event_id // 3 AS file_id FROM events WHERE event_type = 'error' AND event_id // 3 NOT IN (SELECT event_id // 3 FROM events WHERE value > 10)")
+def left_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("file_id", F.expr("event_id div 3"))
+    return findings.left_the_change(rows.where("event_type = 'error'"), rows.where("value > 10"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'yellow' WHEN 'purchase' THEN 'green' ELSE 'yellow' END AS yellow_cap, CASE event_type WHEN 'error' THEN 'orange' WHEN 'purchase' THEN 'green' ELSE 'yellow' END AS orange_cap FROM events""")
+def severity_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    severity = F.when(F.col("event_type") == "purchase", "info").otherwise(F.col("event_type"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", *[T.capped_tier(severity, c).alias(f"{c}_cap") for c in ("yellow", "orange")])
+
+
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'likely-safe' WHEN 1 THEN 'confirmed-risk' WHEN 2 THEN 'confirmed-risk' ELSE 'needs-human' END AS verdict, CASE WHEN turn % 2 = 0 THEN 2 ELSE 0 END AS listed FROM conversations""")
+def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts and lists of findings in replies of a model, around the given text."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\[\]]", "")
+    forms = F.array(F.lit("**Verdict:** Likely-Safe though confirmed-risk"), F.lit("verdict: CONFIRMED-RISK"), F.lit("first confirmed-risk, then likely-safe"), F.lit("unclear"))
+    tail = F.when(F.col("turn") % 2 == 0, F.lit(' [{"file":"a","line":"1"},{"file":"b"}] end')).otherwise(F.lit(" [{broken ]"))
+    reply = F.concat(plain, F.lit("\n"), F.get(forms, (F.col("turn") % 4).cast("int")), tail)
+    return rows.select("conv_id", "turn", T.verdict_class(reply).alias("verdict"), F.size(T.json_list(reply)).alias("listed"))
+
+
+@query(FOUND + f""", cased AS (SELECT c.event_id AS trial, f.rule_id, f.tier, f.blocking FROM found f JOIN code c USING (file_id, line)), trials AS (SELECT event_id AS trial, CASE WHEN event_id % 2 = 0 THEN ['auth-crypto', 'db-schema-destructive'] ELSE ['hardcoded-secret'] END AS target_rules, value > 30 AS failed FROM code),
+risk AS (SELECT DISTINCT unnest(target_rules) AS rule_id FROM trials UNION SELECT unnest([{", ".join(map(_q, SECURITY))}])),
+fired AS (SELECT trial, string_agg(DISTINCT rule_id, ',' ORDER BY rule_id) AS fired, bool_or(rule_id NOT IN {_in(ADVISORY)}) AS defect FROM cased WHERE (tier = 'orange' OR blocking) AND rule_id IN (SELECT rule_id FROM risk) GROUP BY 1)
+SELECT trial, coalesce(fired, '') AS fired, CASE WHEN failed THEN 'error' WHEN defect THEN 'defect' WHEN defect IS NOT NULL THEN 'advisory' ELSE 'clean' END AS kind FROM trials LEFT JOIN fired USING (trial)""")
+def trial_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = tables.code_lines(spark, sf_dir)
+    found = _found(spark, sf_dir).join(code.select("file_id", "line", F.col("event_id").alias("trial")), ["file_id", "line"])
+    targets = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("auth-crypto"), F.lit("db-schema-destructive"))).otherwise(F.array(F.lit("hardcoded-secret")))
+    trials = code.select(F.col("event_id").alias("trial"), targets.alias("target_rules"), (F.col("value") > 30).alias("failed"))
+    return scoring.classify_trials(trials, found).select("trial", F.array_join("fired", ",").alias("fired"), "kind")

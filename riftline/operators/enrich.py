@@ -34,20 +34,38 @@ def top_reviewers(weights: DataFrame, most: int = 3) -> DataFrame:
 
 
 def attach_impact(findings: DataFrame, impact: DataFrame) -> DataFrame:
-    """Left join by symbol, the exact name before the bare one, the smallest stored symbol of several with it."""
-    exact = impact.select(F.col("symbol").alias("_e"), F.col("caller_count").alias("_ec"), F.col("files").alias("_ef"))
-    bare = impact.groupBy(T.bare_symbol(F.col("symbol")).alias("_b")).agg(F.min_by("caller_count", "symbol").alias("_bc"), F.min_by("files", "symbol").alias("_bf"))
+    """Left join by symbol, the exact name before the bare one, the smallest stored symbol of several with it.
+
+    impact: symbol, caller_count, files, source (of the counts).
+    """
+    parts = ("caller_count", "files", "source")
+    exact = impact.select(F.col("symbol").alias("_e"), F.struct(*parts).alias("_exact"))
+    bare = impact.groupBy(T.bare_symbol(F.col("symbol")).alias("_b")).agg(F.min_by(F.struct(*parts), "symbol").alias("_bare"))
     joined = findings.join(exact, F.col("symbol") == F.col("_e"), "left").join(bare, T.bare_symbol(F.col("symbol")) == F.col("_b"), "left")
-    return joined.withColumn("caller_count", F.coalesce("_ec", "_bc")).withColumn("caller_files", F.coalesce("_ef", "_bf")).drop("_e", "_ec", "_ef", "_b", "_bc", "_bf")
+    best = F.coalesce("_exact", "_bare")
+    return joined.withColumns({"caller_count": best["caller_count"], "caller_files": best["files"], "impact_source": best["source"]}).drop("_e", "_b", "_exact", "_bare")
+
+
+#: Fixed value: the one source whose word that nothing calls or taints a place may lower a tier.
+AUTHORITY = "codegraph"
 
 
 def impact_tier(findings: DataFrame, threshold: int, pinned: Sequence[str] = ()) -> DataFrame:
-    """No caller lowers and many callers raise the tier of caller-tiered rules that are not pinned."""
+    """Tiers of caller-tiered rules that are not pinned: no caller by the code graph lowers, many callers by any source raise."""
     tierable = F.col("rule_id").isin(*CALLER_TIERED) & ~F.col("rule_id").isin(*pinned or [""]) & F.col("caller_count").isNotNull()
-    low, high = tierable & (F.col("caller_count") == 0), tierable & (F.col("caller_count") >= threshold)
+    low = tierable & (F.col("caller_count") == 0) & (F.col("impact_source") == AUTHORITY)
+    high = tierable & (F.col("caller_count") >= threshold) & ~F.coalesce(low, F.lit(False))
     return findings.withColumn("tier_adjusted", F.when(low, "deescalated").when(high, "escalated")).withColumn("tier", F.when(low, "yellow").when(high, "orange").otherwise(F.col("tier")))
 
 
+def stale_docs(findings: DataFrame, stale: DataFrame) -> DataFrame:
+    """Add stale_doc: whether the symbol, whole or bare, is one whose documentation is out of date."""
+    names = stale.where(F.coalesce("symbol", F.lit("")) != "").select(F.explode(F.array("symbol", T.bare_symbol(F.col("symbol")))).alias("_s")).distinct()
+    marked = findings.join(names.withColumn("_whole", F.lit(True)), F.col("symbol") == F.col("_s"), "left").drop("_s")
+    both = marked.join(names.withColumn("_bare", F.lit(True)), T.bare_symbol(F.col("symbol")) == F.col("_s"), "left").drop("_s")
+    return both.withColumn("stale_doc", F.coalesce("_whole", "_bare", F.lit(False))).drop("_whole", "_bare")
+
+
 def plural(n: Column, word: str) -> Column:
     return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
 
@@ -58,11 +76,19 @@ def blast_summary(count: Column, truncated: Column, files: Column, reviewers: Co
     return F.concat(F.concat_ws(" · ", calls, route), F.lit("."))
 
 
-def attach_taint(findings: DataFrame, verdicts: DataFrame, pinned: Sequence[str] = ()) -> DataFrame:
-    """Left join of taint verdicts on (file, rule, line) for security rules; an untainted one is lowered."""
+def attach_taint(findings: DataFrame, verdicts: DataFrame, *, lower: bool = False, pinned: Sequence[str] = ()) -> DataFrame:
+    """Left join of taint verdicts on (file, rule, line) for security rules; trace of a tainted place.
+
+    verdicts: file_id, rule_id, line, tainted, data_flow (array of names or null), source. A place that the code graph calls
+    clean is lowered and stops blocking only where the caller opts in (``lower``) and the rule is not pinned.
+    """
     marked = findings.join(verdicts.where(F.col("rule_id").isin(*SECURITY)), ["file_id", "rule_id", "line"], "left")
-    low = F.coalesce(~F.col("tainted"), F.lit(False)) & ~F.col("rule_id").isin(*pinned or [""])
-    return marked.withColumn("tier", F.when(low, "yellow").otherwise(F.col("tier"))).withColumn("blocking", F.col("blocking") & ~low)
+    clean = ~F.col("tainted") & (F.col("source") == AUTHORITY) & F.lit(lower) & ~F.col("rule_id").isin(*pinned or [""])
+    low = F.coalesce(clean, F.lit(False))
+    hops = F.array_join(F.slice("data_flow", 1, 6), " → ")
+    trace = F.when(F.col("tainted"), F.when(F.size("data_flow") > 0, F.concat(F.lit("Taint path: "), hops, F.lit("."))).otherwise("Taint path confirmed by the code graph."))
+    before = F.col("tier_adjusted") if "tier_adjusted" in findings.columns else F.lit(None).cast("string")
+    return marked.withColumns({"tier": F.when(low, "yellow").otherwise(F.col("tier")), "blocking": F.col("blocking") & ~low, "tier_adjusted": F.when(low, "deescalated").otherwise(before), "trace": trace}).drop("data_flow", "source")
 
 
 def trust(findings: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ whole; one with diff information and no changed line is out of scope as a whole.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from pyspark.sql.window import Window
 
 from riftline.functions import text as T
 from riftline.functions.patterns import to_java
-from riftline.functions.rules import FILE_RULES, RULES, TEST_EXEMPT, Rule
+from riftline.functions.rules import FILE_RULES, RULES, TEST_EXEMPT, WORDS, Rule
+from riftline.operators import perfile
 
 
 def explode_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -30,20 +33,30 @@ def in_change(lines: DataFrame, files: DataFrame, changed: DataFrame) -> DataFra
     return scoped.where(~F.col("diff_known") | F.col("_hit")).drop("_hit", "diff_known")
 
 
+def masked_lines(files: DataFrame, key: str, text: str, language: str) -> DataFrame:
+    """file_id, line (from 1), raw, scan, language: the lines of whole files, their comments masked with the file's state.
+
+    Comments and strings that run over several lines are known only from the file, so it is masked as one text first.
+    """
+    both = files.select(F.col(key).alias("file_id"), F.col(language).alias("language"), F.split(F.col(text), "\n", -1).alias("raws"), F.split(perfile.mask(F.col(text), F.col(language)), "\n", -1).alias("scans"))
+    rows = both.select("file_id", "language", F.posexplode(F.arrays_zip(F.col("raws").alias("raw"), F.col("scans").alias("scan"))).alias("pos", "l"))
+    return rows.select("file_id", (F.col("pos") + 1).alias("line"), "l.raw", "l.scan", "language")
+
+
 def _match(rule: Rule) -> Column:
-    """The first accepted pattern's match as struct(match, col), or null."""
-    text = F.col("raw" if rule.raw else "scan")
+    """The first accepted pattern's match as struct(match, col), or null; lines without a word of the rule are not tried."""
+    text, low = F.col("raw" if rule.raw else "scan"), F.col("_low_raw" if rule.raw else "_low_scan")
     tries = []
     for p in rule.patterns:
         java = to_java(p.text, p.ignore_case)
         found = F.regexp_extract(text, java, 0)
         accepted = (found != "") & T.is_secret(found) if rule.secret else found != ""
-        tries.append(F.when(text.rlike(java) & accepted, F.struct(found.alias("match"), (F.regexp_instr(text, F.lit(java)) - 1).alias("col"))))
-    applies = F.lit(True)
+        tries.append(F.when(accepted, F.struct(found.alias("match"), (F.regexp_instr(text, F.lit(java)) - 1).alias("col"))))
+    applies = reduce(or_, (low.contains(w) for w in WORDS[rule.rule_id])) if rule.rule_id in WORDS else F.lit(True)
     if "*" not in rule.languages:
-        applies = F.col("language").isin(*rule.languages)
+        applies = F.col("language").isin(*rule.languages) & applies
     if rule.skip_if_ast:
-        applies = applies & ~F.col("language").isin("javascript", "typescript")
+        applies = ~F.col("language").isin("javascript", "typescript") & applies
     return F.when(applies, F.coalesce(*tries))
 
 
@@ -53,7 +66,8 @@ def detect(lines: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
         F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(k).alias("rule_ord"), F.lit(r.tier).alias("tier"), F.lit(r.blocking).alias("blocking"), F.lit(r.title).alias("title"), _match(r).alias("m"))
         for k, r in enumerate(rules)
     ])
-    found = lines.withColumn("_h", F.explode(F.filter(hits, lambda h: h["m"].isNotNull())))
+    lowered = lines.withColumns({"_low_raw": F.lower("raw"), "_low_scan": F.lower("scan")})
+    found = lowered.withColumn("_h", F.explode(F.filter(hits, lambda h: h["m"].isNotNull())))
     return found.select(
         "file_id", "line", "_h.rule_id", "_h.rule_ord", "_h.tier", "_h.blocking", "_h.title", F.col("_h.m.col").alias("col"),
         (F.col("_h.m.col") + F.length("_h.m.match")).alias("end_col"), T.trim_white(F.col("raw")).alias("code"),
@@ -102,7 +116,8 @@ def deprecated_calls(lines: DataFrame, deprecated: DataFrame) -> DataFrame:
 
 def references(lines: DataFrame, symbol: str, cap: int = 40, width: int = 200) -> DataFrame:
     """The first ``cap`` lines, by file and line, that hold the whole word, cut to ``width`` characters."""
-    found = lines.where(F.col("raw").rlike(to_java(rf"\b{symbol}\b")))
+    quoted = "".join(c if c.isalnum() or c == "_" else "\\" + c for c in symbol)
+    found = lines.where(F.col("raw").contains(symbol) & F.col("raw").rlike(to_java(rf"\b{quoted}\b")))
     return found.orderBy("file_id", "line").limit(cap).select("file_id", "line", F.substring(T.trim_white(F.col("raw")), 1, width).alias("text"))
 
 
@@ -113,3 +128,21 @@ def snippets(lines: DataFrame, changed: DataFrame, radius: int = 1, cap: int = 5
     kept = lines.join(near, ["file_id", "line"]).withColumn("n", F.row_number().over(by_line)).where(F.col("n") <= cap)
     marked = kept.withColumn("gap", F.col("line") - F.lag("line").over(by_line) > 1).withColumn("part", F.concat(F.when(F.col("gap"), "...\n").otherwise(""), F.col("raw")))
     return marked.groupBy("file_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part"))), lambda x: x["part"]), "\n").alias("snippet"))
+
+
+def code_around(findings: DataFrame, lines: DataFrame, radius: int = 4) -> DataFrame:
+    """file_id, line, around: the lines from ``radius`` before to ``radius`` after each finding's line, within the file."""
+    near = findings.select("file_id", "line").distinct().select("file_id", "line", F.explode(F.sequence(F.col("line") - radius, F.col("line") + radius)).alias("at"))
+    rows = near.join(lines.select("file_id", F.col("line").alias("at"), "raw"), ["file_id", "at"])
+    return rows.groupBy("file_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "raw"))), lambda x: x["raw"]), "\n").alias("around"))
+
+
+def open_first(opened: DataFrame, stored: DataFrame) -> DataFrame:
+    """Results (file_id, n) by file: those of an opened document before stored ones; files whose result is empty leave."""
+    both = opened.select("file_id", F.col("n").alias("_o")).join(stored.select("file_id", F.col("n").alias("_s")), "file_id", "full_outer")
+    return both.select("file_id", F.coalesce("_o", "_s").alias("n"), F.when(F.col("_o").isNotNull(), "opened").otherwise("stored").alias("origin")).where("n > 0")
+
+
+def left_the_change(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Files that were in the change and are no longer."""
+    return before.select("file_id").distinct().join(after.select("file_id").distinct(), "file_id", "left_anti")

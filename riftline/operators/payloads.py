@@ -29,6 +29,12 @@ def _either(doc: Column, names: Sequence[str]) -> Column:
     return F.coalesce(pick(doc, names), pick(pick(doc, NESTED), names))
 
 
+def _number(doc: Column, names: Sequence[str]) -> Column:
+    """The first of the fields that is a whole JSON number; text that looks like one is none."""
+    number = lambda of, n: F.when(~of.rlike(rf'"{n}"\s*:\s*"'), F.get_json_object(of, f"$.{n}").try_cast("int"))
+    return F.coalesce(*[number(of, n) for of in (doc, pick(doc, NESTED)) for n in names])
+
+
 def items(value: Column) -> Column:
     """Elements of a JSON array as JSON or text, or of a string that commas or line breaks separate."""
     split = F.filter(F.transform(F.split(value, "[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
@@ -47,6 +53,6 @@ def impact(payloads: DataFrame, key: str, payload: str) -> DataFrame:
     weight = lambda r: F.when(r.startswith("{"), F.coalesce(pick(r, WEIGHT).try_cast("double"), F.lit(0.0))).otherwise(0.0)
     listed = F.transform(items(_either(doc, REVIEWERS)), lambda r, k: F.struct((-weight(r)).alias("w"), k.alias("k"), _field(r, REVIEWER).alias("name")))
     names = F.array_distinct(F.transform(F.array_sort(F.filter(listed, lambda r: r["name"].isNotNull() & (r["name"] != ""))), lambda r: r["name"]))
-    return payloads.select(F.col(key), callers.alias("all"), _either(doc, COUNT).try_cast("int").alias("given"), names.alias("reviewers")).select(
+    return payloads.select(F.col(key), callers.alias("all"), _number(doc, COUNT).alias("given"), names.alias("reviewers")).select(
         key, F.coalesce("given", F.size("all")).alias("caller_count"), F.slice("all", 1, CAP).alias("callers"), (F.size("all") > CAP).alias("truncated"), "reviewers"
     )

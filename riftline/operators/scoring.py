@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riftline.functions.rules import ADVISORY, SECURITY
 from riftline.functions.text import wilson
 
 
@@ -20,7 +21,7 @@ def confusion(found: DataFrame, expected: DataFrame) -> DataFrame:
 def precision_recall(outcomes: DataFrame) -> DataFrame:
     """For each rule and pooled (rule_id '*'): counts, precision, recall and F1, to three places."""
     n = {k: F.count_if(F.col("outcome") == k).alias(k) for k in ("tp", "fp", "fn")}
-    counts = outcomes.groupBy("rule_id").agg(*n.values()).unionByName(outcomes.agg(*n.values()).withColumn("rule_id", F.lit("*")))
+    counts = outcomes.rollup("rule_id").agg(*n.values()).withColumn("rule_id", F.coalesce("rule_id", F.lit("*")))
     share = lambda a, b: F.when(a + b == 0, 1.0).otherwise(a / F.greatest(a + b, F.lit(1)))
     scored = counts.withColumn("p", share(F.col("tp"), F.col("fp"))).withColumn("r", share(F.col("tp"), F.col("fn")))
     f1 = F.when(F.col("p") + F.col("r") == 0, 0.0).otherwise(2 * F.col("p") * F.col("r") / F.when(F.col("p") + F.col("r") == 0, 1.0).otherwise(F.col("p") + F.col("r")))
@@ -50,3 +51,17 @@ def coverage(trials: DataFrame) -> DataFrame:
     aimed = trials.select("scenario", F.explode("target_rules").alias("rule_id")).distinct()
     caught = trials.where("kind <> 'error'").select("scenario", F.explode("fired_rules").alias("rule_id")).distinct().withColumn("_c", F.lit(True))
     return aimed.join(caught, ["scenario", "rule_id"], "left").groupBy("rule_id").agg(F.count(F.lit(1)).alias("targeting"), F.count_if(F.col("_c")).alias("caught"))
+
+
+def classify_trials(trials: DataFrame, found: DataFrame) -> DataFrame:
+    """trial, fired, kind: the distinct risk rules of findings that are orange or block, and what they make of the trial.
+
+    trials: trial, target_rules, failed (no reply). Risk rules are the security rules and all targets of any trial. A
+    rule that is not advisory makes a defect, advisory ones alone an advisory, none a clean trial.
+    """
+    targets = trials.select(F.explode("target_rules").alias("rule_id")).distinct()
+    hard = found.where((F.col("tier") == "orange") | F.col("blocking")).select("trial", "rule_id").distinct()
+    risky = hard.join(targets.withColumn("_t", F.lit(True)), "rule_id", "left").where(F.col("_t") | F.col("rule_id").isin(*SECURITY))
+    fired = risky.groupBy("trial").agg(F.array_sort(F.collect_set("rule_id")).alias("fired"), F.bool_or(~F.col("rule_id").isin(*ADVISORY)).alias("_defect"))
+    kind = F.when(F.col("failed"), "error").when(F.col("_defect"), "defect").when(F.col("_defect").isNotNull(), "advisory").otherwise("clean")
+    return trials.join(fired, "trial", "left").select("trial", F.coalesce("fired", F.array().cast("array<string>")).alias("fired"), kind.alias("kind"))
