@@ -12,7 +12,7 @@ from riftline.functions.patterns import to_java
 from riftline.functions.rules import ADVISORY, AST_LANGUAGES, CONTROLS, MANIFESTS, RULES, SECURITY, TEST_EXEMPT
 from riftline.jobs import review as job
 from riftline.jobs import tables
-from riftline.operators import enrich, findings, guidelines, learnings, payloads, perfile, rollup, scoring, signatures
+from riftline.operators import enrich, findings, guidelines, learnings, payloads, perfile, rollup, rulesets, scoring, signatures
 from riftline.sources import diffs, sinks
 from riftline.streaming import sessions
 
@@ -627,3 +627,63 @@ def trial_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("auth-crypto"), F.lit("db-schema-destructive"))).otherwise(F.array(F.lit("hardcoded-secret")))
     trials = code.select(F.col("event_id").alias("trial"), targets.alias("target_rules"), (F.col("value") > 30).alias("failed"))
     return scoring.classify_trials(trials, found).select("trial", F.array_join("fired", ",").alias("fired"), "kind")
+
+
+_PACKED = "CASE " + " ".join(f"WHEN rule_id IN {_in(of)} THEN {_q(p)}" for p, of in rulesets.PACKS.items()) + " END"
+
+
+@query(FOUND + f""", cat AS (SELECT DISTINCT rule_id, tier, title, blocking FROM pats UNION ALL VALUES ('migration-file', 'orange', 'Database migration file', false), ('dependency-manifest', 'yellow', 'Dependency manifest change', false))
+SELECT rule_id, tier, title, blocking, {_PACKED} AS pack, CAST(row_number() OVER (ORDER BY rule_id) AS INT) AS pos, (SELECT count(*) FROM found f WHERE f.rule_id = cat.rule_id) AS n FROM cat""")
+def rule_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rulesets.with_hits(rulesets.catalog(spark), _found(spark, sf_dir))
+
+
+#: What a setting is of: rules and packs, by number of the event; other numbers set nothing.
+_KEYS = (*(r.rule_id for r in RULES), *rulesets.PACKS)
+_SPREAD = 4 * len(_KEYS)
+_SETTINGS = f"""settings AS (
+  SELECT file_id AS project, key, last({{'e': CASE event_type WHEN 'error' THEN false WHEN 'view' THEN true END, 't': CASE event_type WHEN 'purchase' THEN 'green' WHEN 'signup' THEN 'orange' END, 'b': CASE event_type WHEN 'click' THEN true WHEN 'signup' THEN false END}} ORDER BY event_id) AS s
+  FROM (SELECT *, ([{", ".join(map(_q, _KEYS))}])[CAST(event_id % {_SPREAD} AS INT) + 1] AS key FROM code) WHERE key IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _settings(code: DataFrame) -> DataFrame:
+    """Settings of each file's project, a layer an event."""
+    kind = lambda **of: F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in of.items()])
+    key = F.get(F.array(*map(F.lit, _KEYS)), (F.col("event_id") % _SPREAD).cast("int"))
+    return code.select(F.col("file_id").alias("project"), F.col("event_id").alias("layer"), key.alias("key"), kind(error=False, view=True).alias("enabled"), kind(purchase="green", signup="orange").alias("tier"), kind(click=True, signup=False).alias("blocking"))
+
+
+@query(FOUND + f""", {_SETTINGS}, packed AS (SELECT *, {_PACKED} AS pack FROM scoped)
+SELECT f.file_id, f.line, f.rule_id, f.col, coalesce(own.s.t, f.tier) AS tier, coalesce(own.s.b, f.blocking) AS blocking, own.s.t IS NOT NULL AS pinned
+FROM packed f LEFT JOIN settings own ON own.project = f.file_id AND own.key = f.rule_id LEFT JOIN settings p ON p.project = f.file_id AND p.key = f.pack
+WHERE coalesce(own.s.e, true) AND (own.key IS NOT NULL OR coalesce(p.s.e, true))""")
+def configured_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code, _, _ = _tables(spark, sf_dir)
+    found = rulesets.configured(_scoped(spark, sf_dir).withColumn("project", F.col("file_id")), rulesets.layered(_settings(code)))
+    return found.select("file_id", "line", "rule_id", "col", "tier", "blocking", "pinned")
+
+
+#: Patterns of a configuration; the second is no regular expression, and then a literal.
+_CUSTOM = ({"pattern": r"value\d+", "tier": "green"}, {"id": "no-clean", "patterns": ["clean(", "CLEAN"], "blocking": True}, {"title": "nothing"}, {"pattern": "Fetch", "flags": "g", "languages": ["python", "go"]}, {"pattern": "fetch", "title": "Any fetch"})
+
+
+@query(FOUND + r"""SELECT file_id, line, rule_id, tier, blocking, title FROM (
+  SELECT *, 'custom-1' AS rule_id, 'green' AS tier, false AS blocking, 'Custom rule' AS title FROM lines WHERE regexp_matches(scan, '(?i)value[0-9]+')
+  UNION ALL SELECT *, 'no-clean', 'yellow', true, 'Custom rule' FROM lines WHERE contains(lower(scan), 'clean')
+  UNION ALL SELECT *, 'custom-4', 'yellow', false, 'Custom rule' FROM lines WHERE contains(scan, 'Fetch') AND language IN ('python', 'go')
+  UNION ALL SELECT *, 'custom-5', 'yellow', false, 'Any fetch' FROM lines WHERE contains(lower(scan), 'fetch')
+  UNION ALL SELECT *, 'configured-high-impact', 'orange', false, 'Configured high-impact pattern' FROM lines WHERE contains(lower(scan), 'users.'))""")
+def custom_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code, files, _ = _tables(spark, sf_dir)
+    rules = [*rulesets.custom_rules(spark, _CUSTOM), *rulesets.high_impact(spark, [r"users\."])]
+    return findings.detect(tables.scanned(code, files), rules).select("file_id", "line", "rule_id", "tier", "blocking", "title")
+
+
+@query("""SELECT doc_id, 'd' || doc_id AS id, 'raw-query' AS rule_id, sha1(text) AS code_hash, 'dismiss' AS verdict, CAST(0 AS INT) AS ingest_ord FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL
+UNION ALL SELECT doc_id, 'e' || doc_id, NULL, NULL, NULL, CAST(1 AS INT) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL""")
+def stored_learnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores of learnings, of which a third breaks off and a third is no store at all."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    whole = F.format_string('{"version": 1, "entries": [{"id": "d%d", "rule_id": "raw-query", "code_hash": "%s", "verdict": "dismiss"}, {"id": "e%d", "other": [1]}]}', "doc_id", F.sha1("text"), "doc_id")
+    body = F.when(F.col("text").isNull() | (F.col("doc_id") % 3 == 2), F.col("text")).when(F.col("doc_id") % 3 == 0, whole).otherwise(F.lit('{"version": 1, "entries": [{"id": "d'))
+    return learnings.read_stores(docs.withColumn("body", body), "doc_id", "body").drop("at")

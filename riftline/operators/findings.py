@@ -52,7 +52,7 @@ def _match(rule: Rule) -> Column:
         found = F.regexp_extract(text, java, 0)
         accepted = (found != "") & T.is_secret(found) if rule.secret else found != ""
         tries.append(F.when(accepted, F.struct(found.alias("match"), (F.regexp_instr(text, F.lit(java)) - 1).alias("col"))))
-    applies = reduce(or_, (low.contains(w) for w in WORDS[rule.rule_id])) if rule.rule_id in WORDS else F.lit(True)
+    applies = reduce(or_, (low.contains(w) for w in WORDS[rule.rule_id])) if rule in RULES and rule.rule_id in WORDS else F.lit(True)
     if "*" not in rule.languages:
         applies = F.col("language").isin(*rule.languages) & applies
     if rule.skip_if_ast:

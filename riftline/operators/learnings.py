@@ -51,3 +51,10 @@ def realized_signal(learnings: DataFrame, least: int = 3, rate: float = 0.7) ->
     per_rule = learnings.groupBy("rule_id").agg(confirmed.alias("confirmed"), dismissed.alias("dismissed"))
     share = F.col("dismissed") / F.greatest(F.col("confirmed") + F.col("dismissed"), F.lit(1))
     return per_rule.withColumn("dismiss_rate", share).withColumn("chronic", (F.col("dismissed") >= least) & (F.col("dismiss_rate") >= rate))
+
+
+def read_stores(stores: DataFrame, key: str, body: str) -> DataFrame:
+    """``key`` and the learnings of each store, whose text is one JSON object; one that is broken or has no list of entries is empty."""
+    entry = "id string, rule_id string, code_hash string, verdict string, at timestamp"
+    parsed = stores.select(F.col(key), F.from_json(F.col(body), f"version int, entries array<struct<{entry.replace(' string', ': string').replace(' timestamp', ': timestamp')}>>").alias("s"))
+    return parsed.select(key, F.posexplode("s.entries").alias("ingest_ord", "e")).where("e IS NOT NULL").select(key, "e.*", "ingest_ord")

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from riftline.jobs import review
-from riftline.operators import enrich, findings, learnings, payloads
+from riftline.operators import enrich, findings, learnings, payloads, rulesets
 from riftline.sources import diffs, trees
 from riftline.streaming import sessions, watch
 
@@ -127,3 +127,30 @@ def test_gates(spark):
     assert enrich.attach_taint(f, v).where("file_id = 2").first().trace == "Taint path: 0 → 1 → 2 → 3 → 4 → 5."
     p = payloads.impact(spark.createDataFrame([(1, '{"caller_count": "7", "callers": ["a"]}'), (2, '{"data": {"callerCount": 5}}')], "id long, p string"), "id", "p").orderBy("id").collect()
     assert [x.caller_count for x in p] == [1, 5]
+
+
+def test_settings_decide_what_is_left(spark):
+    found = spark.createDataFrame([(1, "todo-marker", "green", False), (1, "raw-query", "yellow", False), (1, "debug-logging", "green", False), (2, "todo-marker", "green", False)], "project long, rule_id string, tier string, blocking boolean")
+    schema = "project long, layer long, key string, enabled boolean, tier string, blocking boolean"
+    layers = [(1, 1, "hygiene", True, None, None), (1, 2, "hygiene", False, None, None), (1, 1, "debug-logging", None, None, True), (1, 1, "raw-query", None, "orange", None), (1, 1, None, False, None, None), (2, 1, "todo-marker", False, None, None)]
+    settings = rulesets.layered(spark.createDataFrame(layers, schema))
+    left = {(r.project, r.rule_id): (r.tier, r.blocking, r.pinned) for r in rulesets.configured(found, settings).collect()}
+    assert left == {(1, "raw-query"): ("orange", False, True), (1, "debug-logging"): ("green", True, False)}
+    none = rulesets.layered(spark.createDataFrame([], schema))
+    assert rulesets.configured(found, none).count() == 4
+
+
+def test_custom_rule_with_the_name_of_another(spark):
+    rules = rulesets.custom_rules(spark, [{"id": "raw-query", "pattern": "xyz"}, {"pattern": "a(b"}])
+    lines = spark.createDataFrame([(1, 1, "XYZ", "XYZ", "go"), (1, 2, "A(B", "A(B", "go")], "file_id long, line int, raw string, scan string, language string")
+    assert {(r.line, r.rule_id) for r in findings.detect(lines, rules).collect()} == {(1, "raw-query"), (2, "custom-2")}
+    assert rulesets.high_impact(spark, []) == []
+    pos = [(r.pos, r.rule_id, r.tier) for r in rulesets.catalog(spark, rules).orderBy("pos").collect()]
+    assert [i for _, i, _ in pos] == sorted(i for _, i, _ in pos)
+    assert ("raw-query", "yellow") in {(i, t) for _, i, t in pos}
+
+
+def test_stores_that_are_broken_are_empty(spark):
+    bodies = ['{"entries": [{"id": "a", "at": "2024-01-02T00:00:00Z"}]}', '{"entries": [{"id": "b"', "no", '{"entries": 3}', "[]", "", None, '{"version": 2}']
+    stores = spark.createDataFrame(list(enumerate(bodies)), "k long, body string")
+    assert [(r.k, r.id) for r in learnings.read_stores(stores, "k", "body").collect()] == [(0, "a")]
