@@ -1,13 +1,11 @@
-"""Every review query against its SQL equivalent; none may be empty."""
+"""Every review query against its SQL equivalent; none may be empty on both of the smaller tables."""
 
 import pytest
 
 from riftline.jobs import queries as review
 from tests.compare import connect, same
 
-SF = "/root/testdata/sf0.001"
-#: The smallest tables hold no credential lines.
-MAY_BE_EMPTY = {"secret_values"}
+SF, MORE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -17,8 +15,8 @@ def duck():
 
 @pytest.mark.parametrize("name", sorted(review.ORACLE))
 def test_same_rows_as_sql(spark, duck, name):
-    n = same(review.QUERIES[name](spark, SF), review.ORACLE[name], duck)
-    assert n or name in MAY_BE_EMPTY
+    if not same(review.QUERIES[name](spark, SF), review.ORACLE[name], duck):  # too few rows for a case in a hundred
+        assert same(review.QUERIES[name](spark, MORE), review.ORACLE[name], connect(MORE))
 
 
 @pytest.mark.parametrize("name", sorted(set(review.QUERIES) - set(review.ORACLE)))
