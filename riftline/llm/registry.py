@@ -21,6 +21,7 @@ QUERIES: dict[str, tuple[str, tuple[str, ...]]] = {
     "op8_vectors": ("embeddings", ("embeddings",)),
     "op9_pack": ("packing", ("documents",)),
     "op10_passages": ("substrings", ("documents",)),
+    "op11_toxicity": ("toxicity", ("documents", "labels")),
     "op12_whitening": ("whitening", ("embeddings",)),
     "op13_negatives": ("hardneg", ("embeddings",)),
 }
