@@ -41,7 +41,7 @@ def _ci(*texts: str) -> tuple[Pattern, ...]:
     return tuple(Pattern(t, True) for t in texts)
 
 
-#: The patterns, tiers and titles of the built-in rules, in their order.
+#: The patterns and tiers of the built-in rules, in their order. Titles are our own.
 RULES = (
     Rule("hardcoded-secret", "orange", "Hardcoded secret", (
         *_cs(r"\bAKIA[0-9A-Z]{16}\b", r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY-----", r"\bghp_[A-Za-z0-9]{36}\b", r"\bgithub_pat_[A-Za-z0-9_]{40,}\b", r"\bxox[abprs]-[A-Za-z0-9-]{10,}\b", r"\bAIza[0-9A-Za-z_\-]{35}\b", r"\bsk_live_[0-9a-zA-Z]{16,}\b"),
@@ -103,6 +103,23 @@ WORDS = {
     "nosql-injection": ("$where", "db.eval", "mapreduce", ".find"), "prototype-pollution": ("assign", "merge", "..."),
 }
 
+#: Rules on syntax trees: place in the order of all rules, and tier, blocking and title. A name after "/" tells forms of a rule apart.
+TREE_RULES = {
+    "public-api-change": (20, ("orange", False, "Public interface change")), "sql-injection": (21, ("orange", True, "SQL injection")), "xss-sink": (22, ("orange", False, "HTML injection")),
+    "path-traversal": (23, ("orange", False, "Path traversal")), "prototype-pollution/merge": (24, ("orange", False, "Prototype pollution")), "deprecated-api": (25, ("yellow", False, "Deprecated interface")),
+    "signature-drift": (26, ("orange", False, "Exported signature changed")),
+}
+MESSAGES = {
+    "hardcoded-secret": "A credential seems to be committed: move it out of the code and replace it.", "db-schema-destructive": "This can delete data: try it on a copy and have a way back.",
+    "db-schema-change": "Schema change: check that readers and writers of before still work.", "raw-query": "Raw query: pass values as parameters.", "auth-crypto": "Security code: ask for a second reader and keep its tests.",
+    "dangerous-exec": "Runs code or a process from text: make sure that no outside input gets in.", "leftover-debugger": "Remove this stop for debugging tools.", "network-call": "Call over the network: check host, time limit, repeats and errors.",
+    "debug-logging": "Logging: take out what was for debugging only.", "todo-marker": "Open work: make sure that it is tracked.", "sql-injection": "SQL is put together from parts that are not constant: use parameters.",
+    "sql-injection/passed": "Data of a request is passed as a query.", "permissive-cors": "Any origin may call this: name the origins that are trusted.", "xss-sink": "Text that is not constant becomes HTML: write it as text, or sanitize it.",
+    "path-traversal": "A path holds data of a request: resolve it and check that it stays in its folder.", "nosql-injection": "A query may take operators from outside: build it from single checked fields.",
+    "prototype-pollution": "Request data is merged into an object: accept known keys only.", "prototype-pollution/merge": "This function merges any key, also `__proto__`, `constructor` and `prototype`: reject those.",
+    "public-api-change": "An exported name changes: check who imports it.", "migration-file": "Migration: check that it can be undone and runs in order.", "dependency-manifest": "Dependencies change: check licences and origin of packages.",
+}
+
 #: Rules on whole files, as (rule, tier, title).
 FILE_RULES = (("migration-file", "orange", "Database migration file"), ("dependency-manifest", "yellow", "Dependency manifest change"))
 MANIFESTS = ("package.json", "requirements.txt", "pyproject.toml", "go.mod", "gemfile", "pom.xml", "build.gradle", "cargo.toml", "composer.json")

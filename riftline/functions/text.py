@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riftline.functions.patterns import WHITE, to_java
@@ -21,6 +21,11 @@ TEST_FILE = r"(?i)(?:[._-](?:test|spec)\.[a-z0-9]+|_(?:test|spec)\.[a-z0-9]+|^te
 MIGRATION = r"(?i)(?:^|[/\\])migrations?[/\\]|(?i)\.migration\.[a-z]+\z"
 
 
+def is_pinned(rows: DataFrame) -> Column:
+    """The column ``pinned`` of ``rows``, false where it is null or not there."""
+    return F.coalesce("pinned", F.lit(False)) if "pinned" in rows.columns else F.lit(False)
+
+
 def trim_white(c: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(c, rf"\A[{WHITE}]+|[{WHITE}]+\z", "")

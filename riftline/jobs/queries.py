@@ -687,3 +687,6 @@ def stored_learnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.format_string('{"version": 1, "entries": [{"id": "d%d", "rule_id": "raw-query", "code_hash": "%s", "verdict": "dismiss"}, {"id": "e%d", "other": [1]}]}', "doc_id", F.sha1("text"), "doc_id")
     body = F.when(F.col("text").isNull() | (F.col("doc_id") % 3 == 2), F.col("text")).when(F.col("doc_id") % 3 == 0, whole).otherwise(F.lit('{"version": 1, "entries": [{"id": "d'))
     return learnings.read_stores(docs.withColumn("body", body), "doc_id", "body").drop("at")
+
+
+from riftline.jobs import scripts  # noqa: E402, F401  (registers its queries)

@@ -48,9 +48,13 @@ def changed(code: DataFrame) -> DataFrame:
 
 
 def scanned(code: DataFrame, of: DataFrame) -> DataFrame:
-    """Lines with the language of their file and without their comments."""
-    rows = code.join(of.select("file_id", "language"), "file_id")
-    return rows.withColumn("scan", perfile.mask(F.col("raw"), F.col("language")))
+    """Lines with the language of their file and without its comments: files are put together, masked as a whole and taken apart."""
+    rest = [c for c in code.columns if c not in ("file_id", "line")]
+    whole = code.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line", *rest))).alias("rows")).join(of.select("file_id", "language"), "file_id")
+    text = F.array_join(F.transform("rows", lambda r: r["raw"]), "\n")
+    scans = F.split(perfile.mask(text, F.col("language")), "\n", -1)
+    pairs = F.explode(F.arrays_zip(F.col("rows").alias("row"), scans.alias("scan"))).alias("l")
+    return whole.select("file_id", "language", pairs).select("file_id", "l.row.*", "language", "l.scan")
 
 
 def learnings(spark: SparkSession, sf_dir: str, rules: list[str]) -> DataFrame:

@@ -52,10 +52,11 @@ AUTHORITY = "codegraph"
 
 def impact_tier(findings: DataFrame, threshold: int, pinned: Sequence[str] = ()) -> DataFrame:
     """Tiers of caller-tiered rules that are not pinned: no caller by the code graph lowers, many callers by any source raise."""
-    tierable = F.col("rule_id").isin(*CALLER_TIERED) & ~F.col("rule_id").isin(*pinned or [""]) & F.col("caller_count").isNotNull()
+    tierable = F.col("rule_id").isin(*CALLER_TIERED) & ~F.col("rule_id").isin(*pinned or [""]) & ~T.is_pinned(findings) & F.col("caller_count").isNotNull()
     low = tierable & (F.col("caller_count") == 0) & (F.col("impact_source") == AUTHORITY)
     high = tierable & (F.col("caller_count") >= threshold) & ~F.coalesce(low, F.lit(False))
-    return findings.withColumn("tier_adjusted", F.when(low, "deescalated").when(high, "escalated")).withColumn("tier", F.when(low, "yellow").when(high, "orange").otherwise(F.col("tier")))
+    before = F.col("tier_adjusted") if "tier_adjusted" in findings.columns else F.lit(None).cast("string")
+    return findings.withColumn("tier_adjusted", F.when(low, "deescalated").when(high, "escalated").otherwise(before)).withColumn("tier", F.when(low, "yellow").when(high, "orange").otherwise(F.col("tier")))
 
 
 def stale_docs(findings: DataFrame, stale: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def attach_taint(findings: DataFrame, verdicts: DataFrame, *, lower: bool = Fals
     clean is lowered and stops blocking only where the caller opts in (``lower``) and the rule is not pinned.
     """
     marked = findings.join(verdicts.where(F.col("rule_id").isin(*SECURITY)), ["file_id", "rule_id", "line"], "left")
-    clean = ~F.col("tainted") & (F.col("source") == AUTHORITY) & F.lit(lower) & ~F.col("rule_id").isin(*pinned or [""])
+    clean = ~F.col("tainted") & (F.col("source") == AUTHORITY) & F.lit(lower) & ~F.col("rule_id").isin(*pinned or [""]) & ~T.is_pinned(findings)
     low = F.coalesce(clean, F.lit(False))
     hops = F.array_join(F.slice("data_flow", 1, 6), " → ")
     trace = F.when(F.col("tainted"), F.when(F.size("data_flow") > 0, F.concat(F.lit("Taint path: "), hops, F.lit("."))).otherwise("Taint path confirmed by the code graph."))

@@ -97,17 +97,39 @@ def report_order(findings: DataFrame) -> DataFrame:
 
 
 def test_scope(findings: DataFrame, files: DataFrame, pinned: Sequence[str] = ()) -> DataFrame:
-    """In tests, orange becomes yellow and stops blocking, but for exempt and pinned rules; no row is lost."""
+    """In tests, orange becomes yellow and stops blocking, but for exempt and pinned rules; no row is lost.
+
+    Rules are pinned for all files by ``pinned``, and for one finding by its column ``pinned``, if there is one.
+    """
     tests = files.select("file_id", T.is_test_path(F.col("path")).alias("_test"))
-    lower = F.col("_test") & (F.col("tier") == "orange") & ~F.col("rule_id").isin(*TEST_EXEMPT, *pinned)
+    lower = F.col("_test") & (F.col("tier") == "orange") & ~F.col("rule_id").isin(*TEST_EXEMPT, *pinned) & ~T.is_pinned(findings)
     return (
         findings.join(tests, "file_id").withColumn("_low", lower)
-        .withColumn("tier_adjusted", F.when(F.col("_low"), "deescalated"))
+        .withColumn("tier_adjusted", F.when(F.col("_low"), "deescalated").otherwise(F.col("tier_adjusted") if "tier_adjusted" in findings.columns else None))
         .withColumn("tier", F.when(F.col("_low"), "yellow").otherwise(F.col("tier")))
         .withColumn("blocking", F.col("blocking") & ~F.col("_low")).drop("_low", "_test")
     )
 
 
+def deprecated_lines(lines: DataFrame, deprecated: DataFrame) -> DataFrame:
+    """file_id, line, col, end_col, name, replaced_by, author, pr, own_tier, code: lines of languages without a tree that call a deprecated name.
+
+    A call of ``a.b.c`` is one of ``b.c`` and of ``c``, too. Of several names in a line the first in the alphabet counts.
+    """
+    names = deprecated.select(F.trim(F.regexp_replace("name", r"\([\s\S]*$", "")).alias("name"), "replaced_by", "author", "pr", F.col("tier").alias("own_tier"))
+    calls = F.regexp_extract_all("scan", F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*)\s*\("), F.lit(1))
+    tails = F.transform(F.sequence(F.lit(1), F.size(F.split("call", r"\."))), lambda k: F.substring_index("call", ".", -k))
+    others = lines.where(~F.col("language").isin("javascript", "typescript"))
+    called = others.select("file_id", "line", "raw", "scan", F.explode(F.array_distinct(calls)).alias("call")).select("file_id", "line", "raw", "scan", F.explode(tails).alias("name"))
+    first = Window.partitionBy("file_id", "line").orderBy("name")
+    found = called.join(names, "name").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    java = F.concat(F.lit(to_java(r"\b")), F.regexp_replace("name", r"([.$])", r"\\$1"), F.lit(to_java(r"\s*\(")))
+    col = F.regexp_instr("scan", java) - 1
+    length = F.length("name") + F.instr(F.expr("substring(scan, _at + length(name))"), "(")
+    found = found.withColumn("_at", col + 1).withColumns({"col": F.col("_at") - 1, "end_col": F.col("_at") - 1 + length, "code": T.trim_white(F.col("raw"))})
+    return found.drop("_n", "_at", "raw", "scan")
+
+
 def deprecated_calls(lines: DataFrame, deprecated: DataFrame) -> DataFrame:
     """file_id, line, name, replaced_by: call sites of deprecated names, by an equi-join on the callee."""
     calls = lines.select("file_id", "line", F.explode(F.array_distinct(F.regexp_extract_all("scan", F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*)\s*\("), F.lit(1)))).alias("name"))
