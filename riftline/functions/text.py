@@ -152,3 +152,26 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 __all__ = [k for k in dir() if not k.startswith("_") and k != "to_java"]
+
+
+#: Pieces of JSON: strings, brackets that open and that close, and anything else. A quote that nothing closes is a piece, too.
+_PIECES = r"""\"(?:[^\"\\]|\\[\s\S])*+\"|[\[{]|[\]}]|[^\"\[\]{}]+|\""""
+
+#: A text that is one JSON value without brackets.
+_SCALAR = r"""\A(?:true|false|null|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|\"(?:[^\"\\\x00-\x1f]|\\(?:[\"\\/bfnrt]|u[0-9a-fA-F]{4}))*\")\z"""
+
+
+def loose_json(text: Column) -> Column:
+    """The JSON value in a text that may have other text around it, as text: the whole, else the first object or list that opens.
+
+    Such a value ends where its brackets are even, so that one pass finds the only place where it can. Null if there is none.
+    """
+    whole = trim_white(text)
+    pieces = F.regexp_extract_all(F.regexp_extract(whole, r"(?s)[\[{].*", 0), F.lit(_PIECES), F.lit(0))
+    step = lambda s, p: F.when(s["depth"] == 0, s).otherwise(
+        F.struct(F.concat(s["done"], F.array(p)).alias("done"), (s["depth"] + F.when(p.isin("{", "["), 1).when(p.isin("}", "]"), -1).otherwise(0)).alias("depth"))
+    )
+    start = F.struct(F.array(F.get(pieces, F.lit(0))).alias("done"), F.lit(1).alias("depth"))
+    inner = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), start, step, lambda s: F.when(s["depth"] == 0, F.array_join(s["done"], "")))
+    inner = F.when(F.size(pieces) > 0, inner)
+    return F.when(whole.rlike(_SCALAR), whole).when(F.try_parse_json(inner).isNotNull(), inner)

@@ -566,7 +566,7 @@ def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text", (F.col("doc_id") % 3 != 0).alias("diff_known"))
     changed = findings.explode_lines(docs, "doc_id", "text").where("line % 2 = 1 AND file_id % 9 <> 1").select("file_id", "line")
     dismissed = job.review(files.where("file_id % 10 = 3"), changed).select("rule_id", T.code_hash(F.col("code")).alias("code_hash"), F.lit("dismiss").alias("verdict"))
-    return job.review(files, changed, dismissed)
+    return job.review(files, changed, dismissed).select("file_id", "line", "col", "rule_id", "tier", "blocking", "code", "trust", "pos")
 
 
 @query(_REVIEWED + "SELECT file_id, line, col, rule_id, tier, blocking, code, trust, pos FROM placed")
@@ -654,7 +654,7 @@ def _settings(code: DataFrame) -> DataFrame:
 
 
 @query(FOUND + f""", {_SETTINGS}, packed AS (SELECT *, {_PACKED} AS pack FROM scoped)
-SELECT f.file_id, f.line, f.rule_id, f.col, coalesce(own.s.t, f.tier) AS tier, coalesce(own.s.b, f.blocking) AS blocking, own.s.t IS NOT NULL AS pinned
+SELECT f.file_id, f.line, f.rule_id, f.col, coalesce(own.s.t, f.tier) AS tier, coalesce(own.s.b, f.blocking) AS blocking, own.s.t IS NOT NULL OR own.s.b IS NOT NULL AS pinned
 FROM packed f LEFT JOIN settings own ON own.project = f.file_id AND own.key = f.rule_id LEFT JOIN settings p ON p.project = f.file_id AND p.key = f.pack
 WHERE coalesce(own.s.e, true) AND (own.key IS NOT NULL OR coalesce(p.s.e, true))""")
 def configured_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -689,4 +689,4 @@ def stored_learnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learnings.read_stores(docs.withColumn("body", body), "doc_id", "body").drop("at")
 
 
-from riftline.jobs import scripts  # noqa: E402, F401  (registers its queries)
+from riftline.jobs import policies, scripts  # noqa: E402, F401  (they register their queries)

@@ -118,7 +118,8 @@ def deprecated_lines(lines: DataFrame, deprecated: DataFrame) -> DataFrame:
     """
     names = deprecated.select(F.trim(F.regexp_replace("name", r"\([\s\S]*$", "")).alias("name"), "replaced_by", "author", "pr", F.col("tier").alias("own_tier"))
     calls = F.regexp_extract_all("scan", F.lit(r"([A-Za-z_$][A-Za-z0-9_$]*(?:\.[A-Za-z_$][A-Za-z0-9_$]*)*)\s*\("), F.lit(1))
-    tails = F.transform(F.sequence(F.lit(1), F.size(F.split("call", r"\."))), lambda k: F.substring_index("call", ".", -k))
+    parts = F.split("call", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))
     others = lines.where(~F.col("language").isin("javascript", "typescript"))
     called = others.select("file_id", "line", "raw", "scan", F.explode(F.array_distinct(calls)).alias("call")).select("file_id", "line", "raw", "scan", F.explode(tails).alias("name"))
     first = Window.partitionBy("file_id", "line").orderBy("name")

@@ -47,7 +47,7 @@ def layered(settings: DataFrame) -> DataFrame:
 
 
 def configured(findings: DataFrame, settings: DataFrame) -> DataFrame:
-    """Findings (with ``project``) of the rules that are left, with the tiers and gates that the project sets; ``pinned`` if it sets a tier.
+    """Findings (with ``project``) of the rules that are left, with the tiers and gates that the project sets; ``pinned`` if it sets either.
 
     A rule goes if it is switched off, or if its pack is and the rule has no setting of its own. ``settings`` holds one
     for each (project, key), as ``layered`` returns them.
@@ -60,7 +60,7 @@ def configured(findings: DataFrame, settings: DataFrame) -> DataFrame:
     return (
         findings.join(known, ["project", "rule_id"], "left").where(enabled)
         .withColumn("tier", F.coalesce("_own.tier", "tier")).withColumn("blocking", F.coalesce("_own.blocking", "blocking"))
-        .withColumn("pinned", F.col("_own.tier").isNotNull()).drop("_own", "_pack_off")
+        .withColumn("pinned", F.col("_own.tier").isNotNull() | F.col("_own.blocking").isNotNull()).drop("_own", "_pack_off")
     )
 
 

@@ -232,10 +232,14 @@ def unguarded_merges(nodes: DataFrame, known: Names) -> DataFrame:
     return functions.join(shape.where("keys AND writes AND calls AND NOT guarded").select(*key), key)
 
 
+def deprecation(replaced_by: Column, author: Column, pr: Column) -> Column:
+    return F.concat_ws(" ", F.concat(F.lit("Deprecated: use `"), replaced_by, F.lit("`.")), F.concat(F.lit("Owner: "), author, F.lit(".")), F.concat(F.lit("See "), pr, F.lit(".")))
+
+
 def _deprecated(nodes: DataFrame, named: DataFrame, deprecated: DataFrame) -> list[DataFrame]:
     """Calls of deprecated names, with a fix, and other mentions of deprecated members."""
     listed = deprecated.withColumn("name", F.trim(F.regexp_replace("name", r"\([\s\S]*$", "")))
-    told = F.concat_ws(" ", F.concat(F.lit("Deprecated: use `"), "replaced_by", F.lit("`.")), F.concat(F.lit("Owner: "), "author", F.lit(".")), F.concat(F.lit("See "), "pr", F.lit(".")))
+    told = deprecation(F.col("replaced_by"), F.col("author"), F.col("pr"))
     tier = F.coalesce("own_tier", F.lit("yellow"))
     listed = listed.select(F.col("name").alias("of"), "replaced_by", "author", "pr", F.col("tier").alias("own_tier"))
     called = named.join(listed, named["callee_name"] == F.col("of"))
