@@ -53,44 +53,65 @@ def windows(items: DataFrame, item: str, text: str, window: int) -> DataFrame:
     )
 
 
-def anchored(keyed: DataFrame, text: str, wins: DataFrame, anchors: int) -> DataFrame:
-    """item, first, term, offset, mark (a bit each), need (all bits): the rarest places of each window by the corpus count of their term."""
-    places = wins.select("item", "first", F.posexplode("words").alias("offset", "term"))
+def anchored(keyed: DataFrame, text: str, wins: DataFrame, anchors: int, by: tuple[str, ...] = ("win",)) -> DataFrame:
+    """``by`` (which name a window), term, offset, mark (a bit each), need (all bits): the rarest places of each window by the corpus count of their term."""
+    places = wins.select(*by, F.posexplode("words").alias("offset", "term"))
     vocabulary = places.select("term").distinct()
     counts = postings(keyed, text).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    rarest = Window.partitionBy("item", "first").orderBy(F.coalesce("n", F.lit(0)), "term", "offset")
+    rarest = Window.partitionBy(*by).orderBy(F.coalesce("n", F.lit(0)), "term", "offset")
     return (
         places.join(counts, "term", "left").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= anchors)
-        .select("item", "first", "term", "offset", F.expr("1L << (rank - 1)").alias("mark"), F.expr("(1L << count(1) OVER (PARTITION BY item, first)) - 1").alias("need"))
+        .select(*by, "term", "offset", F.expr("1L << (rank - 1)").alias("mark"), F.expr(f"(1L << count(1) OVER (PARTITION BY {', '.join(by)})) - 1").alias("need"))
     )
 
 
 def candidates(keyed: DataFrame, text: str, anchors: DataFrame) -> DataFrame:
-    """_rk, item, first, start: the intersection of the shifted posting lists of each window."""
-    shifted = postings(keyed, text).join(anchors, "term").select("_rk", "item", "first", (F.col("place") - F.col("offset")).alias("start"), "mark", "need")
-    return shifted.groupBy("_rk", "item", "first", "start").agg(F.bit_or("mark").alias("seen"), F.max("need").alias("need")).where("seen = need").select("_rk", "item", "first", "start")
+    """_rk, win, start: the intersection of the shifted posting lists of each window."""
+    shifted = postings(keyed, text).join(anchors, "term").select("_rk", "win", (F.col("place") - F.col("offset")).alias("start"), "mark", "need")
+    return shifted.groupBy("_rk", "win", "start").agg(F.bit_or("mark").alias("seen"), F.max("need").alias("need")).where("seen = need AND start >= 0").select("_rk", "win", "start")
 
 
-def phrase_matches(docs: DataFrame, items: DataFrame, *, key: str, text: str, item: str, item_text: str, window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
-    """_rk and hits, an array of (item, start, size), for each document text in which a window occurs."""
+def distinct_windows(items: DataFrame, item: str, text: str, window: int) -> tuple[DataFrame, DataFrame]:
+    """(win, words), a row for each different run of words, and (win, item), the items that hold it."""
+    wins = materialise(windows(items, item, text, window))
+    named = materialise(wins.select("words").distinct().withColumn("win", F.monotonically_increasing_id()))
+    return named, materialise(wins.join(named, "words").select("win", "item").distinct())
+
+
+def phrase_matches(docs: DataFrame, items: DataFrame, *, key: str, text: str, item: str, item_text: str, window: int = WINDOW, anchors: int = ANCHORS) -> tuple[DataFrame, DataFrame]:
+    """(_rk, hits), hits an array of (win, size, starts), for each document text in which a window occurs; and (win, item).
+
+    Starts are gathered as numbers, a window's words once a document; a text is split once and its candidates are decided
+    on that, so that a text that repeats one word costs no more than another of its length.
+    """
     keyed = row_keyed(docs.select(key, text), key, text)
-    wins = materialise(windows(items, item, item_text, window))
+    wins, holders = distinct_windows(items, item, item_text, window)
     picked = materialise(anchored(keyed, text, wins, anchors))
-    found = candidates(keyed, text, picked).join(wins, ["item", "first"]).groupBy("_rk").agg(F.collect_list(F.struct("item", "start", "words")).alias("found"))
-    found = materialise(found)
-    words = F.transform(split_words(F.col(text)), lowered)
-    holds = lambda c: (c["start"] >= 0) & (F.slice(F.col("words"), F.greatest(c["start"], F.lit(0)) + 1, F.size(c["words"])) == c["words"])
-    return (
+    starts = candidates(keyed, text, picked).groupBy("_rk", "win").agg(F.collect_list("start").alias("starts"))
+    found = materialise(starts.join(wins, "win").groupBy("_rk").agg(F.collect_list(F.struct("win", "words", "starts")).alias("found")))
+    # a generator stands between the words and their use, else each candidate would split the text again
+    words = F.explode(F.array(F.transform(split_words(F.col(text)), lowered)))
+    holds = lambda of: F.filter(of["starts"], lambda s: F.slice(F.col("words"), s + 1, F.size(of["words"])) == of["words"])
+    kept = F.transform("found", lambda of: F.struct(of["win"].alias("win"), F.size(of["words"]).alias("size"), holds(of).alias("starts")))
+    hits = (
         keyed.join(found, "_rk").dropDuplicates(["_rk"]).select("_rk", "found", words.alias("words"))
-        .select("_rk", F.transform(F.filter("found", holds), lambda c: F.struct(c["item"].alias("item"), c["start"].alias("start"), F.size(c["words"]).alias("size"))).alias("hits"))
-        .where(F.size("hits") > 0)
+        .select("_rk", F.filter(kept, lambda h: F.size(h["starts"]) > 0).alias("hits")).where(F.size("hits") > 0)
     )
+    return materialise(hits), holders
+
+
+def covered(hits: Column) -> Column:
+    """Number of places that hits cover: their ranges in order, each counted from where the ones before end."""
+    ranges = F.array_sort(F.flatten(F.transform(hits, lambda h: F.transform(h["starts"], lambda s: F.struct(s.alias("low"), (s + h["size"]).alias("high"))))))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
+    step = lambda s, r: F.struct((s["n"] + F.greatest(r["high"] - F.greatest(r["low"], s["end"]), F.lit(0))).alias("n"), F.greatest(s["end"], r["high"]).alias("end"))
+    return F.aggregate(ranges, start, step, lambda s: s["n"])
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, *, key: str, text: str, item: str, item_text: str, window: int = WINDOW, slop: int = 3) -> DataFrame:
     """_rk, item, first, start, gap: windows whose two rarest terms stand within ``slop`` words of their distance."""
     keyed = row_keyed(docs.select(key, text), key, text)
-    picked = materialise(anchored(keyed, text, materialise(windows(items, item, item_text, window)), 2))
+    picked = materialise(anchored(keyed, text, materialise(windows(items, item, item_text, window)), 2, ("item", "first")))
     at = materialise(postings(keyed, text).join(picked, "term").select("_rk", "item", "first", "offset", (F.col("place") - F.col("offset")).alias("start")))
     other = at.select("_rk", "item", "first", F.col("offset").alias("o"), F.col("start").alias("s"))
     near = at.join(other, ["_rk", "item", "first"]).where((F.col("offset") < F.col("o")) & (F.abs(F.col("start") - F.col("s")) <= slop))
@@ -99,9 +120,9 @@ def proximity_matches(docs: DataFrame, items: DataFrame, *, key: str, text: str,
 
 def score(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, anchors: int = ANCHORS) -> DataFrame:
     """_rk, n_words, n_hit, n_items, items (sorted as strings), contaminated: one row for each row of ``docs``."""
-    hits = phrase_matches(docs, items, key=key, text=text, item=item, item_text=item_text, window=window, anchors=anchors)
-    places = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["size"] - 1))))
-    per_doc = hits.select("_rk", F.size(places).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"]))).alias("items"))
+    hits, holders = phrase_matches(docs, items, key=key, text=text, item=item, item_text=item_text, window=window, anchors=anchors)
+    named = hits.select("_rk", F.explode("hits.win").alias("win")).join(holders, "win").groupBy("_rk").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    per_doc = materialise(hits.select("_rk", covered(F.col("hits")).alias("n_hit")).join(named, "_rk"))
     counted = row_keyed(docs.select(key, text), key, text).select("_rk", count_words(split_words(F.col(text))).alias("n_words"))
     return counted.join(per_doc, "_rk", "left").select(
         "_rk", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
