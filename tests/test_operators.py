@@ -135,7 +135,7 @@ def test_settings_decide_what_is_left(spark):
     layers = [(1, 1, "hygiene", True, None, None), (1, 2, "hygiene", False, None, None), (1, 1, "debug-logging", None, None, True), (1, 1, "raw-query", None, "orange", None), (1, 1, None, False, None, None), (2, 1, "todo-marker", False, None, None)]
     settings = rulesets.layered(spark.createDataFrame(layers, schema))
     left = {(r.project, r.rule_id): (r.tier, r.blocking, r.pinned) for r in rulesets.configured(found, settings).collect()}
-    assert left == {(1, "raw-query"): ("orange", False, True), (1, "debug-logging"): ("green", True, False)}
+    assert left == {(1, "raw-query"): ("orange", False, True), (1, "debug-logging"): ("green", True, True)}
     none = rulesets.layered(spark.createDataFrame([], schema))
     assert rulesets.configured(found, none).count() == 4
 
