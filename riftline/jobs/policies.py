@@ -1,4 +1,4 @@
-"""Queries on configuration files, histories of lines, guides and tool output, made of the given tables, and their equivalents in SQL."""
+"""Queries on configuration files, histories of lines, guides, tool output and totals, made of the given tables, and their equivalents in SQL."""
 
 from __future__ import annotations
 
@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riftline.functions import text as T
+from riftline.functions.rules import ADVISORY, RULES
+from riftline.jobs import tables
 from riftline.jobs.queries import query
-from riftline.operators import guidelines, perfile, policies
-from riftline.sources import blame
+from riftline.operators import guidelines, learnings, perfile, policies, scoring
+from riftline.sources import blame, sinks
 
 
 def _configs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -113,3 +115,58 @@ def exact_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = events.groupBy(F.col("user_id").alias("file_id")).agg(F.count(F.lit(1)).alias("lines"), new.alias("rows"))
     both = both.select("file_id", "lines", joined(F.filter("rows", lambda x: x["e"] % 7 != 0)).alias("old"), joined(F.col("rows")).alias("new"))
     return perfile.line_diff(both, "old", "new", None).select("file_id", "lines", F.array_join("changed", ",").alias("changed"))
+
+
+_LEARNED = f"WITH {tables.SQL}, s AS (SELECT ({tables._list(tuple(r.rule_id for r in RULES))})[CAST(event_id % {len(RULES)} AS INT) + 1] AS rule_id, CASE WHEN value > 8 THEN 'dismiss' ELSE 'confirm' END AS verdict FROM code)"
+
+
+@query(_LEARNED + " SELECT count(*) AS total, count(*) FILTER (verdict = 'dismiss') AS dismissed, count(*) FILTER (verdict = 'confirm') AS confirmed, count(*) FILTER (verdict = 'confirm') / count(*) AS signal FROM s")
+def learnings_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learnings.summary(tables.learnings(spark, sf_dir, [r.rule_id for r in RULES]))
+
+
+@query(_LEARNED + " SELECT rule_id, count(*) AS dismissed, CAST(row_number() OVER (ORDER BY count(*) DESC, rule_id) AS INT) AS pos FROM s WHERE verdict = 'dismiss' GROUP BY 1 ORDER BY dismissed DESC, rule_id LIMIT 10")
+def noisiest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learnings.noisiest(tables.learnings(spark, sf_dir, [r.rule_id for r in RULES]))
+
+
+#: Rules that trials aim at and that fire in them, by number of the event.
+_AIMED = ("sql-injection", "auth-crypto", "xss-sink", "path-traversal", "hardcoded-secret")
+
+
+@query(f"""WITH r AS (SELECT {tables._list(_AIMED)} AS names, {tables._list(ADVISORY)} AS soft),
+t AS (SELECT 'm' || user_id % 4 AS mode, event_id % 6 = 0 AS gap, [names[CAST(event_id % 5 AS INT) + 1]] AS targets, CASE WHEN event_id % 3 = 0 THEN [] ELSE [names[CAST(event_id // 5 % 5 AS INT) + 1], names[CAST(event_id // 25 % 5 AS INT) + 1]] END AS fired, event_type = 'error' AS failed, soft FROM events, r),
+k AS (SELECT *, list_filter(fired, lambda x: NOT list_contains(soft, x)) AS hard FROM t),
+c AS (SELECT mode, count(*) AS total, count(*) FILTER (failed) AS errors, count(*) FILTER (NOT failed AND NOT gap) AS scored, count(*) FILTER (NOT failed AND NOT gap AND len(fired) > 0) AS catches, count(*) FILTER (NOT failed AND NOT gap AND len(hard) > 0) AS defects,
+  count(*) FILTER (NOT failed AND NOT gap AND len(hard) = 0 AND len(fired) > 0) AS advisories, count(*) FILTER (NOT failed AND NOT gap AND list_has_any(hard, targets)) AS on_target, count(*) FILTER (NOT failed AND gap AND len(fired) = 0) AS gap_clean FROM k GROUP BY 1)
+SELECT *, round(defects / greatest(scored, 1), 3) AS defect_rate, round(advisories / greatest(scored, 1), 3) AS advisory_rate, round(on_target / greatest(scored, 1), 3) AS on_target_rate FROM c""")
+def trial_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = F.col("event_id")
+    names = F.array(*map(F.lit, _AIMED))
+    aim = lambda c: F.get(names, c.cast("int"))
+    fired = F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(aim(F.floor(k / 5) % 5), aim(F.floor(k / 25) % 5)))
+    rows = events.select(F.concat(F.lit("m"), (F.col("user_id") % 4).cast("string")).alias("mode"), (k % 6 == 0).alias("known_gap"), F.array(aim(k % 5)).alias("target_rules"), fired.alias("fired_rules"), (F.col("event_type") == "error").alias("failed"))
+    soft = F.size(F.filter("fired_rules", lambda r: ~r.isin(*ADVISORY))) == 0
+    kind = F.when(F.col("failed"), "error").when(F.size("fired_rules") == 0, "clean").when(soft, "advisory").otherwise("defect")
+    return scoring.trial_totals(rows.withColumn("kind", kind))
+
+
+@query("""WITH f AS (SELECT user_id AS project, 'f' || event_id % 3 || '.py' AS path, CAST(row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY event_id) AS INT) AS pos, event_id % 100 AS line, event_type AS rule_id, value > 20 AS hot FROM events),
+r AS (SELECT project, rule_id, min((path, pos)) AS seen FROM f GROUP BY ALL),
+rules AS (SELECT project, string_agg('{"id":"' || rule_id || '","shortDescription":{"text":"About ' || rule_id || '"}}', ',' ORDER BY seen) AS rules FROM r GROUP BY 1)
+SELECT project, '{"$schema":"https://schemastore.azurewebsites.net/schemas/json/sarif-2.1.0-rtm.5.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"riftline","version":"1","rules":[' || any_value(rules) || ']}},"results":[' ||
+  string_agg('{"ruleId":"' || rule_id || '","level":"' || CASE WHEN hot THEN 'error' ELSE 'note' END || '","message":{"text":"Look"},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"' || path || '","uriBaseId":"%SRCROOT%"},"region":{"startLine":' || line || ',"startColumn":3,"endLine":' || line || ',"endColumn":6}}}]' ||
+    CASE WHEN hot THEN ',"properties":{"symbol":"s' || line || '"}' ELSE '' END || '}', ',' ORDER BY path, pos) || ']}]}' AS document
+FROM f JOIN rules USING (project) GROUP BY 1""")
+def sarif_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole interchange document a project."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path = F.concat(F.lit("f"), (F.col("event_id") % 3).cast("string"), F.lit(".py"))
+    hot = F.col("value") > 20
+    rows = events.select(
+        F.col("user_id").alias("project"), path.alias("path"), F.row_number().over(Window.partitionBy("user_id", F.col("event_id") % 3).orderBy("event_id")).alias("pos"), (F.col("event_id") % 100).alias("line"), F.lit(2).alias("col"), F.lit(5).alias("end_col"),
+        F.lit(None).cast("long").alias("end_line"), F.col("event_type").alias("rule_id"), F.concat(F.lit("About "), "event_type").alias("title"), F.when(hot, "orange").otherwise("green").alias("tier"), F.lit("Look").alias("message"),
+        F.when(hot, F.concat(F.lit("s"), (F.col("event_id") % 100).cast("string"))).alias("symbol"),
+    )
+    return sinks.sarif_documents(rows, "project", "1")

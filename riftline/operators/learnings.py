@@ -58,3 +58,17 @@ def read_stores(stores: DataFrame, key: str, body: str) -> DataFrame:
     entry = "id string, rule_id string, code_hash string, verdict string, at timestamp"
     parsed = stores.select(F.col(key), F.from_json(F.col(body), f"version int, entries array<struct<{entry.replace(' string', ': string').replace(' timestamp', ': timestamp')}>>").alias("s"))
     return parsed.select(key, F.posexplode("s.entries").alias("ingest_ord", "e")).where("e IS NOT NULL").select(key, "e.*", "ingest_ord")
+
+
+def summary(learnings: DataFrame) -> DataFrame:
+    """total, dismissed, confirmed, and the pooled signal: the confirmed share of both, 1 without any. One row, also for an empty store."""
+    dismissed, confirmed = F.count_if(F.col("verdict") == "dismiss"), F.count_if(F.col("verdict") == "confirm")
+    counts = learnings.agg(F.count(F.lit(1)).alias("total"), dismissed.alias("dismissed"), confirmed.alias("confirmed"))
+    both = F.col("dismissed") + F.col("confirmed")
+    return counts.withColumn("signal", F.when(both == 0, 1.0).otherwise(F.col("confirmed") / F.greatest(both, F.lit(1))))
+
+
+def noisiest(learnings: DataFrame, most: int = 10) -> DataFrame:
+    """rule_id, dismissed, pos: the ``most`` rules that are dismissed most often, ties by name."""
+    counts = learnings.where("verdict = 'dismiss'").groupBy("rule_id").agg(F.count(F.lit(1)).alias("dismissed"))
+    return counts.orderBy(F.desc("dismissed"), "rule_id").limit(most).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("dismissed"), "rule_id")))

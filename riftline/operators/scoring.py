@@ -65,3 +65,20 @@ def classify_trials(trials: DataFrame, found: DataFrame) -> DataFrame:
     fired = risky.groupBy("trial").agg(F.array_sort(F.collect_set("rule_id")).alias("fired"), F.bool_or(~F.col("rule_id").isin(*ADVISORY)).alias("_defect"))
     kind = F.when(F.col("failed"), "error").when(F.col("_defect"), "defect").when(F.col("_defect").isNotNull(), "advisory").otherwise("clean")
     return trials.join(fired, "trial", "left").select("trial", F.coalesce("fired", F.array().cast("array<string>")).alias("fired"), kind.alias("kind"))
+
+
+def trial_totals(trials: DataFrame) -> DataFrame:
+    """mode and what its trials come to: all, errors, scored, catches, defects, advisories, on target, clean gaps, and rates.
+
+    trials: mode, known_gap, target_rules, fired_rules, kind. Trials with a known gap are scored nowhere but in
+    ``gap_clean``, errors nowhere at all. A trial is on target if a rule that fired, other than an advisory one, is one of its targets.
+    """
+    done, scored = F.col("kind") != "error", (F.col("kind") != "error") & ~F.col("known_gap")
+    hard = F.filter("fired_rules", lambda r: ~r.isin(*ADVISORY))
+    counts = {
+        "total": F.count(F.lit(1)), "errors": F.count_if(~done), "scored": F.count_if(scored), "catches": F.count_if(scored & (F.size("fired_rules") > 0)), "defects": F.count_if(scored & (F.col("kind") == "defect")),
+        "advisories": F.count_if(scored & (F.col("kind") == "advisory")), "on_target": F.count_if(scored & F.arrays_overlap(hard, "target_rules")), "gap_clean": F.count_if(done & F.col("known_gap") & (F.col("kind") == "clean")),
+    }
+    found = trials.groupBy("mode").agg(*[c.alias(name) for name, c in counts.items()])
+    rate = lambda c: F.round(F.col(c) / F.greatest("scored", F.lit(1)), 3)
+    return found.withColumns({"defect_rate": rate("defects"), "advisory_rate": rate("advisories"), "on_target_rate": rate("on_target")})
