@@ -5,18 +5,23 @@ Two kinds of paragraph are compared:
 * Lines of any length get a MinHash signature of their word shingles in ``BANDS`` bands of ``ROWS`` rows. At a
   similarity of 0.8 all but 8 pairs in 10,000 meet in some band; what meets is verified by exact Jaccard similarity, and
   clusters are components (``banding``).
-* Pieces find passages that stand in the middle of other lines. A text is cut where the hash of a word pair is the
-  least of its ``REACH`` neighbours on both sides (the first of equal ones), ``LONGEST`` words after a cut at the latest,
-  and at its ends, so that a repeated passage is cut alike wherever it stands. A piece of some eleven words is too short
-  for anything but equality of all its words: its one band is their hash, of 96 bits.
+* Grams find passages that stand in the middle of other lines: of each ``WINDOW`` runs of ``GRAM`` words that begin at
+  neighbouring words, those of the least hash. Whatever ``GRAM + WINDOW - 1`` = 25 words two documents share, they share
+  one of these, and a longer common run is covered by them but for at most ``WINDOW - 1`` words at each end. A gram's one
+  band is the hash of its words, of 96 bits; equal ones stand for equal words.
+* The ends are then found to the word: the words before and after each gram that repeats are compared with those at its
+  other occurrences, by hashes of the next one, two and more words. Contexts that are equal in full count once, so that
+  the work does not grow with the square of a group of copies.
 
 A paragraph repeats if another document has one of its cluster. The occurrence with the smallest key and start stays,
-the others are to be removed. Repeats that overlap or touch form a passage. One of fewer than ``LEAST`` words is left
-alone, since short stock phrases are in any text, unless it is its whole document.
+the others are to be removed. Repeats that overlap or touch form a passage. One of fewer than ``least`` words (25 unless
+given; smaller values take smaller grams and windows) is left alone, since short stock phrases are in any text, unless
+it is its whole document.
 
 Defined cases: a null or empty text has no passages; repeats inside one document only are no clusters; documents that
 share a key but not the text count as different, rows equal in both as one; an empty table gives an empty result; other
-columns are ignored. At the ends of a passage inside other text up to ``LONGEST`` words, five on average, can stay out.
+columns are ignored. Every run of ``least`` words or more that two documents share lies in a passage of both. In texts
+that repeat themselves, a sixth of the equal grams stand for all.
 """
 
 from __future__ import annotations
@@ -31,30 +36,30 @@ from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from riftline.llm.banding import SIMILARITY, clusters
-from riftline.llm.common import forget, materialise, row_keyed
-from riftline.llm.shingles import PART, chain, mix, words
+from riftline.llm.common import forget, if_few, materialise, row_keyed
+from riftline.llm.shingles import PART, mix, words
 
-REACH, LONGEST, LEAST, BANDS, ROWS = 5, 24, 25, 7, 2
-#: Odd factors of the hash of a piece and of its check, and their inverses modulo 2^64.
+GRAM, WINDOW, LEAST, BANDS, ROWS = 14, 12, 25, 7, 2
+#: Odd factors of the hash of a run of words and of its check, and their inverses modulo 2^64.
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _INVERSES = tuple(pow(f, -1, 1 << 64) for f in _FACTORS)
-FIELDS = ("content", "check", "w0", "w1", "start", "end")
+FIELDS = ("content", "check", "w0", "w1")
 
 
-def cuts(pairs: np.ndarray, reach: int = REACH, longest: int = LONGEST) -> np.ndarray:
-    """First words of pieces, and the end: local minima of the hashes of word pairs, of n + 1 words."""
-    n = len(pairs) + 1
-    if len(pairs):
-        end = np.full(reach, np.iinfo(np.uint64).max, dtype=np.uint64)
-        around = np.lib.stride_tricks.sliding_window_view(np.concatenate([end, pairs, end]), reach).min(axis=1)
-        found = np.flatnonzero((pairs < around[: len(pairs)]) & (pairs <= around[reach + 1 :]))
-    else:
-        found = np.zeros(0, dtype=np.int64)
-    edges = np.unique(np.concatenate([[0], found, [n]]))
-    size = np.diff(edges)
-    more = (size - 1) // longest
-    forced = np.repeat(edges[:-1], more) + longest * (np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1)
-    return np.sort(np.concatenate([edges, forced]))
+def sizes(least: int) -> tuple[int, int]:
+    """Words of a gram, and grams of a window, that find every common run of ``least`` words."""
+    gram = max(1, min(GRAM, least))
+    return gram, max(1, min(WINDOW, least - gram + 1))
+
+
+def _slide(x: np.ndarray, size: int, of: np.ufunc) -> np.ndarray:
+    """The least or the largest of each ``size`` neighbours."""
+    done = 1
+    while done < size:
+        step = min(done, size - done)
+        x = of(x[:-step], x[step:])
+        done += step
+    return x
 
 
 def _powers(n: int, factor: int) -> np.ndarray:
@@ -63,20 +68,53 @@ def _powers(n: int, factor: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def run_hashes(h: np.ndarray, edges: np.ndarray, factor: int, inverse: int) -> np.ndarray:
-    """Hash of the words between each two edges, whatever stands before them."""
-    sums = np.append(np.uint64(0), np.cumsum(h * _powers(len(h) - 1, factor)))
-    return mix((sums[edges[1:]] - sums[edges[:-1]]) * _powers(len(h), inverse)[edges[:-1]] + np.diff(edges).astype(np.uint64))
+class Runs:
+    """Hashes of runs of words [first, last), whatever stands around them."""
+
+    def __init__(self, h: np.ndarray, k: int = 0) -> None:
+        self.sums = np.append(np.uint64(0), np.cumsum(h * _powers(len(h) - 1, _FACTORS[k])))
+        self.back = _powers(len(h), _INVERSES[k])
+
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return mix((self.sums[last] - self.sums[first]) * self.back[first] + (last - first).astype(np.uint64))
+
 
+def chosen(g: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which grams stand for their neighbours, by their hashes: the least of any window of them.
 
-def paragraphs(text: str) -> tuple[int, dict[str, np.ndarray], dict[str, np.ndarray]] | None:
-    """Number of words, pieces and lines (``FIELDS``; start and end in code points); nothing without a word."""
+    Of equal ones, ``window`` // 2 grams apart at most, the first of each ``window`` // 2 and the last: some gram of the
+    same words is left in each window.
+    """
+    size = min(window, len(g))
+    least = _slide(g, size, np.minimum)
+    edge = np.zeros(size - 1, dtype=g.dtype)
+    at = np.flatnonzero(g == _slide(np.concatenate([edge, least, edge]), size, np.maximum))
+    part = max(1, window // 2)
+    near = np.concatenate([[False], (np.diff(at) <= part) & (g[at[1:]] == g[at[:-1]])])
+    if not near.any():
+        return at
+    start = np.maximum.accumulate(np.where(near, 0, at))
+    block = (at - start) // part
+    first = ~near | np.concatenate([[True], block[1:] != block[:-1]])
+    return at[first | ~np.append(near[1:], False)]
+
+
+def grams(h: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> dict[str, np.ndarray]:
+    """``FIELDS`` of the chosen grams of a text of these words; all its words, if these are no more than a gram."""
+    one, two = Runs(h), Runs(h, 1)
+    w0 = np.arange(max(1, len(h) - gram + 1))
+    w1 = np.minimum(w0 + gram, len(h))
+    content = one.of(w0, w1)
+    at = chosen(content, window)
+    return {"content": content[at].view(np.int64), "check": (two.of(w0[at], w1[at]) >> np.uint64(33)).astype(np.int32), "w0": w0[at], "w1": w1[at]}
+
+
+def paragraphs(text: str, gram: int, window: int) -> tuple[int, dict[str, np.ndarray]] | None:
+    """Number of words, and ``FIELDS`` of grams and lines; nothing without a word."""
     raw = text.encode()
-    begin, stop, h = words(raw)
+    begin, _, h = words(raw)
     if not len(begin):
         return None
-    edges = cuts(chain(h, 2))
-    pieces = {"content": run_hashes(h, edges, _FACTORS[0], _INVERSES[0]).view(np.int64), "check": (run_hashes(h, edges, _FACTORS[1], _INVERSES[1]) >> np.uint64(33)).astype(np.int32), "w0": edges[:-1], "w1": edges[1:]}
     data = np.frombuffer(raw, dtype=np.uint8)
     feet = np.concatenate([np.flatnonzero(data == 10), [len(data)]])
     heads = np.concatenate([[0], feet[:-1] + 1])
@@ -84,16 +122,18 @@ def paragraphs(text: str) -> tuple[int, dict[str, np.ndarray], dict[str, np.ndar
     filled = np.flatnonzero(w1 > w0)
     hashed = np.array([xxh64_intdigest(raw[a:b], 42) for a, b in zip(heads[filled].tolist(), feet[filled].tolist(), strict=True)], dtype=np.uint64)
     lines = {"content": hashed.view(np.int64), "check": np.full(len(filled), -1, dtype=np.int32), "w0": w0[filled], "w1": w1[filled]}
-    point = np.cumsum(data & 0xC0 != 0x80) - 1  # the code point of each byte
-    for of in (pieces, lines):
-        of["start"], of["end"] = point[begin[of["w0"]]], point[stop[of["w1"] - 1] - 1] + 1
-    return len(begin), pieces, lines
+    inside = grams(h, gram, window)
+    return len(begin), {c: np.concatenate([inside[c], lines[c]]) for c in FIELDS}
+
+
+def _listed(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def units(keyed: DataFrame, text: str) -> DataFrame:
+def units(keyed: DataFrame, text: str, *, least: int = LEAST) -> DataFrame:
     """_rk, doc (a hash of it), words, u (array of FIELDS; check is -1 for lines): a row for each text with a word."""
-    fields = "content long, check int, w0 int, w1 int, start int, end int"
-    schema = f"_rk {keyed.schema['_rk'].dataType.simpleString()}, words int, u array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>"
+    schema = f"_rk {keyed.schema['_rk'].dataType.simpleString()}, words int, u array<struct<content:long,check:int,w0:int,w1:int>>"
+    gram, window = sizes(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,14 +143,13 @@ def units(keyed: DataFrame, text: str) -> DataFrame:
 
             def flush() -> pa.RecordBatch:
                 columns = [pa.array(np.concatenate([x[c] for _, x in found]).astype(np.int64 if c == "content" else np.int32)) for c in FIELDS]
-                offsets = np.concatenate([[0], np.cumsum([len(x["w0"]) for _, x in found])]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, names=list(FIELDS)))
+                listed = _listed(pa.StructArray.from_arrays(columns, names=list(FIELDS)), np.array([len(x["w0"]) for _, x in found]))
                 return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array([n for n, _ in found], pa.int32()), listed], names=["_rk", "words", "u"])
 
             for k, t in enumerate(batch.column(1).to_pylist()):
-                if t and (of := paragraphs(t)):
+                if t and (of := paragraphs(t, gram, window)):
                     owner.append(k)
-                    found.append((of[0], {c: np.concatenate([of[1][c], of[2][c]]) for c in FIELDS}))
+                    found.append(of)
                     chars += len(t)
                 if chars >= PART:
                     yield flush()
@@ -121,32 +160,132 @@ def units(keyed: DataFrame, text: str) -> DataFrame:
     return keyed.select("_rk", text).mapInArrow(run, schema).withColumn("doc", F.xxhash64("_rk.k", "_rk.h"))
 
 
-def repeats(docs: DataFrame, key: str, text: str, *, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """_rk, words (of the document), line, w0, w1, keeper (of _rk and w0), removed: every repeat; and the units."""
-    found = materialise(units(row_keyed(docs.select(key, text), key, text), text))
+def repeats(docs: DataFrame, key: str, text: str, *, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
+    """_rk, doc, words (of the document), line, content, w0, w1, keeper (of _rk and w0), removed: every repeat."""
+    found = materialise(units(row_keyed(docs.select(key, text), key, text), text, least=least))
     lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("body")).select(F.xxhash64("body").alias("content"), "body")
     roots = clusters(lines, BANDS, ROWS, similarity=similarity)
-    # Most paragraphs are alone; only those that repeat or have a root go on. Both readers of the units share one shuffle.
-    alone = F.transform("u", lambda u: F.struct(*[u[c].alias(c) for c in ("content", "check", "w0", "w1")]))
-    every = found.select("doc", F.explode(alone).alias("u")).select("doc", "u.*").repartition("content", "check")
+    # Most paragraphs are alone; only those that repeat or have a root go on. Minima are aggregated before they are
+    # shuffled, and the names of repeats are joined as a table of their own, which Spark may broadcast or split.
+    every = found.select("doc", F.explode("u").alias("u")).select("doc", "u.*")
     again = every.groupBy("content", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select("content", "check")
     alike = roots.select("content", F.lit(-1).alias("check"), "root")
-    wanted = again.join(alike, ["content", "check"], "full_outer").select("content", "check", F.coalesce("root", "content").alias("cluster"))
-    named = materialise(every.join(wanted, ["content", "check"]))
+    wanted = materialise(again.join(alike, ["content", "check"], "full_outer").select("content", "check", F.coalesce("root", "content").alias("cluster")))
+    named = materialise(every.join(if_few(wanted), ["content", "check"]))
     by = ["check", "cluster"]
     members = materialise(named.join(found.select("doc", "_rk", "words").distinct(), "doc").select("_rk", "doc", "words", "check", "cluster", "w0", "w1"))
     keepers = materialise(members.groupBy(*by).agg(F.min(F.struct("_rk", "w0")).alias("keeper"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select(*by, "keeper"))
-    out = materialise(members.join(keepers, by).select("_rk", "words", (F.col("check") == -1).alias("line"), "w0", "w1", "keeper", (F.struct("_rk", "w0") != F.col("keeper")).alias("removed")).distinct())
-    forget(named, members, keepers)
-    return out, found
+    flags = [(F.col("check") == -1).alias("line"), F.col("cluster").alias("content"), "w0", "w1", "keeper", (F.struct("_rk", "w0") != F.col("keeper")).alias("removed")]
+    out = materialise(members.join(keepers, by).select("_rk", "doc", "words", *flags).distinct())
+    forget(found, wanted, named, members, keepers)
+    return out
 
 
-def passages(found: DataFrame, of: DataFrame, *, least: int = LEAST) -> DataFrame:
+def sides(h: np.ndarray, content: np.ndarray, w0: np.ndarray, w1: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each gram its left, then for each its right side: hashes of it with 0, 1, ... ``most`` words more.
+
+    Also how many of these the text has, and at which words they end.
+    """
+    runs, k = Runs(h), np.arange(most + 1)
+    left, right = w0[:, None] - k, w1[:, None] + k
+    full = np.concatenate([left >= 0, right <= len(h)])
+    edge = np.concatenate([np.maximum(left, 0), np.minimum(right, len(h))])
+    to = np.concatenate([w0, w1])[:, None] + np.zeros_like(edge)
+    more = runs.of(np.minimum(edge, to), np.maximum(edge, to))
+    side = np.repeat(np.array([1, 2], dtype=np.uint64), len(w0))
+    own = mix(np.tile(content.view(np.uint64), 2) * np.uint64(3) + side)
+    return mix(more + own[:, None]), full.sum(axis=1), edge
+
+
+def contexts(asked: DataFrame, most: int) -> DataFrame:
+    """more (hashes of a gram with 0, 1, ... words more on one side), doc: of the grams in ``asked`` (doc, text, req)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                req = batch.column("req")[k].values
+                inner = np.flatnonzero(~req.field("line").to_numpy(zero_copy_only=False))
+                if not len(inner):
+                    continue
+                of = {c: req.field(c).to_numpy()[inner] for c in ("content", "w0", "w1")}
+                hashes, counts, _ = sides(words(batch.column("text")[k].as_py().encode())[2], of["content"], of["w0"], of["w1"], most)
+                # Repeated grams of one text with equal contexts count once.
+                _, once = np.unique(np.stack([hashes[:, 0], hashes[np.arange(len(hashes)), counts - 1]]), axis=1, return_index=True)
+                hashes, counts = hashes[once], counts[once]
+                listed = _listed(pa.array(hashes[np.arange(most + 1) < counts[:, None]].view(np.int64)), counts)
+                yield pa.RecordBatch.from_arrays([listed, pa.array(np.full(len(once), batch.column("doc")[k].as_py()))], names=["more", "doc"])
+
+    return asked.select("doc", "text", "req").mapInArrow(run, "more array<bigint>, doc long")
+
+
+def spread(asked: DataFrame, most: int) -> DataFrame:
+    """_rk, words, keeper, removed, w0, w1, start, end, left, full, edges, places: each repeat of ``asked``, a gram once a side.
+
+    full: the hash of the gram with all words of its context on the side; edges and places: words and code points that
+    end the gram and 1, 2, ... words more. Lines have no such.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema["req"].dataType.elementType.fields}
+    ours = "w0 int, w1 int, start int, end int, left boolean, full long, edges array<int>, places array<int>"
+    schema = f"_rk {asked.schema['_rk'].dataType.simpleString()}, words int, keeper {kinds['keeper']}, removed boolean, {ours}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                raw, req = batch.column("text")[k].as_py().encode(), batch.column("req")[k].values
+                begin, stop, h = words(raw)
+                point = np.cumsum(np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80) - 1  # the code point of each byte
+                first, last = point[begin], point[stop - 1] + 1
+                line = req.field("line").to_numpy(zero_copy_only=False)
+                of = {c: req.field(c).to_numpy() for c in ("content", "w0", "w1")}
+                lines, inner = np.flatnonzero(line), np.flatnonzero(~line)
+                hashes, counts, edge = sides(h, of["content"][inner], of["w0"][inner], of["w1"][inner], most)
+                place = np.concatenate([first[edge[: len(inner)].clip(max=len(h) - 1)], last[(edge[len(inner) :] - 1).clip(min=0)]])
+                at = np.concatenate([lines, inner, inner])
+                full = np.concatenate([np.zeros(len(lines), np.int64), hashes[np.arange(len(hashes)), counts - 1].view(np.int64)])
+                nested = np.concatenate([np.zeros(len(lines), np.int64), counts])
+                kept = np.arange(most + 1) < counts[:, None]
+                rows = pa.array(np.full(len(at), k))
+                taken = req.take(pa.array(at))
+                left = np.concatenate([np.zeros(len(lines), bool), np.arange(2 * len(inner)) < len(inner)])
+                ends = [first[of["w0"][at]], last[of["w1"][at] - 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_rk").take(rows), batch.column("words").take(rows), taken.field("keeper"), taken.field("removed"), taken.field("w0"), taken.field("w1")]
+                    + [pa.array(x.astype(np.int32)) for x in ends] + [pa.array(left), pa.array(full)] + [_listed(pa.array(x[kept].astype(np.int32)), nested) for x in (edge, place)],
+                    names=["_rk", "words", "keeper", "removed", "w0", "w1", "start", "end", "left", "full", "edges", "places"],
+                )
+
+    return asked.select("_rk", "text", "words", "req").mapInArrow(run, schema)
+
+
+def extended(docs: DataFrame, key: str, text: str, found: DataFrame, *, least: int = LEAST) -> DataFrame:
+    """_rk, words, keeper, removed, w0, w1, start, end: the repeats, grams with the words around them that repeat too."""
+    most = sizes(least)[1] - 1
+    # A document's repeats are no more than its paragraphs.
+    req = materialise(found.groupBy("_rk", "doc", "words").agg(F.collect_list(F.struct("content", "w0", "w1", "line", "keeper", "removed")).alias("req")))
+    texts = row_keyed(docs.select(key, text), key, text).select("_rk", F.col(text).alias("text"))
+    asked = texts.join(if_few(materialise(req.select("_rk"))), "_rk", "left_semi").join(req, "_rk")
+    whole = materialise(contexts(asked, most).groupBy("more").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
+    # Only where some context is in one document alone can it share a part of another one.
+    part = materialise(whole.where("low = high").select(F.col("more")[0].alias("gram")).distinct())
+    here = whole.join(if_few(part), F.col("more")[0] == F.col("gram"), "left_semi")
+    steps = here.select(F.element_at("more", -1).alias("full"), (F.col("low") == F.col("high")).alias("alone"), "low", "high", F.posexplode("more").alias("n", "step"))
+    shared = materialise(steps.groupBy("step").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("step"))
+    lengths = materialise(steps.where("alone").select("full", "n", "step").join(if_few(shared), "step", "left_semi").groupBy("full").agg(F.max("n").alias("n")))
+    placed = spread(asked, most).join(if_few(lengths), "full", "left")
+    far = lambda c: F.element_at(c, F.coalesce(F.col("n") + 1, F.lit(-1)))
+    outer = F.size("edges") > 0
+    pick = lambda own, c, left: F.when(outer & (F.col("left") == left), far(c)).otherwise(F.col(own)).alias(own)
+    columns = [pick("w0", "edges", True), pick("w1", "edges", False), pick("start", "places", True), pick("end", "places", False)]
+    out = materialise(placed.select("_rk", "words", "keeper", "removed", *columns).distinct())
+    forget(req, whole, part, shared, lengths)
+    return out
+
+
+def passages(found: DataFrame, *, least: int = LEAST) -> DataFrame:
     """_rk, start, end, words, keeper (of the first repeat in it), removed: repeats that overlap or touch as one span each.
 
     Spans of repeats to keep and to remove are told apart after those of fewer than ``least`` words, but for whole
-    documents, have gone. A document's repeats, as many as its paragraphs at most, are in one window. of: the units, for
-    the places of words.
+    documents, have gone. A document's repeats, some twice as many as its paragraphs at most, are in one window.
     """
 
     def numbered(rows: DataFrame, *by: str) -> DataFrame:
@@ -157,12 +296,11 @@ def passages(found: DataFrame, of: DataFrame, *, least: int = LEAST) -> DataFram
     whole = Window.partitionBy("_rk", "run")
     size = F.max("w1").over(whole) - F.min("w0").over(whole)
     long = numbered(found, "_rk").withColumn("size", size).where((F.col("size") >= least) | (F.col("size") == F.col("words"))).drop("run", "size")
-    spans = numbered(long, "_rk", "removed").groupBy("_rk", "removed", "run").agg(F.min("w0").alias("w0"), F.max("w1").alias("w1"), F.min_by("keeper", F.struct("w0", "w1"))["_rk"].alias("keeper"))
-    placed = spans.join(of.dropDuplicates(["_rk"]).select("_rk", "u"), "_rk")
-    at = lambda c, w: F.element_at(F.filter("u", lambda x: x[w] == F.col(w)), 1)[c].alias(c)
-    return placed.select("_rk", at("start", "w0"), at("end", "w1"), (F.col("w1") - F.col("w0")).alias("words"), "keeper", "removed")
+    first = F.min_by("keeper", F.struct("w0", "w1", "keeper"))["_rk"].alias("keeper")
+    spans = numbered(long, "_rk", "removed").groupBy("_rk", "removed", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("words"), first)
+    return spans.select("_rk", "start", "end", "words", "keeper", "removed")
 
 
-def query(docs: DataFrame) -> DataFrame:
-    found = passages(*repeats(docs, "doc_id", "text"))
+def query(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+    found = passages(extended(docs, "doc_id", "text", repeats(docs, "doc_id", "text", least=least), least=least), least=least)
     return found.select(F.col("_rk.k").alias("doc_id"), "start", "end", "words", F.col("keeper.k").alias("kept_doc_id"), "removed")

@@ -429,20 +429,22 @@ def test_whole_documents_and_periodic_text(spark):
 
 
 def test_spans_of_planted_passages(spark):
-    """Against the longest common runs of words: nothing beyond them, and all but the ends of them."""
-    rows, wanted = [], {}
+    """The longest common runs of words, no more and no less: the passages, and words beside them that happen to agree."""
+    rows, wanted, beside = [], {}, 0
     for k in range(20):
-        passage = words(70, 9000 + k)
-        for j in (0, 1):
-            before = words(30 + 7 * k % 40, 9100 + 2 * k + j) + " "
-            rows.append((2 * k + j, before + passage + " " + words(50, 9200 + 2 * k + j)))
-            wanted[2 * k + j] = (len(before), len(before) + len(passage))
-    covered = dict.fromkeys(wanted, 0)
-    for x in substrings.query(spark.createDataFrame(rows, "doc_id long, text string")).collect():
-        a, b = wanted[x.doc_id]
-        assert a <= x.start < x.end <= b
-        covered[x.doc_id] += x.end - x.start
-    assert sum(covered.values()) >= 0.75 * sum(b - a for a, b in wanted.values())
+        passage = words(70, 9000 + k).split()
+        sides = [(words(30 + 7 * k % 40, 9100 + 2 * k + j).split(), words(50, 9200 + 2 * k + j).split()) for j in (0, 1)]
+        left = next(n for n in range(99) if sides[0][0][-n - 1].lower() != sides[1][0][-n - 1].lower())
+        right = next(n for n in range(99) if sides[0][1][n].lower() != sides[1][1][n].lower())
+        beside += left + right
+        for j, (before, after) in enumerate(sides):
+            text = " ".join(before + passage + after)
+            rows.append((2 * k + j, text))
+            start = len(" ".join(before[: len(before) - left])) + 1
+            wanted[2 * k + j] = (start, start + len(" ".join(before[len(before) - left :] + passage + after[:right])))
+    assert beside <= 4
+    found = substrings.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.start, x.end) for x in found) == sorted((d, *span) for d, span in wanted.items())
 
 
 def test_record_ids_are_unique(spark, tmp_path):
@@ -474,5 +476,5 @@ def test_similar_lines_are_found_exactly(spark):
     names = groups(list(range(len(rows))), shingles, lambda a, b: len(a & b) / len(a | b) >= 0.8)
     sizes = Counter(names)
     wanted = {k: c for k, c in enumerate(names) if sizes[c] > 1}
-    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")[0].where("line").collect()
+    found = substrings.repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").where("line").collect()
     assert {(x["_rk"]["k"], x["keeper"]["_rk"]["k"]) for x in found} == set(wanted.items())
