@@ -4,8 +4,10 @@ Four fixed patterns give the base spans. They are also the seeds of a bootstrap
 contexts and identifiers: a context is one or two words right before an identifier, or the word right after it.
 A context's confidence for a kind is the share of all its places in the corpus where a known identifier of that
 kind stands; contexts that are confident and have seen enough different identifiers score the identifier-like
-strings that the fixed patterns leave out, and those that pass join the known ones for the next round. Spark
-counts, joins and scores; each text is read once by the patterns and once to count contexts.
+strings that the fixed patterns leave out, and those that pass join the known ones for the next round. A round can
+only add to what the one before has found, and rounds go on until one adds nothing. Spark counts, joins and scores;
+each text is read once by the patterns and once to count contexts. The words of a context lie within ``REACH``
+characters of the identifier, whole; longer ones are no contexts.
 
 Defined cases: a null text is an empty one; documents that share a key but not the text are kept apart, rows
 equal in both get equal results; spans count code points, end exclusive; spans of several kinds may overlap; an
@@ -29,7 +31,9 @@ from riftline.llm.decontaminate import lowered, split_words
 #: The kinds in their order.
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-ROUNDS, LEAST_IDENTIFIERS, LEAST_CONTEXT, LEAST_IDENTIFIER = 3, 3, 0.5, 0.6
+LEAST_IDENTIFIERS, LEAST_CONTEXT, LEAST_IDENTIFIER = 3, 0.5, 0.6
+#: Characters on each side of an identifier in which the words of its contexts must lie.
+REACH = 80
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,7 +41,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?+[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AT = re.compile(r" ?[\[(](?:at|AT)[\])] ?")
-_NUMBER = re.compile(r"[0-9](?:[ ().\-/]{0,2}+[0-9])++")
+_NUMBER = re.compile(r"(?<![^\W_])[0-9](?:[ ().\-/]{0,2}+[0-9])++")
 _FOUR = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _DIGIT = re.compile(r"[0-9]")
 _WORDS = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -117,14 +121,14 @@ def _near(gap: str) -> bool:
 
 def contexts(text: str, start: int, end: int) -> list[str]:
     """The contexts of a place: l:word, ll:two words, r:word; lower case."""
-    before, after = text[max(0, start - 80) : start], text[end : end + 80]
+    before, after = text[max(0, start - REACH) : start], text[end : end + REACH]
     found = []
     words = list(_WORDS.finditer(before))
-    if words and _near(before[words[-1].end() :]) and (words[-1].start() > 0 or start <= 80):
+    if words and _near(before[words[-1].end() :]) and (words[-1].start() > 0 or start <= REACH):
         found.append("l:" + words[-1][0].translate(_LOWER))
-        if len(words) > 1 and _near(before[words[-2].end() : words[-1].start()]) and (words[-2].start() > 0 or start <= 80):
+        if len(words) > 1 and _near(before[words[-2].end() : words[-1].start()]) and (words[-2].start() > 0 or start <= REACH):
             found.append(f"ll:{words[-2][0].translate(_LOWER)} {words[-1][0].translate(_LOWER)}")
-    if (m := _WORDS.search(after)) and _near(after[: m.start()]) and m.end() < 80:
+    if (m := _WORDS.search(after)) and _near(after[: m.start()]) and m.end() < REACH:
         found.append("r:" + m[0].translate(_LOWER))
     return found
 
@@ -158,7 +162,7 @@ def context_totals(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
     return ones.join(by_word, "word").select("context", "total").unionByName(by_pair)
 
 
-def discover(scanned: DataFrame, docs: DataFrame, text: str, *, rounds: int = ROUNDS, least_identifiers: int = LEAST_IDENTIFIERS, least_context: float = LEAST_CONTEXT, least_identifier: float = LEAST_IDENTIFIER) -> DataFrame:
+def discover(scanned: DataFrame, docs: DataFrame, text: str, *, least_identifiers: int = LEAST_IDENTIFIERS, least_context: float = LEAST_CONTEXT, least_identifier: float = LEAST_IDENTIFIER) -> DataFrame:
     """name, kind, score: identifiers beside the base spans that confident contexts give away."""
     place = scanned.select(F.explode("places").alias("p")).select("p.name", "p.kind", "p.known", F.explode("p.contexts").alias("context"))
     edges = materialise(place.groupBy("context", "name", "kind", "known").agg(F.count(F.lit(1)).alias("n")))
@@ -166,16 +170,17 @@ def discover(scanned: DataFrame, docs: DataFrame, text: str, *, rounds: int = RO
     open_ = edges.groupBy("context", "kind").agg(F.count(F.lit(1)).alias("names"), F.max((~F.col("known")).cast("int")).alias("unseen")).where(F.col("names") > least_identifiers)
     wanted = materialise(open_.where("unseen = 1").select("context").distinct())
     edges = materialise(edges.join(wanted, "context", "left_semi").join(context_totals(docs, text, wanted), "context"))
-    accepted = edges.where("known").select("name", "kind", F.lit(1.0).alias("score")).distinct()
-    for _ in range(rounds):
+    seeds = edges.where("known").select("name", "kind", F.lit(1.0).alias("score")).distinct()
+    accepted, before, now = materialise(seeds), -1, 0
+    while now != before:
         known = edges.join(accepted, ["name", "kind"])
         graded = known.groupBy("context", "kind").agg((F.sum("n") / F.max("total")).alias("share"), F.count_distinct("name").alias("names"))
         good = graded.where((F.col("names") >= least_identifiers) & (F.col("share") >= least_context)).select("context", "kind", F.least("share", F.lit(0.999)).alias("share"))
         scored = edges.where("NOT known").join(good, ["context", "kind"]).groupBy("name", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("share"))))).alias("score"))
         found = scored.where(F.col("score") >= least_identifier)
-        accepted = materialise(edges.where("known").select("name", "kind", F.lit(1.0).alias("score")).distinct().unionByName(found))
-    seeds = edges.where("known").select("name", "kind").distinct()
-    return materialise(accepted.join(seeds, ["name", "kind"], "left_anti"))
+        accepted = materialise(seeds.unionByName(found))
+        before, now = now, accepted.count()
+    return materialise(accepted.join(seeds.select("name", "kind"), ["name", "kind"], "left_anti"))
 
 
 def find(docs: DataFrame, key: str, text: str) -> DataFrame:
