@@ -9,9 +9,9 @@ Two kinds of paragraph are compared:
   neighbouring words, those of the least hash. Whatever ``GRAM + WINDOW - 1`` = 25 words two documents share, they share
   one of these, and a longer common run is covered by them but for at most ``WINDOW - 1`` words at each end. A gram's one
   band is the hash of its words, of 96 bits; equal ones stand for equal words.
-* The ends are then found to the word: the words before and after each gram that repeats are compared with those at its
-  other occurrences, by hashes of the next one, two and more words. Contexts that are equal in full count once, so that
-  the work does not grow with the square of a group of copies.
+* The ends are then found to the word: where the words beside a gram that repeats are in no repeat, they are compared
+  with those at its other occurrences, by hashes of the next one, two and more words. Contexts that are equal in full
+  count once, so that the work does not grow with the square of a group of copies.
 
 A paragraph repeats if another document has one of its cluster. The occurrence with the smallest key and start stays,
 the others are to be removed. Repeats that overlap or touch form a passage. One of fewer than ``least`` words (25 unless
@@ -198,17 +198,20 @@ def sides(h: np.ndarray, content: np.ndarray, w0: np.ndarray, w1: np.ndarray, mo
 
 
 def contexts(asked: DataFrame, most: int) -> DataFrame:
-    """more (hashes of a gram with 0, 1, ... words more on one side), doc: of the grams in ``asked`` (doc, text, req)."""
+    """more (hashes of a gram with 0, 1, ... words more on one side), doc: of the sides that ``asked`` (doc, text, req) asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 req = batch.column("req")[k].values
-                inner = np.flatnonzero(~req.field("line").to_numpy(zero_copy_only=False))
+                flat = lambda c: req.field(c).to_numpy(zero_copy_only=False)
+                inner = np.flatnonzero(flat("ask_left") | flat("ask_right"))
                 if not len(inner):
                     continue
-                of = {c: req.field(c).to_numpy()[inner] for c in ("content", "w0", "w1")}
+                of = {c: flat(c)[inner] for c in ("content", "w0", "w1")}
                 hashes, counts, _ = sides(words(batch.column("text")[k].as_py().encode())[2], of["content"], of["w0"], of["w1"], most)
+                asks = np.flatnonzero(np.concatenate([flat("ask_left")[inner], flat("ask_right")[inner]]))
+                hashes, counts = hashes[asks], counts[asks]
                 # Repeated grams of one text with equal contexts count once.
                 _, once = np.unique(np.stack([hashes[:, 0], hashes[np.arange(len(hashes)), counts - 1]]), axis=1, return_index=True)
                 hashes, counts = hashes[once], counts[once]
@@ -219,10 +222,11 @@ def contexts(asked: DataFrame, most: int) -> DataFrame:
 
 
 def spread(asked: DataFrame, most: int) -> DataFrame:
-    """_rk, words, keeper, removed, w0, w1, start, end, left, full, edges, places: each repeat of ``asked``, a gram once a side.
+    """_rk, words, keeper, removed, w0, w1, start, end, left, full, edges, places: each repeat of ``asked``, and again for each
+    side of it that lacks words.
 
     full: the hash of the gram with all words of its context on the side; edges and places: words and code points that
-    end the gram and 1, 2, ... words more. Lines have no such.
+    end the gram and 1, 2, ... words more. Repeats by themselves have no such.
     """
     kinds = {f.name: f.dataType.simpleString() for f in asked.schema["req"].dataType.elementType.fields}
     ours = "w0 int, w1 int, start int, end int, left boolean, full long, edges array<int>, places array<int>"
@@ -235,35 +239,62 @@ def spread(asked: DataFrame, most: int) -> DataFrame:
                 begin, stop, h = words(raw)
                 point = np.cumsum(np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80) - 1  # the code point of each byte
                 first, last = point[begin], point[stop - 1] + 1
-                line = req.field("line").to_numpy(zero_copy_only=False)
-                of = {c: req.field(c).to_numpy() for c in ("content", "w0", "w1")}
-                lines, inner = np.flatnonzero(line), np.flatnonzero(~line)
+                of = {c: req.field(c).to_numpy(zero_copy_only=False) for c in ("content", "w0", "w1", "need_left", "need_right")}
+                inner = np.flatnonzero(of["need_left"] | of["need_right"])
                 hashes, counts, edge = sides(h, of["content"][inner], of["w0"][inner], of["w1"][inner], most)
-                place = np.concatenate([first[edge[: len(inner)].clip(max=len(h) - 1)], last[(edge[len(inner) :] - 1).clip(min=0)]])
-                at = np.concatenate([lines, inner, inner])
-                full = np.concatenate([np.zeros(len(lines), np.int64), hashes[np.arange(len(hashes)), counts - 1].view(np.int64)])
-                nested = np.concatenate([np.zeros(len(lines), np.int64), counts])
+                needs = np.flatnonzero(np.concatenate([of["need_left"][inner], of["need_right"][inner]]))
+                left = needs < len(inner)
+                hashes, counts, edge = hashes[needs], counts[needs], edge[needs]
+                place = np.where(left[:, None], first[edge.clip(max=len(h) - 1)], last[(edge - 1).clip(min=0)])
+                plain = np.arange(len(of["w0"]))
+                at = np.concatenate([plain, np.tile(inner, 2)[needs]])
+                full = np.concatenate([np.zeros(len(plain), np.int64), hashes[np.arange(len(hashes)), counts - 1].view(np.int64)])
+                nested = np.concatenate([np.zeros(len(plain), np.int64), counts])
                 kept = np.arange(most + 1) < counts[:, None]
                 rows = pa.array(np.full(len(at), k))
                 taken = req.take(pa.array(at))
-                left = np.concatenate([np.zeros(len(lines), bool), np.arange(2 * len(inner)) < len(inner)])
                 ends = [first[of["w0"][at]], last[of["w1"][at] - 1]]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_rk").take(rows), batch.column("words").take(rows), taken.field("keeper"), taken.field("removed"), taken.field("w0"), taken.field("w1")]
-                    + [pa.array(x.astype(np.int32)) for x in ends] + [pa.array(left), pa.array(full)] + [_listed(pa.array(x[kept].astype(np.int32)), nested) for x in (edge, place)],
+                    + [pa.array(x.astype(np.int32)) for x in ends] + [pa.array(np.concatenate([np.zeros(len(plain), bool), left])), pa.array(full)] + [_listed(pa.array(x[kept].astype(np.int32)), nested) for x in (edge, place)],
                     names=["_rk", "words", "keeper", "removed", "w0", "w1", "start", "end", "left", "full", "edges", "places"],
                 )
 
     return asked.select("_rk", "text", "words", "req").mapInArrow(run, schema)
 
 
+def _chained(rows: DataFrame, *by: str) -> DataFrame:
+    """run: the same number for repeats of a document that overlap or touch. A document's repeats are in one window."""
+    order = Window.partitionBy(*by).orderBy("w0", "w1")
+    before = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("_new", F.when(F.col("w0") <= before, 0).otherwise(1)).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def asking(found: DataFrame, most: int) -> DataFrame:
+    """_rk, doc, words, req: a document's repeats in one row; need: grams beside which words within ``most`` are in no repeat.
+
+    ask: grams of equal words, of which some occurrence needs the words beside it. Inside long repeats no gram does.
+    """
+    whole = Window.partitionBy("_rk", "run")
+    ends = [F.min("w0").over(whole).alias("low"), F.max("w1").over(whole).alias("high")]
+    chained = _chained(found, "_rk").select("*", *ends).drop("run")
+    need_left = ~F.col("line") & (F.col("low") > 0) & (F.col("w0") - most < F.col("low"))
+    need_right = ~F.col("line") & (F.col("high") < F.col("words")) & (F.col("w1") + most > F.col("high"))
+    needed = materialise(chained.withColumns({"need_left": need_left, "need_right": need_right}).drop("low", "high"))
+    asks = materialise(needed.where("need_left OR need_right").groupBy("content").agg(F.max("need_left").alias("ask_left"), F.max("need_right").alias("ask_right")))
+    fields = ["content", "w0", "w1", "line", "keeper", "removed", "need_left", "need_right", *[(~F.col("line") & F.coalesce(c, F.lit(False))).alias(c) for c in ("ask_left", "ask_right")]]
+    out = materialise(needed.join(if_few(asks), "content", "left").groupBy("_rk", "doc", "words").agg(F.collect_list(F.struct(*fields)).alias("req")))
+    forget(needed, asks)
+    return out
+
+
 def extended(docs: DataFrame, key: str, text: str, found: DataFrame, *, least: int = LEAST) -> DataFrame:
-    """_rk, words, keeper, removed, w0, w1, start, end: the repeats, grams with the words around them that repeat too."""
+    """_rk, words, keeper, removed, w0, w1, start, end: the repeats, grams also with the words beside them that repeat too."""
     most = sizes(least)[1] - 1
-    # A document's repeats are no more than its paragraphs.
-    req = materialise(found.groupBy("_rk", "doc", "words").agg(F.collect_list(F.struct("content", "w0", "w1", "line", "keeper", "removed")).alias("req")))
+    req = asking(found, most)
     texts = row_keyed(docs.select(key, text), key, text).select("_rk", F.col(text).alias("text"))
-    asked = texts.join(if_few(materialise(req.select("_rk"))), "_rk", "left_semi").join(req, "_rk")
+    of = lambda rows: texts.join(if_few(materialise(rows.select("_rk"))), "_rk", "left_semi").join(rows, "_rk")
+    asked = of(req.where(F.exists("req", lambda r: r["ask_left"] | r["ask_right"])))
     whole = materialise(contexts(asked, most).groupBy("more").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
     # Only where some context is in one document alone can it share a part of another one.
     part = materialise(whole.where("low = high").select(F.col("more")[0].alias("gram")).distinct())
@@ -271,13 +302,13 @@ def extended(docs: DataFrame, key: str, text: str, found: DataFrame, *, least: i
     steps = here.select(F.element_at("more", -1).alias("full"), (F.col("low") == F.col("high")).alias("alone"), "low", "high", F.posexplode("more").alias("n", "step"))
     shared = materialise(steps.groupBy("step").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("step"))
     lengths = materialise(steps.where("alone").select("full", "n", "step").join(if_few(shared), "step", "left_semi").groupBy("full").agg(F.max("n").alias("n")))
-    placed = spread(asked, most).join(if_few(lengths), "full", "left")
+    placed = spread(of(req), most).join(if_few(lengths), "full", "left")
+    # A context that is not alone repeats in full.
     far = lambda c: F.element_at(c, F.coalesce(F.col("n") + 1, F.lit(-1)))
-    outer = F.size("edges") > 0
-    pick = lambda own, c, left: F.when(outer & (F.col("left") == left), far(c)).otherwise(F.col(own)).alias(own)
+    pick = lambda own, c, left: F.when((F.size("edges") > 0) & (F.col("left") == left), far(c)).otherwise(F.col(own)).alias(own)
     columns = [pick("w0", "edges", True), pick("w1", "edges", False), pick("start", "places", True), pick("end", "places", False)]
     out = materialise(placed.select("_rk", "words", "keeper", "removed", *columns).distinct())
-    forget(req, whole, part, shared, lengths)
+    forget(found, req, whole, part, shared, lengths)
     return out
 
 
@@ -288,16 +319,11 @@ def passages(found: DataFrame, *, least: int = LEAST) -> DataFrame:
     documents, have gone. A document's repeats, some twice as many as its paragraphs at most, are in one window.
     """
 
-    def numbered(rows: DataFrame, *by: str) -> DataFrame:
-        order = Window.partitionBy(*by).orderBy("w0", "w1")
-        before = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        return rows.withColumn("_new", F.when(F.col("w0") <= before, 0).otherwise(1)).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
     whole = Window.partitionBy("_rk", "run")
     size = F.max("w1").over(whole) - F.min("w0").over(whole)
-    long = numbered(found, "_rk").withColumn("size", size).where((F.col("size") >= least) | (F.col("size") == F.col("words"))).drop("run", "size")
+    long = _chained(found, "_rk").withColumn("size", size).where((F.col("size") >= least) | (F.col("size") == F.col("words"))).drop("run", "size")
     first = F.min_by("keeper", F.struct("w0", "w1", "keeper"))["_rk"].alias("keeper")
-    spans = numbered(long, "_rk", "removed").groupBy("_rk", "removed", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("words"), first)
+    spans = _chained(long, "_rk", "removed").groupBy("_rk", "removed", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("words"), first)
     return spans.select("_rk", "start", "end", "words", "keeper", "removed")
 
 
