@@ -10,7 +10,7 @@ from riftline.functions import text as T
 from riftline.functions.rules import ADVISORY, RULES
 from riftline.jobs import tables
 from riftline.jobs.queries import query
-from riftline.operators import guidelines, learnings, perfile, policies, scoring
+from riftline.operators import guidelines, learnings, payloads, perfile, policies, scoring
 from riftline.sources import blame, sinks
 
 
@@ -95,6 +95,49 @@ def guides_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guidelines.within_budget(docs.select("doc_id", body.alias("t")), "doc_id", "t", 600).select("doc_id", F.sha1("t").alias("sha"))
 
 
+def _event_payloads(spark: SparkSession, sf_dir: str, *forms: str) -> DataFrame:
+    """id, payload: one of the forms an event, with its type for T and its number for N."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    filled = F.replace(F.replace(F.get(F.array(*map(F.lit, forms)), (F.col("event_id") % len(forms)).cast("int")), F.lit("<T>"), F.col("event_type")), F.lit("<N>"), F.col("event_id").cast("string"))
+    return events.select(F.col("event_id").alias("id"), filled.alias("payload"))
+
+
+@query("""SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 4 THEN false END AS tainted,
+  CASE event_id % 6 WHEN 0 THEN event_type || '@a.js:' || event_id || ' sink' WHEN 1 THEN 'from ' || event_type ELSE '' END AS flow, CASE event_id % 6 WHEN 0 THEN event_type WHEN 4 THEN '7' END AS detector FROM events""")
+def graph_taint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts stated, implied by a path or an all-clear, and left open."""
+    made = _event_payloads(
+        spark, sf_dir, '{"tainted": true, "data_flow": [{"symbol": "<T>", "uri": "file://a.js", "row": "<N>"}, "sink", {"line": 3}], "tool": "<T>"}', '{"taint_path": "from, <T>"}', '{"clean": true}', '{"note": "<T>", "tainted": "true", "safe": "true"}',
+        '{"is_tainted": false, "rule": 7}', "not json <T>",
+    )
+    return payloads.taint(made, "id", "payload").select("id", "tainted", payloads.shown(F.col("flow")).alias("flow"), "detector")
+
+
+@query("""SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'run@' || event_type || '.js:4' WHEN 1 THEN 'a b' ELSE '' END AS callers, CASE event_id % 4 WHEN 0 THEN 't' || event_id || ' @' || event_type || '.test.js' WHEN 1 THEN 'x' WHEN 2 THEN event_type ELSE '' END AS tests,
+  CASE event_id % 4 WHEN 0 THEN event_type || ' — fix ' || event_id || '|late' WHEN 1 THEN 'sha' ELSE '' END AS history FROM events""")
+def graph_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Callers, tests and history of the places of edits; a payload may be a list of tests."""
+    made = _event_payloads(
+        spark, sf_dir, '{"callers": [{"function": "run", "file": "<T>.js", "line": 4}], "tests": ["t<N>", {"path": "<T>.test.js"}], "commits": [{"login": "<T>", "subject": "fix <N>"}, " late ", {}]}', '{"references": "a,b", "results": ["x"], "blame": [{"sha": "sha"}]}', '["<T>", ""]', "{}",
+    )
+    found = payloads.edit_context(made, "id", "payload")
+    return found.select("id", payloads.shown(F.col("callers")).alias("callers"), payloads.shown(F.col("tests")).alias("tests"), F.array_join("history", "|").alias("history"))
+
+
+@query("""SELECT event_id AS id, s AS symbol, CASE WHEN s = 'f' THEN 2 ELSE 9 END AS caller_count, CASE WHEN s = 'f' THEN true END AS reachable, CAST(CASE WHEN s = 'f' THEN 3.5 ELSE 12 END AS DOUBLE) AS complexity, CASE WHEN s <> 'f' THEN true END AS stale_doc,
+  CASE WHEN s = 'f' THEN 'g1 @' || event_type || ':2' ELSE '' END AS gaps, event_type || '|x.md|old' AS stale, 'fix: ' || event_id AS commit_hint FROM events, (VALUES ('f'), ('k')) AS v(s) WHERE event_id % 2 = 0""")
+def graph_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impact of each symbol of whole changes, with what they say on documents and the commit."""
+    made = _event_payloads(
+        spark, sf_dir,
+        '{"changes": [{"name": "f", "callers": ["z"]}, {"id": "k", "caller_count": 9, "data": {"cyclomatic": "12", "docStale": true}, "is_reachable": "true"}, {"name": "f", "callers": ["a", {"name": "b"}], "reachable": true, "complexity": 3.5, "untested": ["g1", {"file": "<T>", "line": 2}]}, {"callers": []}], "staleDocs": [{"symbol": "<T>", "path": "file://x.md", "reason": "old"}, {}], "commitHint": "fix: <N>"}',
+        '{"changes": []}',
+    )
+    notes = payloads.change_notes(made, "id", "payload").select("id", F.array_join(F.transform("stale", lambda d: F.concat_ws("|", d["symbol"], d["file"], d["note"])), " ").alias("stale"), "commit_hint")
+    found = payloads.changes(made, "id", "payload").select("id", "symbol", "caller_count", "reachable", "complexity", "stale_doc", payloads.shown(F.col("test_gaps")).alias("gaps"))
+    return found.join(notes, "id")
+
+
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN '[' || props || ',"]"]' WHEN 3 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS value FROM events""")
 def loose_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON values in the output of tools that log around them."""

@@ -1,4 +1,7 @@
-"""Impact payloads of code-graph tools: JSON whose keys have several names."""
+"""Payloads of code-graph tools (impact, tests, edit contexts, taint, whole changes): JSON whose keys have several names.
+
+A payload that is no JSON object gives nulls and empty lists; the first name with a value other than null counts.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +19,24 @@ REVIEWER = ("author", "name", "login", "reviewer", "owner", "handle")
 WEIGHT = ("lines_owned", "linesOwned", "weight", "ownership", "score")
 FILE = ("file", "uri", "path", "location", "filepath")
 SYMBOL = ("symbol", "name", "function", "caller", "qualified_name", "qualifiedName")
+GAPS = ("test_gaps", "testGaps", "untested", "missing_tests", "missingTests", "uncovered")
+REACHABLE = ("reachable", "is_reachable", "isReachable", "entrypoint_reachable", "reachable_from_entrypoint")
+COMPLEXITY = ("complexity", "cyclomatic", "cyclomatic_complexity", "cyclomaticComplexity")
+STALE = ("stale_doc", "staleDoc", "doc_stale", "docStale", "stale_docs")
+LINE = ("line", "lineno", "row", "start_line", "startLine")
+TESTS = ("tests", "related_tests", "relatedTests", "covering_tests", "coveringTests", "results")
+CALLSITES = ("callers", "direct_callers", "references", "callsites")
+HISTORY = ("history", "recent_changes", "recentChanges", "commits", "blame")
+WHO, WHAT = ("author", "name", "login"), ("message", "subject", "summary", "commit", "sha", "date")
+TAINTED = ("tainted", "is_tainted", "vulnerable", "is_vulnerable", "exploitable", "reachable")
+FLOW = ("data_flow", "dataFlow", "taint_path", "taintPath", "path", "flow", "trace", "findings", "vulnerabilities")
+CLEAN = ("clean", "safe", "no_taint", "noTaint")
+DETECTOR = ("detector", "tool", "rule", "check")
+CHANGES = ("changed_functions", "changedFunctions", "changes", "symbols", "functions", "results", "items")
+NAMED = ("symbol", "name", "function", "qualified_name", "qualifiedName", "id")
+DOCS = ("stale_docs", "staleDocs", "stale_documentation", "doc_warnings", "docWarnings")
+NOTE = ("note", "message", "reason", "warning")
+COMMIT = ("commit_hint", "commitHint", "commit_message", "suggested_commit", "commit_subject")
 
 CAP = 20
 
@@ -46,13 +67,86 @@ def _field(item: Column, names: Sequence[str]) -> Column:
     return F.when(item.startswith("{"), pick(item, names)).otherwise(F.trim(item))
 
 
+def flag(doc: Column, names: Sequence[str]) -> Column:
+    """The first of the fields, if it is a JSON boolean; text or a number there is no answer."""
+    parsed = F.try_parse_json(doc)
+    kind = lambda n: F.schema_of_variant(F.try_variant_get(parsed, f"$.{n}", "variant"))
+    first = F.coalesce(*[F.when(F.get_json_object(doc, f"$.{n}").isNotNull(), F.struct((kind(n) == "BOOLEAN").alias("is"), F.get_json_object(doc, f"$.{n}").alias("as"))) for n in names])
+    return F.when(first["is"], first["as"] == "true")
+
+
+def refs(value: Column) -> Column:
+    """Elements of a list as (file, line, symbol); those with neither a file nor a symbol are left out."""
+    inside = lambda r, names: F.when(r.startswith("{"), pick(r, names))
+    text = lambda r: F.when(~r.startswith("{"), F.nullif(F.trim(r), F.lit("")))
+    line = lambda r: F.when(inside(r, LINE).rlike("^[0-9]+$"), inside(r, LINE).try_cast("int"))
+    made = F.transform(items(value), lambda r: F.struct(F.regexp_replace(inside(r, FILE), "^file://", "").alias("file"), line(r).alias("line"), F.coalesce(inside(r, SYMBOL), text(r)).alias("symbol")))
+    return F.filter(made, lambda r: r["file"].isNotNull() | r["symbol"].isNotNull())
+
+
+def shown(listed: Column) -> Column:
+    """References as text: symbol@file:line, of what is known."""
+    place = lambda r: F.concat(F.lit("@"), r["file"], F.coalesce(F.concat(F.lit(":"), r["line"].cast("string")), F.lit("")))
+    return F.array_join(F.transform(listed, lambda r: F.concat(F.coalesce(r["symbol"], F.lit("")), F.coalesce(place(r), F.lit("")))), " ")
+
+
+def _tests(doc: Column) -> Column:
+    """Tests that a payload names: the payload itself if it is a list."""
+    return F.slice(refs(F.when(doc.startswith("["), doc).otherwise(pick(doc, TESTS))), 1, CAP)
+
+
+def tests(payloads: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, tests (capped references): none is an answer as well, that of an untested symbol."""
+    return payloads.select(key, _tests(F.trim(F.col(payload))).alias("tests"))
+
+
+def edit_context(payloads: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, callers, tests, history (who and what of each change), all capped."""
+    doc = F.col(payload)
+    entry = lambda h: F.when(h.startswith("{"), F.concat_ws(" — ", pick(h, WHO), pick(h, WHAT))).otherwise(F.trim(h))
+    history = F.filter(F.transform(items(pick(doc, HISTORY)), entry), lambda h: h != "")
+    return payloads.select(key, F.slice(refs(pick(doc, CALLSITES)), 1, CAP).alias("callers"), _tests(F.coalesce(pick(doc, ("tests", "related_tests", "covering_tests")), doc)).alias("tests"), F.slice(history, 1, CAP).alias("history"))
+
+
+def taint(payloads: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, tainted (null if the graph is silent), flow (capped references), detector.
+
+    A traced path without a flag means tainted, an explicit all-clear without any path means clean.
+    """
+    doc = F.col(payload)
+    traced = payloads.select(key, flag(doc, TAINTED).alias("said"), refs(pick(doc, FLOW)).alias("all"), (F.size(items(pick(doc, FLOW))) == 0).alias("none"), flag(doc, CLEAN).alias("clean"), pick(doc, DETECTOR).alias("detector"))
+    implied = F.when(F.size("all") > 0, True).when(F.col("none") & F.col("clean"), False)
+    return traced.select(key, F.coalesce("said", implied).alias("tainted"), F.slice("all", 1, CAP).alias("flow"), "detector")
+
+
+def changes(payloads: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, symbol, and the columns of ``impact``: a row for each symbol of a whole change; of equal names the last counts."""
+    each = payloads.select(F.col(key), F.posexplode(items(pick(F.col(payload), CHANGES))).alias("pos", "entry")).where("entry LIKE '{%'")
+    named = each.withColumn("symbol", pick(F.col("entry"), NAMED)).where("symbol IS NOT NULL").groupBy(key, "symbol").agg(F.max_by("entry", "pos").alias("entry"))
+    return impact(named.select(F.struct(key, "symbol").alias("_of"), "entry"), "_of", "entry").select(f"_of.{key}", "_of.symbol", "*").drop("_of")
+
+
+def change_notes(payloads: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, stale (capped; symbol, file and note of documents out of date), commit_hint: of a whole change."""
+    doc = F.col(payload)
+    inside = lambda d, names: F.when(d.startswith("{"), pick(d, names))
+    stale = F.transform(items(pick(doc, DOCS)), lambda d: F.struct(inside(d, NAMED).alias("symbol"), F.regexp_replace(inside(d, ("file", "path", "uri")), "^file://", "").alias("file"), F.when(d.startswith("{"), pick(d, NOTE)).otherwise(F.trim(d)).alias("note")))
+    told = F.filter(stale, lambda d: F.coalesce(d["symbol"], d["file"], d["note"]).isNotNull())
+    return payloads.select(key, F.slice(told, 1, CAP).alias("stale"), pick(doc, COMMIT).alias("commit_hint"))
+
+
 def impact(payloads: DataFrame, key: str, payload: str) -> DataFrame:
-    """key, caller_count, callers (symbols or files, capped), truncated, reviewers (by weight, then as listed; each once)."""
+    """key, caller_count, callers (symbols or files, capped), truncated, reviewers (by weight, then as listed; each once),
+    test_gaps (capped references), reachable, complexity, stale_doc (null where the payload is silent).
+    """
     doc = F.col(payload)
     callers = F.filter(F.transform(items(_either(doc, CALLERS)), lambda c: F.coalesce(_field(c, SYMBOL), F.regexp_replace(_field(c, FILE), "^file://", ""))), lambda c: c.isNotNull() & (c != ""))
     weight = lambda r: F.when(r.startswith("{"), F.coalesce(pick(r, WEIGHT).try_cast("double"), F.lit(0.0))).otherwise(0.0)
     listed = F.transform(items(_either(doc, REVIEWERS)), lambda r, k: F.struct((-weight(r)).alias("w"), k.alias("k"), _field(r, REVIEWER).alias("name")))
     names = F.array_distinct(F.transform(F.array_sort(F.filter(listed, lambda r: r["name"].isNotNull() & (r["name"] != ""))), lambda r: r["name"]))
-    return payloads.select(F.col(key), callers.alias("all"), _number(doc, COUNT).alias("given"), names.alias("reviewers")).select(
-        key, F.coalesce("given", F.size("all")).alias("caller_count"), F.slice("all", 1, CAP).alias("callers"), (F.size("all") > CAP).alias("truncated"), "reviewers"
+    nested = pick(doc, NESTED)
+    size = F.coalesce(*[F.when(pick(of, COMPLEXITY).rlike(r"^-?[0-9]+(\.[0-9]+)?$"), pick(of, COMPLEXITY).try_cast("double")) for of in (doc, nested)])
+    told = {"reachable": F.coalesce(flag(doc, REACHABLE), flag(nested, REACHABLE)), "complexity": size, "stale_doc": F.coalesce(flag(doc, STALE), flag(nested, STALE))}
+    return payloads.select(F.col(key), callers.alias("all"), _number(doc, COUNT).alias("given"), names.alias("reviewers"), refs(_either(doc, GAPS)).alias("gaps"), *[c.alias(n) for n, c in told.items()]).select(
+        key, F.coalesce("given", F.size("all")).alias("caller_count"), F.slice("all", 1, CAP).alias("callers"), ((F.size("all") > CAP) | (F.size("gaps") > CAP)).alias("truncated"), "reviewers", F.slice("gaps", 1, CAP).alias("test_gaps"), *told
     )
