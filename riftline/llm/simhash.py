@@ -13,9 +13,11 @@ most four bits are linked, and linked documents form a group. The search is exac
   for B, along with two parts of another segment. A fingerprint has about 77 keys, of 26 to 30 bits each.
 
 Equal fingerprints are one row from the start. In each bucket of a key every row is compared with a few pivots first,
-the least rows in several orders; components of these links are found; then only rows outside a bucket's commonest
-component are compared with the rest of it. A bucket of many near copies thus costs a few comparisons a row, not one a
-pair, and the pivots in different orders leave few rows to the second step.
+the least rows in several orders; components of these links are found. Where rows of a bucket are in different
+components, up to ``SMALL`` rows are compared pair by pair. Those of larger buckets give all points at most two bits
+away, 2,081 of a fingerprint whatever its buckets: of two fingerprints within four bits some point is the same, and all
+that share a point are within four bits, so that components which meet in a point are linked with no comparison. No
+point has more than 2,081 fingerprints, so the work grows with the rows of a group, not with their square.
 
 Defined cases: a null text, or one without words, has fingerprint zero, which links like any other; fewer words
 than a shingle make one shingle; documents with a null key join groups, but a group's name is the smallest key
@@ -25,7 +27,7 @@ that is not null; an empty table gives an empty result; other columns are ignore
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import combinations
 
 import numpy as np
@@ -39,6 +41,8 @@ from riftline.llm.common import forget, materialise
 from riftline.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
+#: Rows of a bucket that are compared pair by pair, at most; those of larger ones are compared by the points around them.
+SMALL = 64
 #: A pivot of a bucket is its least row after such a word is added bit by bit.
 ORDERS = (0, 0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F)
 #: Segments as (lowest bit, bits), and the parts of each.
@@ -138,8 +142,30 @@ def fuzzy_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _differ(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+def _pairs(batches: Iterator[pa.RecordBatch], *, distance: int) -> Iterator[pa.RecordBatch]:
+    """a, b: of the prints of each (small) bucket those of different roots within ``distance``."""
+    for batch in batches:
+        for prints, roots in zip(batch.column(0), batch.column(1), strict=True):
+            p, r = (x.values.to_numpy(zero_copy_only=False) for x in (prints, roots))
+            apart = np.bitwise_count((p[:, None] ^ p).view(np.uint64))
+            a, b = np.nonzero(np.triu((apart <= distance) & (r[:, None] != r)))
+            yield pa.RecordBatch.from_arrays([pa.array(p[a]), pa.array(p[b])], names=["a", "b"])
+
+
+def _points(batches: Iterator[pa.RecordBatch], *, distance: int) -> Iterator[pa.RecordBatch]:
+    """point, bit, root: all words at most half of ``distance`` from each print; prints share one only if within ``distance``.
+
+    With an odd distance the words may differ in one bit more, which is taken out; else ``bit`` is -1.
+    """
+    one = np.array([1 << k if k < 63 else -1 << 63 for k in range(64)], dtype=np.int64)
+    flips = np.concatenate([np.zeros(1, np.int64), one, [a ^ b for a, b in combinations(one, 2)]])[: (1, 65, 2081)[distance // 2]]
+    for batch in batches:
+        p, r = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for k in range(0, len(p), 500):
+            near = (p[k : k + 500, None] ^ flips)[:, :, None]
+            near, bit = (near & ~one, np.arange(64)) if distance % 2 else (near, np.array([-1]))
+            each = near.shape[1] * near.shape[2]
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), pa.array(np.resize(bit, near.size).astype(np.int32)), pa.array(np.repeat(r[k : k + 500], each))], names=["point", "bit", "root"])
 
 
 def edges(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
@@ -163,14 +189,18 @@ def edges(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
     shared = materialise(keyed.join(buckets, "key").select("key", "print", "n", F.array_distinct(F.filter("pivots", close)).alias("near")))
     star = materialise(shared.select("print", F.explode("near").alias("pivot")).distinct())
     first = materialise(components(star, "print", "pivot").withColumnsRenamed({"node": "print", "component": "root"}))
-    # In a bucket of two the pivots have met the other row; in larger ones, rows beside the commonest root meet all.
-    rooted = materialise(shared.where("n > 2").select("key", "print").join(first, "print", "left").select("key", "print", F.coalesce("root", "print").alias("root")))
-    common = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("common"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("key", "common")
-    open_ = materialise(rooted.join(materialise(common), "key"))
+    # In a bucket of two the pivots have met the other row; in larger ones, rows of different roots are left to compare.
+    rooted = materialise(shared.where("n > 2").join(first, "print", "left").select("key", "n", "print", F.coalesce("root", "print").alias("root")))
+    several = F.min("root") != F.max("root")
+    small = rooted.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("print").alias("prints"), F.collect_list("root").alias("roots"), several.alias("several"))
+    pairs = small.where("several").select("prints", "roots").mapInArrow(partial(_pairs, distance=distance), "a long, b long").distinct()
+    large = rooted.where(F.col("n") > SMALL)
+    mixed = materialise(large.groupBy("key").agg(several.alias("several")).where("several").select("key"))
+    around = materialise(large.join(mixed, "key", "left_semi").select("print", "root").distinct()).mapInArrow(partial(_points, distance=distance), "point long, bit int, root long")
+    met = around.groupBy("point", "bit").agg(F.collect_set("root").alias("roots")).where(F.size("roots") > 1).select(F.array_min("roots").alias("a"), F.explode("roots").alias("b"))
+    out = materialise(star.select(F.col("print").alias("a"), F.col("pivot").alias("b")).unionByName(pairs).unionByName(met.where("a != b").distinct()))
     forget(shared, rooted)
-    few = materialise(open_.where("root != common").select("key", F.col("print").alias("other"), F.col("root").alias("other_root")))
-    rest = few.join(open_.select("key", "print", "root"), "key").where((F.col("root") != F.col("other_root")) & (_differ("print", "other") <= distance))
-    return materialise(star.select(F.col("print").alias("a"), F.col("pivot").alias("b")).unionByName(rest.select(F.col("print").alias("a"), F.col("other").alias("b")).distinct()))
+    return out
 
 
 def link(prints: DataFrame, *, distance: int = DISTANCE) -> DataFrame:
