@@ -32,6 +32,8 @@ from riftline.llm.common import materialise, number_within
 CAPACITY, END_ID = 4096, 1
 #: Characters of one round of look-ups, and words remembered by a Python worker (about 200 MB).
 ROUND_CHARS, MEMO_WORDS = 1_000_000, 600_000
+#: Fixed value: what a byte is called in the vocabulary, where it is no printable character of Latin-1; ASCII words are as they are.
+BYTE_LEVEL = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class WordTokenizer:
@@ -49,16 +51,14 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.word = Tokenizer(self.whole.model)
-        self.word.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.memo: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
         """Remember the ids of white-space separated words: those of the parts that the pattern finds."""
-        new = list(words - self.memo.keys())
+        new = [w for w in words if w not in self.memo]  # a difference of sets would walk over the whole memo
         if len(self.memo) + len(new) > MEMO_WORDS:  # the words of this round have the frequent ones among them
             self.memo = {w: self.memo[w] for w in words & self.memo.keys()}
         single, split = [], []
@@ -67,9 +67,10 @@ class WordTokenizer:
                 single.append(w)
             else:
                 split.append((w, (w[:-1], w[-1]) if w[:-1].isalpha() else self.WORDS.findall(w)))
-        parts = [*single, *({p for _, found in split for p in found} - self.memo.keys() - set(single))]
-        for p, e in zip(parts, self.word.encode_batch_fast(parts, add_special_tokens=False), strict=True):
-            self.memo[p] = array("I", e.ids).tobytes()
+        parts = [*single, *({p for _, found in split for p in found if p not in self.memo} - set(single))]
+        tokens = self.whole.model.tokenize
+        for p in parts:
+            self.memo[p] = array("I", [t.id for t in tokens(p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_LEVEL))]).tobytes()
         for w, found in split:
             self.memo[w] = b"".join(map(self.memo.__getitem__, found))
 
