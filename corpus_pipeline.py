@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riftline.llm import decontaminate, langid, packing, pii, simhash, similar
-from riftline.llm.common import materialise, read_table, row_keyed
+from riftline.llm.common import if_few, materialise, read_table, row_keyed
 from riftline.llm.shingles import SHINGLE
 
 #: A text in none of the learned languages costs more than this share of its letters one by one, and some bits besides,
@@ -65,8 +65,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     names = materialise(found.groupBy("root").agg(F.min(place)["_rk"].alias("keeper")))
     rows = materialise(found.join(names, "root").groupBy("_rk").agg(F.first(F.col("_rk") != F.col("keeper")).alias("leaves"), F.count(F.lit(1)).alias("n")).where("leaves OR n > 1"))
     keyed = row_keyed(docs, "doc_id", "text")
-    once = keyed.join(rows, "_rk", "left_anti").select(*docs.columns)
-    repeated = keyed.join(materialise(rows.where("NOT leaves").select("_rk")), "_rk", "left_semi").dropDuplicates(["_rk"])
+    once = keyed.join(if_few(rows.select("_rk")), "_rk", "left_anti").select(*docs.columns)
+    repeated = keyed.join(if_few(materialise(rows.where("NOT leaves").select("_rk"))), "_rk", "left_semi").dropDuplicates(["_rk"])
     return once.unionByName(repeated.select(*docs.columns))
 
 
@@ -74,7 +74,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in which a window of a benchmark item occurs; without items all stay."""
     hits, _ = decontaminate.phrase_matches(docs, read_table(spark, sf_dir, "benchmark"), key="doc_id", text="text", item="item_id", item_text="text")
-    return row_keyed(docs, "doc_id", "text").join(materialise(hits.select("_rk")), "_rk", "left_anti").select(*docs.columns)
+    return row_keyed(docs, "doc_id", "text").join(if_few(materialise(hits.select("_rk"))), "_rk", "left_anti").select(*docs.columns)
 
 
 @_sheltered

@@ -49,7 +49,9 @@ def jaccard(a: Column, b: Column) -> Column:
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of contents that are similar enough, by their texts."""
     pairs = materialise(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    left = pairs.join(texts, pairs["a"] == texts["content"]).select("a", "b", F.col("body").alias("left"))
+    # Few pairs meet their first texts where these are; else all texts would be shuffled once more.
+    few = if_few(pairs)
+    left = few.join(texts, few["a"] == texts["content"]).select("a", "b", F.col("body").alias("left"))
     both = left.join(texts.select(F.col("content").alias("b"), F.col("body").alias("right")), "b")
     found = materialise(both.where(jaccard(F.col("left"), F.col("right")) >= similarity).select("a", "b"))
     forget(pairs)

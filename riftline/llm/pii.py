@@ -183,14 +183,18 @@ def discover(scanned: DataFrame, docs: DataFrame, text: str, *, least_identifier
     return materialise(accepted.join(seeds.select("name", "kind"), ["name", "kind"], "left_anti"))
 
 
+def discovered(docs: DataFrame, key: str, text: str, scanned: DataFrame) -> DataFrame:
+    """_rk, found (spans that contexts give away): a row for each row of ``docs`` that has such."""
+    names = discover(scanned, docs, text)
+    unseen = scanned.select("_rk", F.explode("places").alias("p")).where("NOT p.known").select("_rk", "p.start", "p.kind", "p.end", "p.name")
+    return materialise(unseen.join(names, ["name", "kind"]).groupBy("_rk").agg(F.collect_set(F.struct("start", "kind", "end")).alias("found")))
+
+
 def find(docs: DataFrame, key: str, text: str) -> DataFrame:
     """_rk, base, spans (base and discovered, sorted): one row for each row of ``docs``."""
     scanned = materialise(scan(docs, key, text))
-    names = discover(scanned, docs, text)
-    unseen = scanned.select("_rk", F.explode("places").alias("p")).where("NOT p.known").select("_rk", "p.start", "p.kind", "p.end", "p.name")
-    found = unseen.join(names, ["name", "kind"]).groupBy("_rk").agg(F.collect_set(F.struct("start", "kind", "end")).alias("found"))
     spans = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", F.array().cast(SPANS)))))
-    return scanned.join(materialise(found), "_rk", "left").select("_rk", "base", spans.alias("spans"))
+    return scanned.join(discovered(docs, key, text, scanned), "_rk", "left").select("_rk", "base", spans.alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -200,26 +204,29 @@ def written(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with each span of its text replaced by the kind in brackets; overlapping spans become one."""
+    """``docs`` with each span of its text replaced by the kind in brackets; overlapping spans become one.
+
+    Base spans are found in the text once more where it stands, so that only discovered ones are joined to it.
+    """
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
         out = []
-        for t, found in zip(texts, spans, strict=True):
-            if t is not None and len(found):
+        for t, more in zip(texts, found, strict=True):
+            spans = sorted({*base_spans(t), *((s["start"], s["kind"], s["end"]) for s in more)}) if t is not None else ()
+            if spans:
                 parts, at = [], 0
-                for s in found:
-                    if s["start"] >= at:
-                        parts += [t[at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                    at = max(at, s["end"])
+                for start, kind, end in spans:
+                    if start >= at:
+                        parts += [t[at:start], f"[{KINDS[kind].upper()}]"]
+                    at = max(at, end)
                 t = "".join(parts) + t[at:]
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    found = materialise(find(docs, key, text).where(F.size("spans") > 0).select("_rk", "spans").dropDuplicates(["_rk"]))
+    found = discovered(docs, key, text, materialise(scan(docs, key, text).select("_rk", "places")))
     joined = row_keyed(docs, key, text).join(found, "_rk", "left")
-    changed = F.when(F.col("spans").isNull(), F.col(text)).otherwise(cut(F.col(text), F.coalesce("spans", F.array().cast(SPANS))))
-    return joined.withColumn(text, changed).select(*docs.columns)
+    return joined.withColumn(text, cut(F.col(text), F.coalesce("found", F.array().cast(SPANS)))).select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
