@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,22 @@ def forget(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
+_HELD: dict[tuple, Any] = {}
+
+
+def held(name: tuple, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps for its next tasks: one thing at a time."""
+    if name not in _HELD:
+        let_go()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def let_go() -> None:
+    """Operators that follow each other share their workers: what one kept does not add to the memory of the next."""
+    _HELD.clear()
+
+
 def if_few(names: DataFrame, *, most: int = 1_000_000) -> DataFrame:
     """``names`` (a materialised table of a column or two) to be broadcast, if its rows are counted and few; else as it is."""
     return F.broadcast(names) if names.count() <= most else names

@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from riftline.llm.common import let_go
+
 SAMPLE_CHARS, BLOCK, LANES, PART = 60_000, 1024, 2048, 2_000_000
 UNKNOWN = "und"
 #: Symbols: 0 is any run of other characters than letters, 1 a letter that no sample has.
@@ -236,6 +238,7 @@ def identify(docs: DataFrame, text: str, model: Model, *, names: tuple[str, str,
 
     @F.pandas_udf("a string, b double, c double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        let_go()
         known = shared.value
         for batch in batches:
             yield known.predict([t or "" for t in batch]).set_axis(["a", "b", "c"], axis=1)

@@ -17,8 +17,7 @@ import re
 import zlib
 from array import array
 from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,11 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riftline.llm.common import materialise, number_within
+from riftline.llm.common import held, materialise, number_within
 
 CAPACITY, END_ID = 4096, 1
-#: Characters of one round of look-ups, and words remembered by a Python worker (about 200 MB).
-ROUND_CHARS, MEMO_WORDS = 1_000_000, 600_000
+#: Texts of a batch that are Python strings at a time.
+TAKEN = 256
+#: Characters of one round of look-ups, and words remembered by a Python worker (about 100 MB).
+ROUND_CHARS, MEMO_WORDS = 1_000_000, 400_000
 #: Fixed value: what a byte is called in the vocabulary, where it is no printable character of Latin-1; ASCII words are as they are.
 BYTE_LEVEL = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
@@ -93,7 +94,7 @@ class WordTokenizer:
         for k, words in split:
             out[k].append(b"".join(map(self.memo.__getitem__, words)))
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[list[bytes]] = []
         parts: list[tuple[int, str]] = []
@@ -111,10 +112,9 @@ class WordTokenizer:
         yield from map(b"".join, out)
 
 
-@lru_cache(1)
 def worker_tokenizer(path: str) -> WordTokenizer:
     """One for all tasks of a Python worker, so that its memo lives on."""
-    return WordTokenizer(path)
+    return held(("tokenizer", path), lambda: WordTokenizer(path))
 
 
 def tokenise(docs: DataFrame, key: str, text: str, *, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -126,7 +126,8 @@ def tokenise(docs: DataFrame, key: str, text: str, *, tokenizer_path: str, capac
         for batch in batches:
             names = batch.column(0)
             source, rows = [], {"piece": [], "start": [], "length": [], "ids_crc32": []} | ({"ids": []} if keep_ids else {})
-            for i, ids in enumerate(tokenizer.encode([t or "" for t in batch.column(1).to_pylist()])):
+            texts = (t or "" for k in range(0, batch.num_rows, TAKEN) for t in batch.column(1).slice(k, TAKEN).to_pylist())
+            for i, ids in enumerate(tokenizer.encode(texts)):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

@@ -3,9 +3,11 @@
 import random
 from array import array
 
+import pandas as pd
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from riftline.llm import packing
+from riftline.llm import common, langid, packing
 
 
 class Watched(dict):
@@ -35,3 +37,36 @@ def test_ids_of_all_letters_that_the_memo_takes():
     assert not any(tokenizer.UNUSUAL.search(t) for t in texts)
     wanted = [array("I", tokenizer.whole.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
     assert list(tokenizer.encode(texts)) == wanted
+
+
+def test_language_lets_go_of_what_a_worker_held(spark, monkeypatch):
+    """Telling languages after packing: the worker's memo is gone before the tables of the languages are there."""
+    docs = spark.createDataFrame([(k, f"some words number {k} and a few more", "en") for k in range(9)], "doc_id long, text string, lang string").coalesce(1)
+    model = langid.fit(docs, "doc_id", "text", "lang")
+    inner = []
+    monkeypatch.setattr(langid.F, "pandas_udf", lambda kind: lambda f: inner.append(f) or (lambda c: F.struct(*(F.lit(None).alias(x) for x in "abc"))))
+    langid.identify(docs, "text", model)
+    packing.worker_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert len(common._HELD) == 1
+    assert [len(x) for x in inner[0](iter([pd.Series(["some words"])]))] == [1]
+    assert not common._HELD
+
+
+def test_what_a_worker_holds_is_one_thing_at_a_time():
+    common.let_go()
+    first = packing.worker_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    assert packing.worker_tokenizer(public_tokenizers.path("word_bpe_49k.json")) is first
+    assert common.held(("other",), list) == []
+    assert len(common._HELD) == 1
+    assert packing.worker_tokenizer(public_tokenizers.path("word_bpe_49k.json")) is not first
+    common.let_go()
+
+
+def test_a_batch_is_taken_in_parts_and_in_order(spark):
+    n = 2 * packing.TAKEN + 3
+    texts = [None if k % 7 == 3 else f"text {k} " * (k % 5) for k in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tokenizer = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    wanted = {k: len(tokenizer.whole.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}
+    found = packing.tokenise(docs, "doc_id", "text", tokenizer_path=public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert {r.doc_id: r.length for r in found} == wanted
