@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riftline.llm import decontaminate, langid, packing, pii, simhash, similar
-from riftline.llm.common import if_few, materialise, read_table, row_keyed
+from riftline.llm.common import if_few, materialise, read_table, row_keyed, sweep
 from riftline.llm.shingles import SHINGLE
 
 #: A text in none of the learned languages costs more than this share of its letters one by one, and some bits besides,
@@ -29,10 +29,14 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def _sheltered(stage: Stage) -> Stage:
-    """``stage`` on documents whose other columns have names that no operator uses; they get theirs back at the end."""
+    """``stage`` on documents whose other columns have names that no operator uses; they get theirs back at the end.
+
+    What earlier stages left with the executors goes first.
+    """
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark)
         return stage(spark, docs.toDF(*[c if c in OWN else f"__other_{k}" for k, c in enumerate(docs.columns)]), sf_dir).toDF(*docs.columns)
 
     return run
@@ -60,7 +64,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     texts stands for two documents. Only rows that repeat both are compared as wholes.
     """
     pairs = simhash.candidates(similar.contents(docs, "text"), "content", "body", shingle=SHINGLE)
+    sweep(spark)
     found = materialise(similar.group(docs, "doc_id", "text", candidates=pairs))
+    sweep(spark)
     place = F.struct(F.col("_rk.k").isNull().alias("last"), "_rk")
     names = materialise(found.groupBy("root").agg(F.min(place)["_rk"].alias("keeper")))
     rows = materialise(found.join(names, "root").groupBy("_rk").agg(F.first(F.col("_rk") != F.col("keeper")).alias("leaves"), F.count(F.lit(1)).alias("n")).where("leaves OR n > 1"))
@@ -86,6 +92,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into token sequences; a row for each piece, as ``packing.query`` returns them."""
+    sweep(spark)
     return packing.query(docs)
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riftline.llm.common import let_go
+from riftline.llm.common import taken
 
 SAMPLE_CHARS, BLOCK, LANES, PART = 60_000, 1024, 2048, 2_000_000
 UNKNOWN = "und"
@@ -238,9 +238,8 @@ def identify(docs: DataFrame, text: str, model: Model, *, names: tuple[str, str,
 
     @F.pandas_udf("a string, b double, c double")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        let_go()
-        known = shared.value
-        for batch in batches:
+        for batch in taken(batches):
+            known = shared.value
             yield known.predict([t or "" for t in batch]).set_axis(["a", "b", "c"], axis=1)
 
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])

@@ -26,11 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riftline.llm.common import held, materialise, number_within
+from riftline.llm.common import held, materialise, number_within, strings, taken
 
 CAPACITY, END_ID = 4096, 1
-#: Texts of a batch that are Python strings at a time.
-TAKEN = 256
 #: Characters of one round of look-ups, and words remembered by a Python worker (about 100 MB).
 ROUND_CHARS, MEMO_WORDS = 1_000_000, 400_000
 #: Fixed value: what a byte is called in the vocabulary, where it is no printable character of Latin-1; ASCII words are as they are.
@@ -123,11 +121,10 @@ def tokenise(docs: DataFrame, key: str, text: str, *, tokenizer_path: str, capac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_tokenizer(tokenizer_path)
-        for batch in batches:
+        for batch in taken(batches, keep=True):
             names = batch.column(0)
             source, rows = [], {"piece": [], "start": [], "length": [], "ids_crc32": []} | ({"ids": []} if keep_ids else {})
-            texts = (t or "" for k in range(0, batch.num_rows, TAKEN) for t in batch.column(1).slice(k, TAKEN).to_pylist())
-            for i, ids in enumerate(tokenizer.encode(texts)):
+            for i, ids in enumerate(tokenizer.encode(t or "" for t in strings(batch.column(1)))):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from riftline.llm.common import materialise, row_keyed
+from riftline.llm.common import materialise, row_keyed, strings, taken
 from riftline.llm.decontaminate import lowered, split_words
 
 #: The kinds in their order.
@@ -96,9 +96,9 @@ def _spelt_at(text: str) -> bool:
 
 def _unseen(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
     """Identifier-like strings beside the base spans, with each kind that they could be."""
-    taken = [(a, b) for a, _, b in base]
+    spans = [(a, b) for a, _, b in base]
     letter = lambda k: 0 <= k < len(text) and text[k].isalnum()
-    free = lambda a, b: not (letter(a - 1) or letter(b) or any(x < b and a < y for x, y in taken))
+    free = lambda a, b: not (letter(a - 1) or letter(b) or any(x < b and a < y for x, y in spans))
     if _spelt_at(text):
         yield from ((a, EMAIL, b) for a, b in _addresses(text, _AT) if free(a, b))
     for m in _NUMBER.finditer(text):
@@ -138,9 +138,9 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
     keyed = row_keyed(docs.select(key, text), key, text).select("_rk", F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in taken(batches):
             bases, places = [], []
-            for text in batch.column(1).to_pylist():
+            for text in strings(batch.column(1)):
                 base = base_spans(text or "")
                 bases.append([{"start": a, "kind": k, "end": b} for a, k, b in base])
                 both = [(a, k, b, True) for a, k, b in base] + ([(a, k, b, False) for a, k, b in _unseen(text, base)] if text and (len(base) or _DIGIT.search(text) or _spelt_at(text)) else [])

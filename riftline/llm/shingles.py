@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from xxhash import xxh64_intdigest
 
+from riftline.llm.common import taken
+
 SHINGLE, SKETCH, SEED = 5, 4, 42
 #: Characters of text in memory at a time, apart from a longer single text.
 PART = 2_000_000
@@ -113,7 +115,7 @@ def signed(bands: int, rows: int):
     """For ``mapInArrow`` over (content, body): content, bands (with the sketch at the end), size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in taken(batches):
             for found in _by_content(batch):
                 values, size = signatures(list(found.values()), bands, rows)
                 offsets = np.arange(len(found) + 1, dtype=np.int32) * (bands + SKETCH)
@@ -124,7 +126,7 @@ def signed(bands: int, rows: int):
 
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For ``mapInArrow`` over (content, body): content, s (hashes of the distinct shingles)."""
-    for batch in batches:
+    for batch in taken(batches):
         for found in _by_content(batch):
             values, low, high = runs(list(found.values()))
             sets = [np.unique(values[a:b]).view(np.int64) for a, b in zip(low.tolist(), high.tolist(), strict=True)]

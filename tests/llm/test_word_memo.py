@@ -1,7 +1,10 @@
 """The memo of words: the same ids whatever it holds, and work that follows a round's words, not the memo."""
 
 import random
+import re
+import time
 from array import array
+from types import SimpleNamespace
 
 import pandas as pd
 import public_tokenizers
@@ -48,8 +51,10 @@ def test_language_lets_go_of_what_a_worker_held(spark, monkeypatch):
     langid.identify(docs, "text", model)
     packing.worker_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
     assert len(common._HELD) == 1
+    kept = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: SimpleNamespace(release_unused=lambda: kept.append(len(common._HELD))))
     assert [len(x) for x in inner[0](iter([pd.Series(["some words"])]))] == [1]
-    assert not common._HELD
+    assert kept == [0, 0]  # before the batch and after it, when the memo is gone
 
 
 def test_what_a_worker_holds_is_one_thing_at_a_time():
@@ -63,10 +68,32 @@ def test_what_a_worker_holds_is_one_thing_at_a_time():
 
 
 def test_a_batch_is_taken_in_parts_and_in_order(spark):
-    n = 2 * packing.TAKEN + 3
+    n = 2 * common.TEXTS + 3
     texts = [None if k % 7 == 3 else f"text {k} " * (k % 5) for k in range(n)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     tokenizer = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
     wanted = {k: len(tokenizer.whole.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}
     found = packing.tokenise(docs, "doc_id", "text", tokenizer_path=public_tokenizers.path("word_bpe_49k.json")).collect()
     assert {r.doc_id: r.length for r in found} == wanted
+
+
+def test_broadcasts_of_queries_that_are_over_leave_memory(spark):
+    def used():
+        most, left = map(int, re.search(r"\((\d+),(\d+)\)", spark.sparkContext._jsc.sc().getExecutorMemoryStatus().toString()).groups())
+        return most - left
+
+    common.sweep(spark)
+    time.sleep(2)
+    before = used()
+    for k in range(8):
+        few = F.broadcast(spark.range(200_000).withColumn("x", F.col("id") + k))
+        assert spark.range(10).join(few, "id").select(F.max("x")).first()[0] == 9 + k
+    del few
+    full = used() - before
+    common.sweep(spark)
+    for _ in range(20):
+        if used() - before <= full / 2:
+            break
+        time.sleep(0.5)
+    assert used() - before <= full / 2, (before, full, used())
+    assert full > 8_000_000
