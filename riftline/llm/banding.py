@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from riftline.llm.common import forget, if_few, materialise
 from riftline.llm.components import components
-from riftline.llm.shingles import LOWER, SHINGLE, SKETCH, shingle_sets, signed
+from riftline.llm.shingles import LOWER, SHINGLE, SKETCH, banded, shingle_sets, signed
 
 SIMILARITY = 0.8
 #: A pivot of a bucket is its least content after such a word is added bit by bit.
@@ -71,7 +71,7 @@ def clusters(bodies: DataFrame, bands: int, rows: int, *, similarity: float = SI
     """
     sign = lambda df: df.mapInArrow(signed(bands, rows), "content long, bands array<bigint>, size int")
     # The aggregation and the join read one shuffle.
-    by_band = sign(bodies).select("content", F.explode(F.slice("bands", 1, bands)).alias("band")).repartition("band")
+    by_band = bodies.mapInArrow(banded(bands, rows), "content long, bands array<bigint>").select("content", F.explode("bands").alias("band")).repartition("band")
     least = [F.min(F.col("content").bitwiseXOR(F.lit(order))).bitwiseXOR(F.lit(order)) for order in ORDERS]
     buckets = by_band.groupBy("band").agg(F.min("content").alias("low"), F.max("content").alias("high"), F.array(*least).alias("pivots")).where("low != high").drop("low", "high")
     shared = materialise(by_band.join(buckets, "band").select("band", "content", F.array_distinct(F.filter("pivots", lambda p: p != F.col("content"))).alias("pivots")).distinct())

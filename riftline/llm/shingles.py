@@ -83,17 +83,22 @@ def runs(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([every, whole]), low, high
 
 
-def signatures(lines: list[bytes], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """[line, bands and sketch], and the number of distinct shingles, of lines of one word and more."""
-    values, low, high = runs(lines)
-    sketch, size = odd_sketch(values, low, high)
+def bands_of(values: np.ndarray, low: np.ndarray, high: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """[line, bands], for the shingles [low, high) of each line."""
     spans = np.stack([low, high], axis=1).ravel()
     odd = np.random.default_rng(SEED).integers(1, 1 << 62, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    band = np.zeros((len(lines), bands), dtype=np.uint64)
+    band = np.zeros((len(low), bands), dtype=np.uint64)
     for k, factor in enumerate(odd):
         least = np.minimum.reduceat(np.append(mix(values * factor), np.uint64(0)), spans)[::2]
         band[:, k // rows] = mix(band[:, k // rows] + least) + np.uint64(k // rows)
-    return np.concatenate([band.view(np.int64), sketch], axis=1), size
+    return band.view(np.int64)
+
+
+def signatures(lines: list[bytes], bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """[line, bands and sketch], and the number of distinct shingles, of lines of one word and more."""
+    values, low, high = runs(lines)
+    sketch, size = odd_sketch(values, low, high)
+    return np.concatenate([bands_of(values, low, high, bands, rows), sketch], axis=1), size
 
 
 def _by_content(batch: pa.RecordBatch) -> Iterator[dict[int, bytes]]:
@@ -124,6 +129,19 @@ def signed(bands: int, rows: int):
     return run
 
 
+def banded(bands: int, rows: int):
+    """For ``mapInArrow`` over (content, body): content, bands (nothing else, so that no sketch is made)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in taken(batches):
+            for found in _by_content(batch):
+                values = bands_of(*runs(list(found.values())), bands, rows)
+                offsets = np.arange(len(found) + 1, dtype=np.int32) * bands
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))], names=["content", "bands"])
+
+    return run
+
+
 def shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For ``mapInArrow`` over (content, body): content, s (hashes of the distinct shingles)."""
     for batch in taken(batches):

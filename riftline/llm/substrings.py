@@ -20,8 +20,9 @@ it is its whole document.
 
 Defined cases: a null or empty text has no passages; repeats inside one document only are no clusters; documents that
 share a key but not the text count as different, rows equal in both as one; an empty table gives an empty result; other
-columns are ignored. Every run of ``least`` words or more that two documents share lies in a passage of both. In texts
-that repeat themselves, a sixth of the equal grams stand for all.
+columns are ignored. Of equal texts the first document alone is worked through, since all of each other one is a passage.
+Every run of ``least`` words or more that two documents share lies in a passage of both. In texts that repeat themselves,
+a sixth of the equal grams stand for all.
 """
 
 from __future__ import annotations
@@ -32,18 +33,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
 from riftline.llm.banding import SIMILARITY, clusters
-from riftline.llm.common import forget, if_few, materialise, row_keyed
+from riftline.llm.common import TEXTS, forget, if_few, materialise, row_keyed, sweep, taken
 from riftline.llm.shingles import PART, mix, words
 
 GRAM, WINDOW, LEAST, BANDS, ROWS = 14, 12, 25, 7, 2
 #: Odd factors of the hash of a run of words and of its check, and their inverses modulo 2^64.
 _FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _INVERSES = tuple(pow(f, -1, 1 << 64) for f in _FACTORS)
-FIELDS = ("content", "check", "w0", "w1")
 
 
 def sizes(least: int) -> tuple[int, int]:
@@ -79,18 +78,45 @@ class Runs:
         return mix((self.sums[last] - self.sums[first]) * self.back[first] + (last - first).astype(np.uint64))
 
 
-def chosen(g: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """Which grams stand for their neighbours, by their hashes: the least of any window of them.
+class Texts:
+    """Texts as one, a line feed between them: the words of all, ``base`` of the first of each and of an end."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.raw = b"\n".join(texts)
+        self.begin, self.stop, self.h = words(self.raw)
+        self.head = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        self.base = np.searchsorted(self.begin, self.head)
+
+    def places(self, owner: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code points [start, end) of words [w0, w1) of the texts ``owner``."""
+        point = np.append(0, np.cumsum(np.frombuffer(self.raw, dtype=np.uint8) & 0xC0 != 0x80))  # code points before each byte
+        zero = point[self.head[owner]]
+        return point[self.begin[self.base[owner] + w0]] - zero, point[self.stop[self.base[owner] + w1 - 1]] - zero
+
+
+def _each(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For lists of these sizes one after another: whose each member is, and its number there."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def chosen(g: np.ndarray, counts: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Which grams stand for their neighbours, by their hashes: the least of any window of them; ``counts`` grams a text.
 
     Of equal ones, ``window`` // 2 grams apart at most, the first of each ``window`` // 2 and the last: some gram of the
     same words is left in each window.
     """
-    size = min(window, len(g))
-    least = _slide(g, size, np.minimum)
-    edge = np.zeros(size - 1, dtype=g.dtype)
-    at = np.flatnonzero(g == _slide(np.concatenate([edge, least, edge]), size, np.maximum))
+    owner, _ = _each(counts)
+    few = (counts <= window)[owner]
+    kept = few & (g == np.minimum.reduceat(g, np.cumsum(counts) - counts)[owner])
+    if not few.all():
+        inside = owner[: len(g) - window + 1] == owner[window - 1 :]
+        edge = np.zeros(window - 1, dtype=g.dtype)
+        least = np.where(inside, _slide(g, window, np.minimum), np.uint64(0))
+        kept |= ~few & (g == _slide(np.concatenate([edge, least, edge]), window, np.maximum))
+    at = np.flatnonzero(kept)
     part = max(1, window // 2)
-    near = np.concatenate([[False], (np.diff(at) <= part) & (g[at[1:]] == g[at[:-1]])])
+    near = np.concatenate([[False], (np.diff(at) <= part) & (g[at[1:]] == g[at[:-1]]) & (owner[at[1:]] == owner[at[:-1]])])
     if not near.any():
         return at
     start = np.maximum.accumulate(np.where(near, 0, at))
@@ -99,234 +125,316 @@ def chosen(g: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return at[first | ~np.append(near[1:], False)]
 
 
-def grams(h: np.ndarray, gram: int = GRAM, window: int = WINDOW) -> dict[str, np.ndarray]:
-    """``FIELDS`` of the chosen grams of a text of these words; all its words, if these are no more than a gram."""
-    one, two = Runs(h), Runs(h, 1)
-    w0 = np.arange(max(1, len(h) - gram + 1))
-    w1 = np.minimum(w0 + gram, len(h))
-    content = one.of(w0, w1)
-    at = chosen(content, window)
-    return {"content": content[at].view(np.int64), "check": (two.of(w0[at], w1[at]) >> np.uint64(33)).astype(np.int32), "w0": w0[at], "w1": w1[at]}
-
-
-def paragraphs(text: str, gram: int, window: int) -> tuple[int, dict[str, np.ndarray]] | None:
-    """Number of words, and ``FIELDS`` of grams and lines; nothing without a word."""
-    raw = text.encode()
-    begin, _, h = words(raw)
-    if not len(begin):
-        return None
-    data = np.frombuffer(raw, dtype=np.uint8)
-    feet = np.concatenate([np.flatnonzero(data == 10), [len(data)]])
-    heads = np.concatenate([[0], feet[:-1] + 1])
-    w0, w1 = np.searchsorted(begin, heads), np.searchsorted(begin, feet)
-    filled = np.flatnonzero(w1 > w0)
-    hashed = np.array([xxh64_intdigest(raw[a:b], 42) for a, b in zip(heads[filled].tolist(), feet[filled].tolist(), strict=True)], dtype=np.uint64)
-    lines = {"content": hashed.view(np.int64), "check": np.full(len(filled), -1, dtype=np.int32), "w0": w0[filled], "w1": w1[filled]}
-    inside = grams(h, gram, window)
-    return len(begin), {c: np.concatenate([inside[c], lines[c]]) for c in FIELDS}
-
-
 def _listed(values: pa.Array, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), values)
 
 
-def units(keyed: DataFrame, text: str, *, least: int = LEAST) -> DataFrame:
-    """_rk, doc (a hash of it), words, u (array of FIELDS; check is -1 for lines): a row for each text with a word."""
-    schema = f"_rk {keyed.schema['_rk'].dataType.simpleString()}, words int, u array<struct<content:long,check:int,w0:int,w1:int>>"
+def _structs(counts: np.ndarray, **columns: np.ndarray) -> pa.ListArray:
+    return _listed(pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], names=list(columns)), counts)
+
+
+def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Rows and their texts, without null and empty ones, some ``PART`` bytes at a time."""
+    rows: list[int] = []
+    texts: list[bytes] = []
+    size = 0
+    for k in range(0, len(column), TEXTS):
+        for j, t in enumerate(column.slice(k, TEXTS).cast(pa.binary()).to_pylist(), k):
+            if t:
+                rows.append(j)
+                texts.append(t)
+                size += len(t)
+            if size >= PART:
+                yield np.array(rows), texts
+                rows, texts, size = [], [], 0
+    if rows:
+        yield np.array(rows), texts
+
+
+def units(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
+    """doc, last, words, grams, lines: a row for each text of ``docs`` (doc, last, text) with a word."""
     gram, window = sizes(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            owner: list[int] = []
-            found: list[tuple[int, dict[str, np.ndarray]]] = []
-            chars = 0
-
-            def flush() -> pa.RecordBatch:
-                columns = [pa.array(np.concatenate([x[c] for _, x in found]).astype(np.int64 if c == "content" else np.int32)) for c in FIELDS]
-                listed = _listed(pa.StructArray.from_arrays(columns, names=list(FIELDS)), np.array([len(x["w0"]) for _, x in found]))
-                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array([n for n, _ in found], pa.int32()), listed], names=["_rk", "words", "u"])
-
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                if t and (of := paragraphs(t, gram, window)):
-                    owner.append(k)
-                    found.append(of)
-                    chars += len(t)
-                if chars >= PART:
-                    yield flush()
-                    owner, found, chars = [], [], 0
-            if found:
-                yield flush()
-
-    return keyed.select("_rk", text).mapInArrow(run, schema).withColumn("doc", F.xxhash64("_rk.k", "_rk.h"))
+        for batch in taken(batches):
+            for rows, texts in _parts(batch.column(2)):
+                of = Texts(texts)
+                filled = np.flatnonzero(np.diff(of.base))
+                if not len(filled):
+                    continue
+                base, n = of.base[filled], np.diff(of.base)[filled]
+                counts = np.maximum(1, n - gram + 1)
+                owner, w0 = _each(counts)
+                first = base[owner] + w0
+                last = np.minimum(first + gram, (base + n)[owner])
+                content = Runs(of.h).of(first, last)
+                at = chosen(content, counts, window)
+                check = (Runs(of.h, 1).of(first[at], last[at]) >> np.uint64(33)).astype(np.int32)
+                grams = _structs(np.bincount(owner[at], minlength=len(filled)), content=content[at].view(np.int64), check=check, w0=w0[at].astype(np.int32))
+                feet = np.append(np.flatnonzero(np.frombuffer(of.raw, dtype=np.uint8) == 10), len(of.raw))
+                heads = np.concatenate([[0], feet[:-1] + 1])
+                l0, l1 = np.searchsorted(of.begin, heads), np.searchsorted(of.begin, feet)
+                has = np.flatnonzero(l1 > l0)
+                l0, l1 = l0[has], l1[has]
+                hashed = np.array([xxh64_intdigest(of.raw[a:b], 42) for a, b in zip(heads[has].tolist(), feet[has].tolist(), strict=True)], dtype=np.uint64)
+                whose = np.searchsorted(base, l0, "right") - 1
+                lines = _structs(np.bincount(whose, minlength=len(filled)), content=hashed.view(np.int64), w0=(l0 - base[whose]).astype(np.int32), w1=(l1 - base[whose]).astype(np.int32))
+                names = [batch.column(k).take(pa.array(rows[filled])) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(n.astype(np.int32)), grams, lines], names=["doc", "last", "words", "grams", "lines"])
+
+    schema = "doc long, last long, words int, grams array<struct<content:long,check:int,w0:int>>, lines array<struct<content:long,w0:int,w1:int>>"
+    return docs.select("doc", "last", "text").mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """_rk, doc, head, last: documents numbered in the order of their keys, with the first and the last of equal text."""
+    keys = materialise(row_keyed(docs.select(key, text), key, text).select("_rk").distinct())
+    order = [F.col("_rk.k").asc_nulls_first(), F.col("_rk.h")]
+    numbers = materialise(keys.orderBy(*order).select("_rk", F.monotonically_increasing_id().alias("doc")))
+    copies = materialise(numbers.groupBy(F.col("_rk.h").alias("h")).agg(F.min("doc").alias("head"), F.max("doc").alias("last")).where("head != last"))
+    joined = numbers.join(if_few(copies), F.col("_rk.h") == F.col("h"), "left")
+    out = materialise(joined.select("_rk", "doc", F.coalesce("head", "doc").alias("head"), F.coalesce("last", "doc").alias("last")))
+    forget(keys, numbers, copies)
+    return out
 
 
-def repeats(docs: DataFrame, key: str, text: str, *, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
-    """_rk, doc, words (of the document), line, content, w0, w1, keeper (of _rk and w0), removed: every repeat."""
-    found = materialise(units(row_keyed(docs.select(key, text), key, text), text, least=least))
-    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("body")).select(F.xxhash64("body").alias("content"), "body")
+def members(docs: DataFrame, numbers: DataFrame, key: str, text: str, *, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
+    """doc, words, u (line, content, w0, w1, low): the repeats of each text that has some, of equal texts those of the first.
+
+    content: the cluster; low: the first document of it.
+    """
+    gram = sizes(least)[0]
+    heads = numbers.where("doc = head").select("_rk", "doc", "last")
+    # A text waits where it is; what it is called comes to it.
+    texts = row_keyed(docs.select(key, text), key, text).join(if_few(heads), "_rk").select("doc", "last", F.col(text).alias("text"))
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("body")).select(F.xxhash64("body").alias("content"), "body")
     roots = clusters(lines, BANDS, ROWS, similarity=similarity)
-    # Most paragraphs are alone; only those that repeat or have a root go on. Minima are aggregated before they are
-    # shuffled, and the names of repeats are joined as a table of their own, which Spark may broadcast or split.
-    every = found.select("doc", F.explode("u").alias("u")).select("doc", "u.*")
-    again = every.groupBy("content", "check").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select("content", "check")
-    alike = roots.select("content", F.lit(-1).alias("check"), "root")
-    wanted = materialise(again.join(alike, ["content", "check"], "full_outer").select("content", "check", F.coalesce("root", "content").alias("cluster")))
-    named = materialise(every.join(if_few(wanted), ["content", "check"]))
-    by = ["check", "cluster"]
-    members = materialise(named.join(found.select("doc", "_rk", "words").distinct(), "doc").select("_rk", "doc", "words", "check", "cluster", "w0", "w1"))
-    keepers = materialise(members.groupBy(*by).agg(F.min(F.struct("_rk", "w0")).alias("keeper"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low != high").select(*by, "keeper"))
-    flags = [(F.col("check") == -1).alias("line"), F.col("cluster").alias("content"), "w0", "w1", "keeper", (F.struct("_rk", "w0") != F.col("keeper")).alias("removed")]
-    out = materialise(members.join(keepers, by).select("_rk", "doc", "words", *flags).distinct())
-    forget(found, wanted, named, members, keepers)
+    sweep(docs.sparkSession)
+    found = materialise(units(texts, least=least))
+    grams = found.select("doc", "last", "words", F.explode("grams").alias("u")).select("doc", "last", "words", "u.*")
+    rows = found.select("doc", "last", "words", F.explode("lines").alias("u")).select("doc", "last", "words", "u.*")
+    ends = [F.min("doc").alias("low"), F.max("last").alias("high")]
+    # Most paragraphs are alone; only those that repeat or have a root go on. Minima are aggregated before they are shuffled.
+    again = materialise(grams.groupBy("content", "check").agg(*ends).where("low != high").select("content", "check", "low"))
+    plain = rows.groupBy("content").agg(*ends).join(if_few(roots), "content", "left")
+    named = materialise(plain.where("root IS NOT NULL OR low != high"))
+    rooted = materialise(named.where("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("root", "low"))
+    alike = named.drop("low", "high").join(if_few(rooted), "root").select("content", F.col("root").alias("cluster"), "low")
+    lined = materialise(named.where("root IS NULL").select("content", F.col("content").alias("cluster"), "low").unionByName(alike))
+    sweep(docs.sparkSession)
+    ours = ["doc", "words", "w0", "w1", "low"]
+    inner = grams.drop("last").join(again.hint("shuffle_hash"), ["content", "check"]).withColumn("w1", F.least(F.col("w0") + gram, "words")).select(F.lit(False).alias("line"), "content", *ours)
+    whole = rows.drop("last").join(lined.hint("shuffle_hash"), "content").select(F.lit(True).alias("line"), F.col("cluster").alias("content"), *ours)
+    out = materialise(inner.unionByName(whole).groupBy("doc", "words").agg(F.collect_list(F.struct("line", "content", "w0", "w1", "low")).alias("u")))
+    forget(found, again, named, rooted, lined)
+    sweep(docs.sparkSession)
     return out
 
 
-def sides(h: np.ndarray, content: np.ndarray, w0: np.ndarray, w1: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each gram its left, then for each its right side: hashes of it with 0, 1, ... ``most`` words more.
+def repeats(docs: DataFrame, key: str, text: str, *, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
+    """_rk, words (of the document), line, content, w0, w1, keeper (_rk), removed: every repeat of every document."""
+    numbers = numbered(docs, key, text)
+    found = _asking(members(docs, numbers, key, text, similarity=similarity, least=least), least=least, every=True)
+    flat = found.select(F.col("doc").alias("head"), "words", F.explode("u").alias("u")).select("head", "words", "u.*")
+    keepers = numbers.select(F.col("doc").alias("low"), F.struct("_rk").alias("keeper"))
+    gone = (F.col("removed") | (F.col("doc") != F.col("head"))).alias("removed")
+    return flat.join(numbers, "head").join(keepers, "low").select("_rk", "words", "line", "content", "w0", "w1", "keeper", gone)
 
-    Also how many of these the text has, and at which words they end.
-    """
-    runs, k = Runs(h), np.arange(most + 1)
-    left, right = w0[:, None] - k, w1[:, None] + k
-    full = np.concatenate([left >= 0, right <= len(h)])
-    edge = np.concatenate([np.maximum(left, 0), np.minimum(right, len(h))])
-    to = np.concatenate([w0, w1])[:, None] + np.zeros_like(edge)
-    more = runs.of(np.minimum(edge, to), np.maximum(edge, to))
-    side = np.repeat(np.array([1, 2], dtype=np.uint64), len(w0))
-    own = mix(np.tile(content.view(np.uint64), 2) * np.uint64(3) + side)
-    return mix(more + own[:, None]), full.sum(axis=1), edge
 
+def _chained(group: np.ndarray, w0: np.ndarray, w1: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by group, w0, w1 and ``more``, and where in it those begin that neither overlap nor touch what is before."""
+    order = np.lexsort((*more[::-1], w1, w0, group))
+    shift = group[order].astype(np.int64) << 32
+    reach = np.maximum.accumulate(w1[order] + shift)
+    return order, np.flatnonzero(np.append(True, (w0[order] + shift)[1:] > reach[:-1]))
 
-def contexts(asked: DataFrame, most: int) -> DataFrame:
-    """more (hashes of a gram with 0, 1, ... words more on one side), doc: of the sides that ``asked`` (doc, text, req) asks for."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                req = batch.column("req")[k].values
-                flat = lambda c: req.field(c).to_numpy(zero_copy_only=False)
-                inner = np.flatnonzero(flat("ask_left") | flat("ask_right"))
-                if not len(inner):
-                    continue
-                of = {c: flat(c)[inner] for c in ("content", "w0", "w1")}
-                hashes, counts, _ = sides(words(batch.column("text")[k].as_py().encode())[2], of["content"], of["w0"], of["w1"], most)
-                asks = np.flatnonzero(np.concatenate([flat("ask_left")[inner], flat("ask_right")[inner]]))
-                hashes, counts = hashes[asks], counts[asks]
-                # Repeated grams of one text with equal contexts count once.
-                _, once = np.unique(np.stack([hashes[:, 0], hashes[np.arange(len(hashes)), counts - 1]]), axis=1, return_index=True)
-                hashes, counts = hashes[once], counts[once]
-                listed = _listed(pa.array(hashes[np.arange(most + 1) < counts[:, None]].view(np.int64)), counts)
-                yield pa.RecordBatch.from_arrays([listed, pa.array(np.full(len(once), batch.column("doc")[k].as_py()))], names=["more", "doc"])
+def _extent(order: np.ndarray, start: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each member the ends of its chain."""
+    low, high = np.empty_like(w0), np.empty_like(w1)
+    counts = np.diff(np.append(start, len(order)))
+    low[order] = np.repeat(np.minimum.reduceat(w0[order], start), counts)
+    high[order] = np.repeat(np.maximum.reduceat(w1[order], start), counts)
+    return low, high
 
-    return asked.select("doc", "text", "req").mapInArrow(run, "more array<bigint>, doc long")
 
+def _flat(lists: pa.ListArray, *names: str) -> tuple[np.ndarray, ...]:
+    """Whose each member is, and its fields."""
+    values = lists.flatten()
+    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    return (np.repeat(np.arange(len(lists)), counts), *(values.field(c).to_numpy(zero_copy_only=False) for c in names))
 
-def spread(asked: DataFrame, most: int) -> DataFrame:
-    """_rk, words, keeper, removed, w0, w1, start, end, left, full, edges, places: each repeat of ``asked``, and again for each
-    side of it that lacks words.
 
-    full: the hash of the gram with all words of its context on the side; edges and places: words and code points that
-    end the gram and 1, 2, ... words more. Repeats by themselves have no such.
-    """
-    kinds = {f.name: f.dataType.simpleString() for f in asked.schema["req"].dataType.elementType.fields}
-    ours = "w0 int, w1 int, start int, end int, left boolean, full long, edges array<int>, places array<int>"
-    schema = f"_rk {asked.schema['_rk'].dataType.simpleString()}, words int, keeper {kinds['keeper']}, removed boolean, {ours}"
+def _asking(found: DataFrame, *, least: int = LEAST, every: bool = False) -> DataFrame:
+    """doc, words, u: the repeats, once each, with what they need and whether they are to be removed.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                raw, req = batch.column("text")[k].as_py().encode(), batch.column("req")[k].values
-                begin, stop, h = words(raw)
-                point = np.cumsum(np.frombuffer(raw, dtype=np.uint8) & 0xC0 != 0x80) - 1  # the code point of each byte
-                first, last = point[begin], point[stop - 1] + 1
-                of = {c: req.field(c).to_numpy(zero_copy_only=False) for c in ("content", "w0", "w1", "need_left", "need_right")}
-                inner = np.flatnonzero(of["need_left"] | of["need_right"])
-                hashes, counts, edge = sides(h, of["content"][inner], of["w0"][inner], of["w1"][inner], most)
-                needs = np.flatnonzero(np.concatenate([of["need_left"][inner], of["need_right"][inner]]))
-                left = needs < len(inner)
-                hashes, counts, edge = hashes[needs], counts[needs], edge[needs]
-                place = np.where(left[:, None], first[edge.clip(max=len(h) - 1)], last[(edge - 1).clip(min=0)])
-                plain = np.arange(len(of["w0"]))
-                at = np.concatenate([plain, np.tile(inner, 2)[needs]])
-                full = np.concatenate([np.zeros(len(plain), np.int64), hashes[np.arange(len(hashes)), counts - 1].view(np.int64)])
-                nested = np.concatenate([np.zeros(len(plain), np.int64), counts])
-                kept = np.arange(most + 1) < counts[:, None]
-                rows = pa.array(np.full(len(at), k))
-                taken = req.take(pa.array(at))
-                ends = [first[of["w0"][at]], last[of["w1"][at] - 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_rk").take(rows), batch.column("words").take(rows), taken.field("keeper"), taken.field("removed"), taken.field("w0"), taken.field("w1")]
-                    + [pa.array(x.astype(np.int32)) for x in ends] + [pa.array(np.concatenate([np.zeros(len(plain), bool), left])), pa.array(full)] + [_listed(pa.array(x[kept].astype(np.int32)), nested) for x in (edge, place)],
-                    names=["_rk", "words", "keeper", "removed", "w0", "w1", "start", "end", "left", "full", "edges", "places"],
-                )
-
-    return asked.select("_rk", "text", "words", "req").mapInArrow(run, schema)
-
-
-def _chained(rows: DataFrame, *by: str) -> DataFrame:
-    """run: the same number for repeats of a document that overlap or touch. A document's repeats are in one window."""
-    order = Window.partitionBy(*by).orderBy("w0", "w1")
-    before = F.max("w1").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("_new", F.when(F.col("w0") <= before, 0).otherwise(1)).withColumn("run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-
-
-def asking(found: DataFrame, most: int) -> DataFrame:
-    """_rk, doc, words, req: a document's repeats in one row; need: grams beside which words within ``most`` are in no repeat.
-
-    ask: grams of equal words, of which some occurrence needs the words beside it. Inside long repeats no gram does.
+    need: grams beside which words within ``most`` are in no repeat. Lines that cannot be in a passage, as they are short
+    and meet nothing else, even if grams grow by all that they need, are left out unless ``every`` repeat is asked for.
     """
-    whole = Window.partitionBy("_rk", "run")
-    ends = [F.min("w0").over(whole).alias("low"), F.max("w1").over(whole).alias("high")]
-    chained = _chained(found, "_rk").select("*", *ends).drop("run")
-    need_left = ~F.col("line") & (F.col("low") > 0) & (F.col("w0") - most < F.col("low"))
-    need_right = ~F.col("line") & (F.col("high") < F.col("words")) & (F.col("w1") + most > F.col("high"))
-    needed = materialise(chained.withColumns({"need_left": need_left, "need_right": need_right}).drop("low", "high"))
-    asks = materialise(needed.where("need_left OR need_right").groupBy("content").agg(F.max("need_left").alias("ask_left"), F.max("need_right").alias("ask_right")))
-    fields = ["content", "w0", "w1", "line", "keeper", "removed", "need_left", "need_right", *[(~F.col("line") & F.coalesce(c, F.lit(False))).alias(c) for c in ("ask_left", "ask_right")]]
-    out = materialise(needed.join(if_few(asks), "content", "left").groupBy("_rk", "doc", "words").agg(F.collect_list(F.struct(*fields)).alias("req")))
-    forget(needed, asks)
-    return out
+    most = sizes(least)[1] - 1
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in taken(batches):
+            owner, line, content, w0, w1, low = _flat(batch.column("u"), "line", "content", "w0", "w1", "low")
+            order = np.lexsort((w1, w0, content, line, owner))
+            owner, line, content, w0, w1, low = (x[order] for x in (owner, line, content, w0, w1, low))
+            same = np.append(False, (owner[1:] == owner[:-1]) & (line[1:] == line[:-1]) & (content[1:] == content[:-1]))
+            once = ~(same & np.append(False, (w0[1:] == w0[:-1]) & (w1[1:] == w1[:-1])))
+            doc = batch.column("doc").to_numpy(zero_copy_only=False)
+            removed = same | (low != doc[owner])
+            owner, line, content, w0, w1, low, removed = (x[once] for x in (owner, line, content, w0, w1, low, removed))
+            end = batch.column("words").to_numpy(zero_copy_only=False)[owner]
+            at, to = _extent(*_chained(owner, w0, w1), w0, w1)
+            left, right = ~line & (at > 0) & (w0 - most < at), ~line & (to < end) & (w1 + most > to)
+            a, b = np.where(left, np.maximum(w0 - most, 0), w0), np.where(right, np.minimum(w1 + most, end), w1)
+            order, start = _chained(owner, a, b)
+            at, to = _extent(order, start, a, b)
+            inner = np.empty(len(order), dtype=bool)
+            inner[order] = np.repeat(np.logical_or.reduceat(~line[order], start), np.diff(np.append(start, len(order))))
+            kept = every | inner | (to - at >= least) | (to - at == end)
+            counts = np.bincount(owner[kept], minlength=batch.num_rows)
+            rows = np.flatnonzero(counts)
+            fields = {"line": line, "content": content, "w0": w0, "w1": w1, "low": low, "removed": removed, "need_left": left, "need_right": right}
+            listed = _structs(counts[rows], **{c: x[kept] for c, x in fields.items()})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(rows)) for c in ("doc", "words")), listed], names=["doc", "words", "u"])
+
+    u = "array<struct<line:boolean,content:long,w0:int,w1:int,low:long,removed:boolean,need_left:boolean,need_right:boolean>>"
+    return found.mapInArrow(run, f"doc long, words int, u {u}")
+
+
+def _contexts(asked: DataFrame, most: int) -> DataFrame:
+    """more (hashes of a gram with 0, 1, ... ``most`` words more on one side), doc, last, left, needs (w0 of the grams of the
+    text that need it): of the sides that ``asked`` (doc, last, text, u) asks for."""
 
-def extended(docs: DataFrame, key: str, text: str, found: DataFrame, *, least: int = LEAST) -> DataFrame:
-    """_rk, words, keeper, removed, w0, w1, start, end: the repeats, grams also with the words beside them that repeat too."""
-    most = sizes(least)[1] - 1
-    req = asking(found, most)
-    texts = row_keyed(docs.select(key, text), key, text).select("_rk", F.col(text).alias("text"))
-    of = lambda rows: texts.join(if_few(materialise(rows.select("_rk"))), "_rk", "left_semi").join(rows, "_rk")
-    asked = of(req.where(F.exists("req", lambda r: r["ask_left"] | r["ask_right"])))
-    whole = materialise(contexts(asked, most).groupBy("more").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in taken(batches):
+            for rows, texts in _parts(batch.column("text")):
+                of = Texts(texts)
+                runs, k = Runs(of.h), np.arange(most + 1)
+                fields = ("content", "w0", "w1", "ask_left", "ask_right", "need_left", "need_right")
+                owner, content, w0, w1, ask_left, ask_right, need_left, need_right = _flat(batch.column("u").take(pa.array(rows)), *fields)
+                asks = np.concatenate([np.flatnonzero(ask_left), len(w0) + np.flatnonzero(ask_right)])
+                if not len(asks):
+                    continue
+                of_left = asks < len(w0)
+                gram = asks % len(w0)
+                need = np.where(of_left, need_left[gram], need_right[gram])
+                owner, first, last, start = owner[gram], of.base[owner[gram]], of.base[owner[gram] + 1], w0[gram]
+                to = first + np.where(of_left, w0[gram], w1[gram])
+                edge = to[:, None] + np.where(of_left, -1, 1)[:, None] * k
+                counts = ((edge >= first[:, None]) & (edge <= last[:, None])).sum(axis=1)
+                edge = np.clip(edge, first[:, None], last[:, None])
+                own = mix(content[gram].view(np.uint64) * np.uint64(3) + np.where(of_left, np.uint64(1), np.uint64(2)))
+                more = mix(runs.of(np.minimum(edge, to[:, None]), np.maximum(edge, to[:, None])) + own[:, None])
+                # Repeated grams of one text with equal contexts count once.
+                full = more[np.arange(len(more)), counts - 1]
+                order = np.lexsort((start, full, more[:, 0], owner))
+                new = np.append(True, (np.diff(owner[order]) != 0) | (full[order][1:] != full[order][:-1]) | (more[order, 0][1:] != more[order, 0][:-1]))
+                group, once = np.cumsum(new) - 1, order[new]
+                wanted = need[order]
+                listed = _listed(pa.array(start[order][wanted].astype(np.int32)), np.bincount(group[wanted], minlength=len(once)))
+                hashes = _listed(pa.array(more[once][k < counts[once][:, None]].view(np.int64)), counts[once])
+                names = [batch.column(c).take(pa.array(rows[owner[once]])) for c in ("doc", "last")]
+                yield pa.RecordBatch.from_arrays([hashes, *names, pa.array(of_left[once]), listed], names=["more", "doc", "last", "left", "needs"])
+
+    return asked.select("doc", "last", "text", "u").mapInArrow(run, "more array<bigint>, doc long, last long, left boolean, needs array<int>")
+
+
+def _growth(asked: DataFrame, most: int) -> DataFrame:
+    """doc, grown (w0, left, n): words by which grams grow on a side, where these are fewer than ``most`` and the text has."""
+    seen = materialise(_contexts(asked, most))
+    whole = materialise(seen.groupBy("more").agg(F.min("doc").alias("low"), F.max("last").alias("high")))
     # Only where some context is in one document alone can it share a part of another one.
     part = materialise(whole.where("low = high").select(F.col("more")[0].alias("gram")).distinct())
     here = whole.join(if_few(part), F.col("more")[0] == F.col("gram"), "left_semi")
     steps = here.select(F.element_at("more", -1).alias("full"), (F.col("low") == F.col("high")).alias("alone"), "low", "high", F.posexplode("more").alias("n", "step"))
     shared = materialise(steps.groupBy("step").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("step"))
     lengths = materialise(steps.where("alone").select("full", "n", "step").join(if_few(shared), "step", "left_semi").groupBy("full").agg(F.max("n").alias("n")))
-    placed = spread(of(req), most).join(if_few(lengths), "full", "left")
-    # A context that is not alone repeats in full.
-    far = lambda c: F.element_at(c, F.coalesce(F.col("n") + 1, F.lit(-1)))
-    pick = lambda own, c, left: F.when((F.size("edges") > 0) & (F.col("left") == left), far(c)).otherwise(F.col(own)).alias(own)
-    columns = [pick("w0", "edges", True), pick("w1", "edges", False), pick("start", "places", True), pick("end", "places", False)]
-    out = materialise(placed.select("_rk", "words", "keeper", "removed", *columns).distinct())
-    forget(found, req, whole, part, shared, lengths)
+    needs = seen.where(F.size("needs") > 0).select("doc", "left", F.element_at("more", -1).alias("full"), F.explode("needs").alias("w0"))
+    out = materialise(needs.join(if_few(lengths), "full").groupBy("doc").agg(F.collect_list(F.struct("w0", "left", "n")).alias("grown")))
+    forget(seen, whole, part, shared, lengths)
     return out
 
 
-def passages(found: DataFrame, *, least: int = LEAST) -> DataFrame:
-    """_rk, start, end, words, keeper (of the first repeat in it), removed: repeats that overlap or touch as one span each.
+def _spans(asked: DataFrame, *, least: int = LEAST) -> DataFrame:
+    """doc, start, end, words, low, removed, whole: passages of ``asked`` (doc, last, text, words, u, grown).
 
-    Spans of repeats to keep and to remove are told apart after those of fewer than ``least`` words, but for whole
-    documents, have gone. A document's repeats, some twice as many as its paragraphs at most, are in one window.
+    Grams are repeats with the words beside them, too, as far as these repeat. Spans of repeats to keep and to remove are
+    told apart after those of fewer than ``least`` words, but for whole documents, have gone. whole: what holds for each
+    further document of the same text.
     """
+    most = sizes(least)[1] - 1
 
-    whole = Window.partitionBy("_rk", "run")
-    size = F.max("w1").over(whole) - F.min("w0").over(whole)
-    long = _chained(found, "_rk").withColumn("size", size).where((F.col("size") >= least) | (F.col("size") == F.col("words"))).drop("run", "size")
-    first = F.min_by("keeper", F.struct("w0", "w1", "keeper"))["_rk"].alias("keeper")
-    spans = _chained(long, "_rk", "removed").groupBy("_rk", "removed", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), (F.max("w1") - F.min("w0")).alias("words"), first)
-    return spans.select("_rk", "start", "end", "words", "keeper", "removed")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in taken(batches):
+            for rows, texts in _parts(batch.column("text")):
+                of, at = Texts(texts), pa.array(rows)
+                total = np.diff(of.base)
+                owner, line, w0, w1, low, removed, left, right = _flat(batch.column("u").take(at), "line", "w0", "w1", "low", "removed", "need_left", "need_right")
+                less = np.where(left, np.minimum(most, w0), 0)
+                more = np.where(right, np.minimum(most, total[owner] - w1), 0)
+                whose, grown, of_left, n = _flat(batch.column("grown").take(at), "w0", "left", "n")
+                grams = np.flatnonzero(~line)
+                key = (owner[grams].astype(np.int64) << 32) + w0[grams]
+                order = np.argsort(key)
+                hit = grams[order][np.searchsorted(key[order], (whose.astype(np.int64) << 32) + grown)] if len(whose) else grams[:0]
+                less[hit[of_left.astype(bool)]] = n[of_left.astype(bool)]
+                more[hit[~of_left.astype(bool)]] = n[~of_left.astype(bool)]
+                own = np.concatenate([np.arange(len(w0)), np.flatnonzero(less), np.flatnonzero(more)])
+                by = np.repeat([0, 1, 2], [len(w0), np.count_nonzero(less), np.count_nonzero(more)])
+                owner, low, removed = owner[own], low[own], removed[own]
+                w0, w1 = w0[own] - np.where(by == 1, less[own], 0), w1[own] + np.where(by == 2, more[own], 0)
+                a, b = _extent(*_chained(owner, w0, w1), w0, w1)
+                kept = (b - a >= least) | (b - a == total[owner])
+                owner, low, removed, w0, w1 = (x[kept] for x in (owner, low, removed, w0, w1))
+                if not len(owner):
+                    continue
+                order, start = _chained(2 * owner + removed, w0, w1, low)
+                a, b = np.minimum.reduceat(w0[order], start), np.maximum.reduceat(w1[order], start)
+                whose, keeper, gone = owner[order][start], low[order][start], removed[order][start]
+                # All of a text that others equal is a passage; it begins with its first repeat.
+                names = [batch.column(c).take(at).to_numpy(zero_copy_only=False) for c in ("doc", "last")]
+                order, _ = _chained(owner, w0, w1, low)
+                head = np.flatnonzero(np.append(True, np.diff(owner[order]) != 0))
+                head = head[(names[0] != names[1])[owner[order][head]]]
+                copied = owner[order][head]
+                whose, keeper = np.concatenate([whose, copied]), np.concatenate([keeper, low[order][head]])
+                gone, whole = np.append(gone, np.ones(len(copied), bool)).astype(bool), np.repeat([False, True], [len(gone), len(copied)])
+                a, b = np.append(a, np.zeros(len(copied), a.dtype)), np.append(b, total[copied])
+                first, last = of.places(whose, a, b)
+                columns = [names[0][whose], *(x.astype(np.int32) for x in (first, last, b - a)), keeper, gone, whole]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["doc", "start", "end", "words", "low", "removed", "whole"])
+
+    return asked.select("doc", "last", "text", "words", "u", "grown").mapInArrow(run, "doc long, start int, end int, words int, low long, removed boolean, whole boolean")
+
+
+def passages(docs: DataFrame, key: str, text: str, *, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
+    """_rk, start, end, words, keeper (_rk of the first repeat in it), removed: repeats that overlap or touch as one span each."""
+    most = sizes(least)[1] - 1
+    numbers = numbered(docs, key, text)
+    found = members(docs, numbers, key, text, similarity=similarity, least=least)
+    asking = materialise(_asking(found, least=least))
+    texts = row_keyed(docs.select(key, text), key, text).select("_rk", F.col(text).alias("text"))
+    few = if_few(numbers)
+
+    def of(rows: DataFrame) -> DataFrame:
+        named = rows.join(few.select("_rk", "doc", "last"), "doc")
+        return texts.join(if_few(materialise(named.select("_rk"))), "_rk", "left_semi").join(named, "_rk")
+
+    flat = asking.select("doc", F.explode("u").alias("u")).select("doc", "u.content", "u.w0", "u.w1", "u.line", "u.need_left", "u.need_right").where("NOT line")
+    asks = materialise(flat.where("need_left OR need_right").groupBy("content").agg(F.max("need_left").alias("ask_left"), F.max("need_right").alias("ask_right")))
+    fields = ["content", "w0", "w1", "need_left", "need_right", "ask_left", "ask_right"]
+    asked = materialise(flat.join(if_few(asks), "content").groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias("u")))
+    grown = _growth(of(asked), most)
+    spans = materialise(_spans(of(asking.join(grown, "doc", "left")), least=least).distinct())
+    ours = F.col("whole") == (F.col("n.doc") != F.col("n.head"))
+    one = spans.withColumnRenamed("doc", "head").join(numbers.alias("n"), "head").where(ours).select("n._rk", "start", "end", "words", "low", "removed")
+    keepers = numbers.select(F.col("doc").alias("low"), F.col("_rk").alias("keeper"))
+    out = materialise(one.join(keepers, "low").select("_rk", "start", "end", "words", "keeper", "removed"))
+    forget(found, asking, asks, asked, grown, spans)
+    return out
 
 
 def query(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
-    found = passages(extended(docs, "doc_id", "text", repeats(docs, "doc_id", "text", least=least), least=least), least=least)
+    found = passages(docs, "doc_id", "text", least=least)
     return found.select(F.col("_rk.k").alias("doc_id"), "start", "end", "words", F.col("keeper.k").alias("kept_doc_id"), "removed")
