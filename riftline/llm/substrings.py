@@ -151,13 +151,13 @@ def _parts(column: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         yield np.array(rows), texts
 
 
-def units(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
-    """doc, last, words, grams, lines: a row for each text of ``docs`` (doc, last, text) with a word."""
+def units(keyed: DataFrame, text: str, *, least: int = LEAST) -> DataFrame:
+    """_rk, words, grams, lines: a row for each text with a word."""
     gram, window = sizes(least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in taken(batches):
-            for rows, texts in _parts(batch.column(2)):
+            for rows, texts in _parts(batch.column(1)):
                 of = Texts(texts)
                 filled = np.flatnonzero(np.diff(of.base))
                 if not len(filled):
@@ -179,11 +179,11 @@ def units(docs: DataFrame, *, least: int = LEAST) -> DataFrame:
                 hashed = np.array([xxh64_intdigest(of.raw[a:b], 42) for a, b in zip(heads[has].tolist(), feet[has].tolist(), strict=True)], dtype=np.uint64)
                 whose = np.searchsorted(base, l0, "right") - 1
                 lines = _structs(np.bincount(whose, minlength=len(filled)), content=hashed.view(np.int64), w0=(l0 - base[whose]).astype(np.int32), w1=(l1 - base[whose]).astype(np.int32))
-                names = [batch.column(k).take(pa.array(rows[filled])) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*names, pa.array(n.astype(np.int32)), grams, lines], names=["doc", "last", "words", "grams", "lines"])
+                name = batch.column(0).take(pa.array(rows[filled]))
+                yield pa.RecordBatch.from_arrays([name, pa.array(n.astype(np.int32)), grams, lines], names=["_rk", "words", "grams", "lines"])
 
-    schema = "doc long, last long, words int, grams array<struct<content:long,check:int,w0:int>>, lines array<struct<content:long,w0:int,w1:int>>"
-    return docs.select("doc", "last", "text").mapInArrow(run, schema)
+    listed = "grams array<struct<content:long,check:int,w0:int>>, lines array<struct<content:long,w0:int,w1:int>>"
+    return keyed.select("_rk", text).mapInArrow(run, f"_rk {keyed.schema['_rk'].dataType.simpleString()}, words int, {listed}")
 
 
 def numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -205,12 +205,12 @@ def members(docs: DataFrame, numbers: DataFrame, key: str, text: str, *, similar
     """
     gram = sizes(least)[0]
     heads = numbers.where("doc = head").select("_rk", "doc", "last")
-    # A text waits where it is; what it is called comes to it.
-    texts = row_keyed(docs.select(key, text), key, text).join(if_few(heads), "_rk").select("doc", "last", F.col(text).alias("text"))
-    lines = texts.select(F.explode(F.split("text", "\n")).alias("body")).select(F.xxhash64("body").alias("content"), "body")
+    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("body")).select(F.xxhash64("body").alias("content"), "body")
     roots = clusters(lines, BANDS, ROWS, similarity=similarity)
     sweep(docs.sparkSession)
-    found = materialise(units(texts, least=least))
+    # However many documents there are, no text is shuffled to meet its number.
+    keyed = row_keyed(docs.select(key, text), key, text)
+    found = materialise(units(keyed, text, least=least).join(if_few(heads), "_rk").drop("_rk"))
     grams = found.select("doc", "last", "words", F.explode("grams").alias("u")).select("doc", "last", "words", "u.*")
     rows = found.select("doc", "last", "words", F.explode("lines").alias("u")).select("doc", "last", "words", "u.*")
     ends = [F.min("doc").alias("low"), F.max("last").alias("high")]
