@@ -28,8 +28,9 @@ from riftline.llm.shingles import LOWER, SHINGLE, SKETCH, banded, shingle_sets,
 SIMILARITY = 0.8
 #: A pivot of a bucket is its least content after such a word is added bit by bit.
 ORDERS = (0, 0x5555555555555555, 0x3333333333333333)
-#: Times that texts are looked up in the commonest component, at most; the join after that is exact in any case.
-ROUNDS = 4
+#: Times that texts are looked up in the commonest component, at most; the join after that is exact in any case. A lookup
+#: that finds less than one in ``HITS`` of the rows it looks up is the last: no more than a few pairs are left to the join.
+ROUNDS, HITS = 4, 100
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -89,7 +90,7 @@ def clusters(bodies: DataFrame, bands: int, rows: int, *, similarity: float = SI
     if more is not None:
         stars = stars.unionByName(more.select(F.col("a").alias("content"), F.col("b").alias("pivot")))
     star = stars.join(sketch, "content").join(named("pivot"), "pivot").where(close).select(F.col("content").alias("a"), F.col("pivot").alias("b"))
-    first = materialise(components(_verified(star, texts, similarity), "a", "b").withColumnsRenamed({"node": "content", "component": "root"}))
+    first = components(_verified(star, texts, similarity), "a", "b").withColumnsRenamed({"node": "content", "component": "root"})
     # In a bucket of two a pivot has met the other; in larger ones, contents beside the commonest root meet all.
     wide = materialise(shared.groupBy("band").agg(F.count(F.lit(1)).alias("c")).where("c > 2").select("band"))
     many = materialise(shared.join(wide, "band", "left_semi").select("band", "content"))
@@ -99,28 +100,36 @@ def clusters(bodies: DataFrame, bands: int, rows: int, *, similarity: float = SI
     alike = close & (both >= (F.size("s") + F.size("t") - both) * similarity)
     renamed = {"content": "other", "root": "other_root", "x": "y", "m": "n", "s": "t"}
     edges = first.select(F.col("content").alias("a"), F.col("root").alias("b"))
-    roots = first
+    open_, few = _open(many.join(first, "content", "left").select("band", "content", F.coalesce("root", "content").alias("root")))
     for _ in range(ROUNDS):
-        open_, few = _open(many, roots)
         near = open_.where("root = common").join(sets, "content").select("band", "x", "m", "s")
-        hits = materialise(few.join(sets, "content").withColumnsRenamed(renamed).join(near, (few["band"] == near["band"]) & alike, "left_semi").select(F.col("other").alias("a"), F.col("common").alias("b")).distinct())
-        if hits.isEmpty():
+        hits = materialise(few.join(sets, "content").withColumnsRenamed(renamed).join(near, (few["band"] == near["band"]) & alike, "left_semi").select("other", F.col("other_root").alias("a"), F.col("common").alias("b")).distinct())
+        n = hits.count()
+        if not n:
+            break
+        last = n * HITS < few.count()
+        # Only roots have to meet; bands of one root have no rows here and stay so.
+        met = components(hits, "a", "b")
+        edges = edges.unionByName(met.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        rooted = open_.join(met, open_["root"] == met["node"], "left").select("band", "content", F.coalesce("component", "root").alias("root"))
+        before, (open_, few) = open_, _open(rooted)
+        forget(hits, before)
+        if last:
             break
-        edges = edges.unionByName(hits)
-        roots = materialise(components(edges, "a", "b").withColumnsRenamed({"node": "content", "component": "root"}))
-    open_, few = _open(many, roots)
     # Both of the few meet twice; the smaller content looks.
     once = (F.col("root") == F.col("common")) | (F.col("content") < F.col("other"))
     rest = few.drop("common").join(sets, "content").withColumnsRenamed(renamed).join(open_.join(sets, "content"), "band").where((F.col("root") != F.col("other_root")) & once & alike).select(F.col("content").alias("a"), F.col("other").alias("b"))
-    found = materialise(components(edges.unionByName(_verified(rest, texts, similarity)), "a", "b").withColumnsRenamed({"node": "content", "component": "root"}))
-    forget(texts, sketch, many, sets)
+    found = components(edges.unionByName(_verified(rest, texts, similarity)), "a", "b").withColumnsRenamed({"node": "content", "component": "root"})
+    forget(texts, sketch, many, sets, open_)
     return found
 
 
-def _open(many: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """band, content, root, common (the commonest root of the band) of bands with several roots; and rows of other roots."""
-    rooted = materialise(many.join(roots, "content", "left").select("band", "content", F.coalesce("root", "content").alias("root")))
+def _open(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """band, content, root, common (the commonest root of the band) of bands with several roots, of rows (band, content,
+    root); and those of other roots."""
+    rooted = materialise(rows)
     common = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("band").agg(F.max_by("root", F.struct("c", "root")).alias("common"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band", "common")
-    open_ = materialise(rooted.join(materialise(common), "band"))
-    forget(rooted)
+    named = materialise(common)
+    open_ = materialise(rooted.join(named, "band"))
+    forget(rooted, named)
     return open_, open_.where("root != common")
