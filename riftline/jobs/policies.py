@@ -96,8 +96,8 @@ def guides_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_payloads(spark: SparkSession, sf_dir: str, *forms: str) -> DataFrame:
-    """id, payload: one of the forms an event, with its type for T and its number for N."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    """id, payload: one of the forms an event, with its type for T and its number for N; dealt out while small, as reading payloads takes long."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type").repartition("event_id")
     filled = F.replace(F.replace(F.get(F.array(*map(F.lit, forms)), (F.col("event_id") % len(forms)).cast("int")), F.lit("<T>"), F.col("event_type")), F.lit("<N>"), F.col("event_id").cast("string"))
     return events.select(F.col("event_id").alias("id"), filled.alias("payload"))
 
@@ -133,9 +133,9 @@ def graph_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         '{"changes": [{"name": "f", "callers": ["z"]}, {"id": "k", "caller_count": 9, "data": {"cyclomatic": "12", "docStale": true}, "is_reachable": "true"}, {"name": "f", "callers": ["a", {"name": "b"}], "reachable": true, "complexity": 3.5, "untested": ["g1", {"file": "<T>", "line": 2}]}, {"callers": []}], "staleDocs": [{"symbol": "<T>", "path": "file://x.md", "reason": "old"}, {}], "commitHint": "fix: <N>"}',
         '{"changes": []}',
     )
-    notes = payloads.change_notes(made, "id", "payload").select("id", F.array_join(F.transform("stale", lambda d: F.concat_ws("|", d["symbol"], d["file"], d["note"])), " ").alias("stale"), "commit_hint")
-    found = payloads.changes(made, "id", "payload").select("id", "symbol", "caller_count", "reachable", "complexity", "stale_doc", payloads.shown(F.col("test_gaps")).alias("gaps"))
-    return found.join(notes, "id")
+    stale = F.array_join(F.transform("stale", lambda d: F.concat_ws("|", d["symbol"], d["file"], d["note"])), " ")
+    found = payloads.changes(made, "id", "payload")
+    return found.select("id", "symbol", "caller_count", "reachable", "complexity", "stale_doc", payloads.shown(F.col("test_gaps")).alias("gaps"), stale.alias("stale"), "commit_hint")
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN '[' || props || ',"]"]' WHEN 3 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS value FROM events""")

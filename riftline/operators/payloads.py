@@ -5,7 +5,7 @@ A payload that is no JSON object gives nulls and empty lists; the first name wit
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,29 +37,44 @@ NAMED = ("symbol", "name", "function", "qualified_name", "qualifiedName", "id")
 DOCS = ("stale_docs", "staleDocs", "stale_documentation", "doc_warnings", "docWarnings")
 NOTE = ("note", "message", "reason", "warning")
 COMMIT = ("commit_hint", "commitHint", "commit_message", "suggested_commit", "commit_subject")
-
 CAP = 20
 
+_READ = {"allowUnquotedControlChars": "true", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_broken"}
+
+
+def _once(value: Column, of: Callable[[Column], Column]) -> Column:
+    """An expression that uses a value several times, for which the value is made once."""
+    return F.get(F.transform(F.array(value), of), 0)
+
+
+def _fields(doc: Column, names: Sequence[str]) -> Column:
+    """Fields of a JSON object as JSON or text, all found in one reading; for ``_first``."""
+    return F.from_json(doc, ", ".join(f"`{n}` string" for n in dict.fromkeys((*names, "_broken"))), _READ)
 
-def pick(doc: Column, names: Sequence[str]) -> Column:
-    return F.coalesce(*[F.get_json_object(doc, f"$.{n}") for n in names])
 
+def _kinds(doc: Column, names: Sequence[str]) -> Column:
+    """Fields of a JSON object as variants, which tell true from "true"."""
+    return F.from_json(doc, ", ".join(f"`{n}` variant" for n in names), _READ)
 
-def _either(doc: Column, names: Sequence[str]) -> Column:
-    """At the top, or in the first nested object that is there."""
-    return F.coalesce(pick(doc, names), pick(pick(doc, NESTED), names))
 
+def _first(fields: Column, names: Sequence[str]) -> Column:
+    """The first of the fields that is there; JSON that breaks off has none, not those before."""
+    return F.when(fields["_broken"].isNull(), F.coalesce(*[fields[n] for n in names]))
 
-def _number(doc: Column, names: Sequence[str]) -> Column:
+
+def pick(doc: Column, names: Sequence[str]) -> Column:
+    return _once(_fields(doc, names), lambda d: _first(d, names))
+
+
+def _number(kinds: Column, names: Sequence[str]) -> Column:
     """The first of the fields that is a whole JSON number; text that looks like one is none."""
-    number = lambda of, n: F.when(~of.rlike(rf'"{n}"\s*:\s*"'), F.get_json_object(of, f"$.{n}").try_cast("int"))
-    return F.coalesce(*[number(of, n) for of in (doc, pick(doc, NESTED)) for n in names])
+    return F.coalesce(*[F.when(F.schema_of_variant(kinds[n]) == "BIGINT", F.try_variant_get(kinds[n], "$", "int")) for n in names])
 
 
 def items(value: Column) -> Column:
     """Elements of a JSON array as JSON or text, or of a string that commas or line breaks separate."""
-    split = F.filter(F.transform(F.split(value, "[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.coalesce(F.when(value.startswith("["), F.from_json(value, "array<string>")).otherwise(split), F.array().cast("array<string>"))
+    split = lambda v: F.filter(F.transform(F.split(v, "[,\n]"), lambda x: F.trim(x)), lambda x: x != "")
+    return _once(value, lambda v: F.coalesce(F.when(v.startswith("["), F.from_json(v, "array<string>")).otherwise(split(v)), F.array().cast("array<string>")))
 
 
 def _field(item: Column, names: Sequence[str]) -> Column:
@@ -67,20 +82,23 @@ def _field(item: Column, names: Sequence[str]) -> Column:
     return F.when(item.startswith("{"), pick(item, names)).otherwise(F.trim(item))
 
 
+def _said(kinds: Column, names: Sequence[str]) -> Column:
+    first = F.coalesce(*[F.when(~F.is_variant_null(kinds[n]), kinds[n]) for n in names])
+    return F.when(F.schema_of_variant(first) == "BOOLEAN", F.try_variant_get(first, "$", "boolean"))
+
+
 def flag(doc: Column, names: Sequence[str]) -> Column:
     """The first of the fields, if it is a JSON boolean; text or a number there is no answer."""
-    parsed = F.try_parse_json(doc)
-    kind = lambda n: F.schema_of_variant(F.try_variant_get(parsed, f"$.{n}", "variant"))
-    first = F.coalesce(*[F.when(F.get_json_object(doc, f"$.{n}").isNotNull(), F.struct((kind(n) == "BOOLEAN").alias("is"), F.get_json_object(doc, f"$.{n}").alias("as"))) for n in names])
-    return F.when(first["is"], first["as"] == "true")
+    sound = F.when(_fields(doc, ())["_broken"].isNull(), doc)
+    return _once(_kinds(sound, names), lambda d: _said(d, names))
 
 
 def refs(value: Column) -> Column:
     """Elements of a list as (file, line, symbol); those with neither a file nor a symbol are left out."""
-    inside = lambda r, names: F.when(r.startswith("{"), pick(r, names))
     text = lambda r: F.when(~r.startswith("{"), F.nullif(F.trim(r), F.lit("")))
-    line = lambda r: F.when(inside(r, LINE).rlike("^[0-9]+$"), inside(r, LINE).try_cast("int"))
-    made = F.transform(items(value), lambda r: F.struct(F.regexp_replace(inside(r, FILE), "^file://", "").alias("file"), line(r).alias("line"), F.coalesce(inside(r, SYMBOL), text(r)).alias("symbol")))
+    line = lambda d: F.when(_first(d, LINE).rlike("^[0-9]+$"), _first(d, LINE).try_cast("int"))
+    told = lambda d, r: F.struct(F.regexp_replace(_first(d, FILE), "^file://", "").alias("file"), line(d).alias("line"), F.coalesce(_first(d, SYMBOL), text(r)).alias("symbol"))
+    made = F.transform(items(value), lambda r: _once(_fields(F.when(r.startswith("{"), r), (*FILE, *LINE, *SYMBOL)), lambda d: told(d, r)))
     return F.filter(made, lambda r: r["file"].isNotNull() | r["symbol"].isNotNull())
 
 
@@ -119,34 +137,61 @@ def taint(payloads: DataFrame, key: str, payload: str) -> DataFrame:
     return traced.select(key, F.coalesce("said", implied).alias("tainted"), F.slice("all", 1, CAP).alias("flow"), "detector")
 
 
-def changes(payloads: DataFrame, key: str, payload: str) -> DataFrame:
-    """key, symbol, and the columns of ``impact``: a row for each symbol of a whole change; of equal names the last counts."""
-    each = payloads.select(F.col(key), F.posexplode(items(pick(F.col(payload), CHANGES))).alias("pos", "entry")).where("entry LIKE '{%'")
-    named = each.withColumn("symbol", pick(F.col("entry"), NAMED)).where("symbol IS NOT NULL").groupBy(key, "symbol").agg(F.max_by("entry", "pos").alias("entry"))
-    return impact(named.select(F.struct(key, "symbol").alias("_of"), "entry"), "_of", "entry").select(f"_of.{key}", "_of.symbol", "*").drop("_of")
+def _notes(doc: Column) -> dict[str, Column]:
+    place = ("file", "path", "uri")
+    one = lambda d, r: F.struct(_first(d, NAMED).alias("symbol"), F.regexp_replace(_first(d, place), "^file://", "").alias("file"), F.when(r.startswith("{"), _first(d, NOTE)).otherwise(F.trim(r)).alias("note"))
+    stale = F.transform(items(_first(doc, DOCS)), lambda r: _once(_fields(F.when(r.startswith("{"), r), (*NAMED, *place, *NOTE)), lambda d: one(d, r)))
+    told = F.filter(stale, lambda d: F.coalesce(d["symbol"], d["file"], d["note"]).isNotNull())
+    return {"stale": F.slice(told, 1, CAP), "commit_hint": _first(doc, COMMIT)}
 
 
 def change_notes(payloads: DataFrame, key: str, payload: str) -> DataFrame:
     """key, stale (capped; symbol, file and note of documents out of date), commit_hint: of a whole change."""
-    doc = F.col(payload)
-    inside = lambda d, names: F.when(d.startswith("{"), pick(d, names))
-    stale = F.transform(items(pick(doc, DOCS)), lambda d: F.struct(inside(d, NAMED).alias("symbol"), F.regexp_replace(inside(d, ("file", "path", "uri")), "^file://", "").alias("file"), F.when(d.startswith("{"), pick(d, NOTE)).otherwise(F.trim(d)).alias("note")))
+    read = payloads.select(key, _fields(F.col(payload), (*DOCS, *COMMIT)).alias("doc"))
+    return read.select(key, *[c.alias(n) for n, c in _notes(F.col("doc")).items()])
+
+
+def changes(payloads: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, symbol, and the columns of ``impact`` and ``change_notes``: a row for each symbol of a whole change, which is one payload; of equal names the last counts."""
+    read = payloads.select(key, _fields(F.col(payload), (*CHANGES, *DOCS, *COMMIT)).alias("doc"))
+    objects = F.filter(items(_first(F.col("doc"), CHANGES)), lambda e: e.startswith("{"))
+    named = F.transform(objects, lambda e, k: F.struct(pick(e, NAMED).alias("symbol"), k.alias("pos"), e.alias("entry")))
+    every = read.select(F.struct(key, *_notes(F.col("doc"))).alias("_of"), F.array_sort(F.filter(named, lambda x: x["symbol"].isNotNull())).alias("all"))
+    last = F.filter("all", lambda x, k: ~x["symbol"].eqNullSafe(F.get("all", k + 1)["symbol"]))
+    each = every.select("_of", F.explode(last).alias("x")).select(F.struct("_of", "x.symbol").alias("_of"), "x.entry")
+    return impact(each, "_of", "entry").select(f"_of._of.{key}", "_of.symbol", "*", "_of._of.stale", "_of._of.commit_hint").drop("_of")
+
+
+def _notes(doc: Column) -> list[Column]:
+    place = ("file", "path", "uri")
+    note = lambda d, r: F.when(r.startswith("{"), _first(d, NOTE)).otherwise(F.trim(r))
+    one = lambda d, r: F.struct(_first(d, NAMED).alias("symbol"), F.regexp_replace(_first(d, place), "^file://", "").alias("file"), note(d, r).alias("note"))
+    stale = F.transform(items(_first(doc, DOCS)), lambda r: _once(_fields(F.when(r.startswith("{"), r), (*NAMED, *place, *NOTE)), lambda d: one(d, r)))
     told = F.filter(stale, lambda d: F.coalesce(d["symbol"], d["file"], d["note"]).isNotNull())
-    return payloads.select(key, F.slice(told, 1, CAP).alias("stale"), pick(doc, COMMIT).alias("commit_hint"))
+    return [F.slice(told, 1, CAP).alias("stale"), _first(doc, COMMIT).alias("commit_hint")]
+
+
+def change_notes(payloads: DataFrame, key: str, payload: str) -> DataFrame:
+    """key, stale (capped; symbol, file and note of documents out of date), commit_hint: of a whole change."""
+    return payloads.select(key, _fields(F.col(payload), (*DOCS, *COMMIT)).alias("doc")).select(key, *_notes(F.col("doc")))
 
 
 def impact(payloads: DataFrame, key: str, payload: str) -> DataFrame:
     """key, caller_count, callers (symbols or files, capped), truncated, reviewers (by weight, then as listed; each once),
     test_gaps (capped references), reachable, complexity, stale_doc (null where the payload is silent).
     """
-    doc = F.col(payload)
-    callers = F.filter(F.transform(items(_either(doc, CALLERS)), lambda c: F.coalesce(_field(c, SYMBOL), F.regexp_replace(_field(c, FILE), "^file://", ""))), lambda c: c.isNotNull() & (c != ""))
+    listed, kinds = (*CALLERS, *REVIEWERS, *GAPS, *COMPLEXITY), (*COUNT, *REACHABLE, *STALE)
+    read = payloads.select(F.col(key), F.col(payload).alias("doc"), _fields(F.col(payload), (*NESTED, *listed)).alias("top"))
+    inner = _first(F.col("top"), NESTED)
+    read = read.select(key, "top", _kinds(F.when(F.col("top._broken").isNull(), F.col("doc")), kinds).alias("top_kinds"), _fields(inner, listed).alias("nested"), _kinds(inner, kinds).alias("nested_kinds"))
+    either = lambda names: F.coalesce(_first(F.col("top"), names), _first(F.col("nested"), names))
+    told = lambda of, names: F.coalesce(of(F.col("top_kinds"), names), of(F.col("nested_kinds"), names))
+    callers = F.filter(F.transform(items(either(CALLERS)), lambda c: F.coalesce(_field(c, SYMBOL), F.regexp_replace(_field(c, FILE), "^file://", ""))), lambda c: c.isNotNull() & (c != ""))
     weight = lambda r: F.when(r.startswith("{"), F.coalesce(pick(r, WEIGHT).try_cast("double"), F.lit(0.0))).otherwise(0.0)
-    listed = F.transform(items(_either(doc, REVIEWERS)), lambda r, k: F.struct((-weight(r)).alias("w"), k.alias("k"), _field(r, REVIEWER).alias("name")))
-    names = F.array_distinct(F.transform(F.array_sort(F.filter(listed, lambda r: r["name"].isNotNull() & (r["name"] != ""))), lambda r: r["name"]))
-    nested = pick(doc, NESTED)
-    size = F.coalesce(*[F.when(pick(of, COMPLEXITY).rlike(r"^-?[0-9]+(\.[0-9]+)?$"), pick(of, COMPLEXITY).try_cast("double")) for of in (doc, nested)])
-    told = {"reachable": F.coalesce(flag(doc, REACHABLE), flag(nested, REACHABLE)), "complexity": size, "stale_doc": F.coalesce(flag(doc, STALE), flag(nested, STALE))}
-    return payloads.select(F.col(key), callers.alias("all"), _number(doc, COUNT).alias("given"), names.alias("reviewers"), refs(_either(doc, GAPS)).alias("gaps"), *[c.alias(n) for n, c in told.items()]).select(
-        key, F.coalesce("given", F.size("all")).alias("caller_count"), F.slice("all", 1, CAP).alias("callers"), ((F.size("all") > CAP) | (F.size("gaps") > CAP)).alias("truncated"), "reviewers", F.slice("gaps", 1, CAP).alias("test_gaps"), *told
+    ranked = F.transform(items(either(REVIEWERS)), lambda r, k: F.struct((-weight(r)).alias("w"), k.alias("k"), _field(r, REVIEWER).alias("name")))
+    names = F.array_distinct(F.transform(F.array_sort(F.filter(ranked, lambda r: r["name"].isNotNull() & (r["name"] != ""))), lambda r: r["name"]))
+    size = lambda of: F.when(_first(of, COMPLEXITY).rlike(r"^-?[0-9]+(\.[0-9]+)?$"), _first(of, COMPLEXITY).try_cast("double"))
+    said = {"reachable": told(_said, REACHABLE), "complexity": F.coalesce(size(F.col("top")), size(F.col("nested"))), "stale_doc": told(_said, STALE)}
+    return read.select(key, callers.alias("all"), told(_number, COUNT).alias("given"), names.alias("reviewers"), refs(either(GAPS)).alias("gaps"), *[c.alias(n) for n, c in said.items()]).select(
+        key, F.coalesce("given", F.size("all")).alias("caller_count"), F.slice("all", 1, CAP).alias("callers"), ((F.size("all") > CAP) | (F.size("gaps") > CAP)).alias("truncated"), "reviewers", F.slice("gaps", 1, CAP).alias("test_gaps"), *said
     )
